@@ -4,25 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from actaflow.llm.langid import identify_languages
 from actaflow.llm.mixing import mix_sources
 from actaflow.llm.quality import quality_rules
+from actaflow.llm.urls import RULES_SQL, URL_FILTER_SQL, url_filter
+from actaflow.llm.warc import ARCHIVE_SQL, archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), spark.sql(RULES_SQL))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op3_mix_sources": op3_mix_sources,
+    "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op9_warc_archive": op9_warc_archive,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": URL_FILTER_SQL,
+    "op9_warc_archive": ARCHIVE_SQL,
+}
