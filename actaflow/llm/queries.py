@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from actaflow.llm.langid import identify_languages
 from actaflow.llm.mixing import mix_sources
 from actaflow.llm.quality import quality_rules
+from actaflow.llm.substrings import substring_dedup
 from actaflow.llm.urls import RULES_SQL, URL_FILTER_SQL, url_filter
 from actaflow.llm.warc import ARCHIVE_SQL, archive_pages
 
@@ -31,6 +33,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
@@ -40,6 +47,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_warc_archive": op9_warc_archive,
 }
 
