@@ -75,7 +75,8 @@ def build_cascade(listed: DataFrame, universe: DataFrame, n_universe: int, max_l
         return []
     levels = [_level(listed, n, min(0.5, n / max(1, n_universe) / math.sqrt(2)), 0)]
     own = listed
-    other = universe.filter(levels[0].hit(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti")
+    taken = universe.filter(levels[0].hit(F.col("key"))).select("key", F.lit(False).alias("own")).unionByName(listed.withColumn("own", F.lit(True)))
+    other = taken.groupBy("key").agg(F.max("own").alias("own")).filter("not own").select("key")
     while True:
         from actaflow.llm.store import checkpoint
 
