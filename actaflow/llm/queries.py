@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actaflow.llm.decontam import decontaminate
 from actaflow.llm.jaccard import jaccard_components
 from actaflow.llm.langid import identify_languages
+from actaflow.llm.lines import LINE_DEDUP_SQL, dedup_lines
 from actaflow.llm.mixing import mix_sources
 from actaflow.llm.quality import quality_rules
 from actaflow.llm.substrings import substring_dedup
@@ -38,6 +40,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), kept.alias("kept_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -47,17 +55,24 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filter": op2_url_filter,
     "op3_mix_sources": op3_mix_sources,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc_archive": op9_warc_archive,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": URL_FILTER_SQL,
+    "op7_line_dedup": LINE_DEDUP_SQL,
     "op9_warc_archive": ARCHIVE_SQL,
 }
