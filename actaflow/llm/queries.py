@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actaflow.llm.chat import format_chats
 from actaflow.llm.decontam import decontaminate
 from actaflow.llm.jaccard import jaccard_components
 from actaflow.llm.langid import identify_languages
@@ -32,6 +33,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filter": op2_url_filter,
     "op3_mix_sources": op3_mix_sources,
+    "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
