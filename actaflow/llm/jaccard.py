@@ -200,11 +200,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _star_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links of each set to the smallest sets of its bands."""
+    """Confirmed links of each set to the leaders of its bands.
+
+    A band's leader is its most central set: the one whose bands hold the most
+    sets.  Among edited copies of a text this is the least edited one, which is
+    closer to the others than they are to one another."""
     bands = checkpoint(_band_keys(sets))
-    leaders = bands.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").drop("last")
-    proposed = bands.join(leaders, ["band", "key"]).filter("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("bands"))
-    order = Window.partitionBy("rep").orderBy(F.desc("bands"), "leader")
+    held = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    crowded = checkpoint(bands.join(held, ["band", "key"]))
+    central = crowded.groupBy("rep").agg(F.sum("held").alias("central"))
+    crowded = checkpoint(crowded.drop("held").join(central, "rep"))
+    leaders = crowded.groupBy("band", "key").agg(F.max(F.struct("central", (-F.col("rep")).alias("fallen"))).alias("top")).select("band", "key", (-F.col("top.fallen")).alias("leader"), F.col("top.central").alias("weight"))
+    proposed = crowded.join(leaders, ["band", "key"]).filter("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("bands"), F.max("weight").alias("weight"))
+    order = Window.partitionBy("rep").orderBy(F.desc("bands"), F.desc("weight"), "leader")
     best = proposed.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= LEADERS)
     return _confirm(best.select(F.col("rep").alias("a"), F.col("leader").alias("b")), sets, percent)
 

@@ -141,10 +141,10 @@ def classify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -
 
     A null text or one without a letter is ``und`` with score 0, as is every
     text if there is no model.  Only the text is looked at."""
-    found = docs.select("doc_id", *keep, "text", has_letter(F.col("text")).alias("lettered"))
+    found = docs.select("doc_id", *keep, F.col("text").alias("_text"), has_letter(F.col("text")).alias("_lettered"))
     if model is None:
         return found.select("doc_id", *keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = found.drop("text", "lettered").schema.add("lang_pred", "string").add("score", "double")
+    schema = found.drop("_text", "_lettered").schema.add("lang_pred", "string").add("score", "double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
@@ -152,8 +152,8 @@ def classify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -
             for i in range(0, batch.num_rows, _BATCH):
                 part = batch.slice(i, _BATCH)
                 table = dict(zip(part.schema.names, part.columns))
-                lettered = np.array(table["lettered"].to_pylist(), bool)
-                texts = [t.as_py() for t, ok in zip(table["text"], lettered) if ok]
+                lettered = np.array(table["_lettered"].to_pylist(), bool)
+                texts = [t.as_py() for t, ok in zip(table["_text"], lettered) if ok]
                 pred, sure = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
                 if texts:
                     s = score(presence(texts))

@@ -25,7 +25,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (``und``) go."""
     docs = docs.select(*COLUMNS)
-    found = classify(docs.select("doc_id", "text", "lang", "source", "n_chars"), train(docs), keep=("text", "lang", "source", "n_chars"))
+    found = classify(docs, train(docs), keep=COLUMNS[1:])
     return found.filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
