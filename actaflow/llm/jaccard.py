@@ -13,10 +13,10 @@ overlap bounds the similarity, and only groups that reach the bound are opened.
     of its bands, and the proposals that an exact count confirms make the groups.
 3.  The same exchange, now with the group of each token, keeps the sets whose
     tokens in *other* groups reach the bound.
-4.  For those, the rarest tokens (as many as must contain a match) look up
-    groups, the overlap with each group's union is counted, and a set opens the
-    groups that reach the bound, in chunks of members, with exact counts.  Of two
-    groups the smaller one asks.
+4.  Those ask groups that have one of their rarest tokens (as many as must contain
+    a match).  A group comes in chunks of members of like size, each with its
+    token union; a chunk is opened, and counts are exact, if the union holds as
+    many of the asking set's tokens as a set of that size would have to share.
 5.  Components over the confirmed links.
 
 The sizes of what is dealt to one task are bounded everywhere: a token that a
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from actaflow.llm.graph import connected_components
 from actaflow.llm.store import checkpoint
-from actaflow.llm.words import MULT, WordHashes, fingerprint, mix, shingle_set
+from actaflow.llm.words import MULT, WORD_HASHES, distinct, fingerprint, mix, shingle_set
 
 SHINGLE = 5
 PERCENT = 75
@@ -68,10 +68,15 @@ class TokenBlock:
         self.lengths = [len(s) for s in sets]
         tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         group = np.repeat(np.array(groups, np.int64), self.lengths)
-        unique, inverse = np.unique(tokens, return_inverse=True)
-        low, high = np.full(len(unique), np.iinfo(np.int64).max), np.full(len(unique), np.iinfo(np.int64).min)
-        np.minimum.at(low, inverse, group)
-        np.maximum.at(high, inverse, group)
+        sort = np.argsort(tokens)
+        tokens, group = tokens[sort], group[sort]
+        new = np.ones(len(tokens), bool)
+        np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        unique, inverse = tokens[first], np.empty(len(tokens), np.int64)
+        inverse[sort] = np.cumsum(new) - 1
+        low = np.minimum.reduceat(group, first) if len(first) else group
+        high = np.maximum.reduceat(group, first) if len(first) else group
         bucket = ((unique >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -142,11 +147,10 @@ def _sets(docs: DataFrame, shingle: int, percent: int, block_bytes: int, bucket_
     texts = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
     def read(table: pa.Table) -> tuple[list, dict, TokenBlock]:
-        hashes = WordHashes()
         rows = []
         classes: dict[bytes, tuple[int, np.ndarray]] = {}
         for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text")):
-            s = shingle_set(text.as_py(), hashes, shingle)
+            s = shingle_set(text.as_py(), WORD_HASHES, shingle)
             fp = fingerprint(s)
             rows.append((doc_id, len(s), fp))
             if len(s):
@@ -246,44 +250,62 @@ def _asking(sets: DataFrame, percent: int, bucket_tokens: int) -> DataFrame:
 
 
 def _to_open(asking: DataFrame, percent: int) -> DataFrame:
-    """(rep, g2): groups whose union holds as many of the set's tokens as the bound asks for."""
+    """(rep, g2): groups that may hold a set similar to this one.
+
+    Tokens are ordered by the number of groups that have them, the rarest first.
+    Of two similar sets, the first n - t n + 1 tokens of the larger and the first
+    n - 2t/(1+t) n + 1 of the smaller have one in common, so each group is entered
+    under those tokens of its members alone; of two groups the smaller one asks."""
     tokens = asking.select("rep", "g", "g_size", "n", F.explode("shared").alias("token"))
-    union = checkpoint(tokens.groupBy("token", F.col("g").alias("g2"), F.col("g_size").alias("g2_size")).agg(F.count(F.lit(1)).alias("members")))
-    rarity = union.groupBy("token").agg(F.count(F.lit(1)).alias("n_groups"))
-    tokens = checkpoint(tokens.join(rarity.filter("n_groups > 1"), "token"))
-    need = F.ceil(F.col("n") * percent / 100)
+    rarity = tokens.groupBy("token", "g").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count(F.lit(1)).alias("n_groups")).filter("n_groups > 1")
     of = Window.partitionBy("rep")
-    ranked = tokens.withColumn("rank", F.row_number().over(of.orderBy("n_groups", "token"))).withColumn("left", F.count(F.lit(1)).over(of))
-    prefix = ranked.filter((F.col("left") >= need) & (F.col("rank") <= F.col("left") - need + 1))
+    ranked = tokens.join(rarity, "token").withColumn("rank", F.row_number().over(of.orderBy("n_groups", "token"))).withColumn("left", F.count(F.lit(1)).over(of))
+    as_larger = F.col("left") - F.ceil(F.col("n") * percent / 100) + 1
+    as_smaller = F.col("left") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    prefix = checkpoint(ranked.filter(F.col("rank") <= as_larger).select("rep", "g", "g_size", "n", "token", (F.col("rank") <= as_smaller).alias("smaller")))
+    entered = prefix.groupBy("token", F.col("g").alias("g2"), F.col("g_size").alias("g2_size")).agg(F.max("smaller").alias("smaller2"), F.min("n").alias("low"), F.max("n").alias("high"))
     asks = (F.col("g") != F.col("g2")) & ((F.col("g_size") < F.col("g2_size")) | ((F.col("g_size") == F.col("g2_size")) & (F.col("g") < F.col("g2"))))
-    candidates = checkpoint(prefix.join(union, "token").filter(asks).select("rep", "g2").distinct())
-    counted = candidates.join(tokens, "rep").join(union.select("token", "g2"), ["token", "g2"]).groupBy("rep", "g2", "n").agg(F.count(F.lit(1)).alias("overlap"))
-    return counted.filter(F.col("overlap") >= need).select("rep", "g2")
+    sized = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100)
+    return prefix.join(entered, "token").filter(asks & sized & (F.col("smaller") | F.col("smaller2"))).select("rep", "g2").distinct()
 
 
 def _open(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links of the asking sets to members of the groups that they open;
-    one for each chunk of members, as these are linked with one another."""
-    sizes = opened.groupBy("g2").agg(F.count(F.lit(1)).alias("asking"))
+    """Confirmed links of the asking sets to members of the groups that they ask.
+
+    A group is kept in chunks of members of like size.  Each chunk's token union
+    bounds the overlap: only if it holds the tokens that a set of the smallest
+    size in the chunk would have to share is the chunk opened, up to the first
+    similar member, as the members are linked with one another."""
+    chunk = F.struct(F.floor(F.log(1.05, F.col("n"))).alias("of_size"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("g_size") / CHUNK).cast("long")).alias("nth"))
+    asked = opened.groupBy("g2").agg(F.count(F.lit(1)).alias("asking"))
+    members = sets.join(asked, F.col("g") == F.col("g2")).withColumn("chunk", chunk)
     salts = F.ceil(F.col("asking") / ASKING).cast("long")
-    chunks = F.ceil(F.col("g_size") / CHUNK).cast("long")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    members = sets.join(sizes.withColumnRenamed("g2", "g"), "g").select("g", F.pmod(F.xxhash64("rep"), chunks).alias("chunk"), every(salts).alias("salt"), "rep", "tokens", F.lit(True).alias("member"))
-    group_size = sets.select(F.col("g").alias("g2"), "g_size").distinct()
-    queries = opened.join(sizes, "g2").join(group_size, "g2").join(sets.select("rep", "tokens"), "rep")
-    queries = queries.select(F.col("g2").alias("g"), every(chunks).alias("chunk"), F.pmod(F.xxhash64("rep"), salts).alias("salt"), "rep", "tokens", F.lit(False).alias("member"))
+    chunks = members.groupBy("g2", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(salts).alias("salts"))
+    queries = opened.join(sets.select("rep", "n", "tokens"), "rep").join(chunks, "g2").filter((F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100))
+    queries = queries.select("g2", "chunk", F.pmod(F.xxhash64("rep"), F.col("salts")).alias("salt"), "rep", "tokens", F.lit(False).alias("member"))
+    members = members.select("g2", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "rep", "tokens", F.lit(True).alias("member"))
 
     def fn(table: pa.Table) -> pa.Table:
         rows = [(r, np.frombuffer(t, np.uint64), m) for r, t, m in zip(*(table.column(c).to_pylist() for c in ("rep", "tokens", "member")))]
         inside, out = [(r, t) for r, t, m in rows if m], []
+        if not inside or len(inside) == len(rows):
+            return _table([], _LINK)
+        union = distinct(np.concatenate([t for _, t in inside]))
+        least = min(len(t) for _, t in inside)
         for rep, tokens, member in rows:
             if not member:
-                hit = next((r for r, t in inside if similar(tokens, t, percent)), None)
-                if hit is not None:
-                    out.append((rep, hit))
-        return _table(out, [("a", pa.int64()), ("b", pa.int64())])
+                bound = max(needed(len(tokens), percent), -(-percent * (len(tokens) + least) // (100 + percent)))
+                at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                if (union[at] == tokens).sum() >= bound:
+                    hit = next((r for r, t in inside if similar(tokens, t, percent)), None)
+                    if hit is not None:
+                        out.append((rep, hit))
+        return _table(out, _LINK)
+
+    return members.unionByName(queries).groupBy("g2", "chunk", "salt").applyInArrow(fn, "a long, b long")
+
 
-    return members.unionByName(queries).groupBy("g", "chunk", "salt").applyInArrow(fn, "a long, b long")
+_LINK = [("a", pa.int64()), ("b", pa.int64())]
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from actaflow.llm.words import WordHashes, window_hashes
+from actaflow.llm.words import WORD_HASHES, WordHashes, window_hashes
 
 #: Share of word characters that duplicated n-grams of this many words may hold.
 NGRAM_LIMITS = {5: 0.15, 7: 0.13, 10: 0.10}
@@ -76,7 +76,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WORD_HASHES
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

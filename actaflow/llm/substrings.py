@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actaflow.llm.words import MULT, WordHashes, mix, split_words, window_hashes
+from actaflow.llm.words import MULT, WORD_HASHES, mix, split_words, window_hashes
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
@@ -47,7 +47,7 @@ class BlockIndex:
     def __init__(self, table: pa.Table, window: int, buckets: int):
         rows = zip(table.column("doc_id").to_pylist(), table.column("text"))
         self.docs = sorted(((i, split_words(t.as_py())) for i, t in rows), key=lambda d: (_LAST if d[0] is None else d[0], d[1]))
-        hashes = WordHashes()
+        hashes = WORD_HASHES
         keys, bucket, owner = [], [], []
         self.starts = [0]
         for n, (_, words) in enumerate(self.docs):

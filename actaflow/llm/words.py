@@ -67,7 +67,18 @@ def shingle_set(text: str | None, hashes: WordHashes, n: int = 5) -> np.ndarray:
     h = hashes.of(words)
     if len(h) < n:
         return window_hashes(h, len(h)) ^ np.uint64(len(h))
-    return np.unique(window_hashes(h, n))
+    return distinct(window_hashes(h, n))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
+#: Of this Python worker; it is used again for later groups and tasks.
+WORD_HASHES = WordHashes()
 
 
 def fingerprint(values: np.ndarray) -> bytes:
