@@ -278,10 +278,12 @@ def _open(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     similar member, as the members are linked with one another."""
     chunk = F.struct(F.floor(F.log(1.05, F.col("n"))).alias("of_size"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("g_size") / CHUNK).cast("long")).alias("nth"))
     asked = opened.groupBy("g2").agg(F.count(F.lit(1)).alias("asking"))
-    members = sets.join(asked, F.col("g") == F.col("g2")).withColumn("chunk", chunk)
+    # written by themselves, joins on a crowded group are split by their rows
+    members = checkpoint(sets.join(asked, F.col("g") == F.col("g2")).withColumn("chunk", chunk))
     salts = F.ceil(F.col("asking") / ASKING).cast("long")
     chunks = members.groupBy("g2", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(salts).alias("salts"))
     queries = opened.join(sets.select("rep", "n", "tokens"), "rep").join(chunks, "g2").filter((F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100))
+    queries = checkpoint(queries)
     queries = queries.select("g2", "chunk", F.pmod(F.xxhash64("rep"), F.col("salts")).alias("salt"), "rep", "tokens", F.lit(False).alias("member"))
     members = members.select("g2", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "rep", "tokens", F.lit(True).alias("member"))
 
