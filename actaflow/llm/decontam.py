@@ -27,6 +27,8 @@ MIN_LITERAL = 6
 MIN_ITEM_WORDS = 5
 #: Benchmark windows that may be broadcast (about 200 bytes each); beyond, the join shuffles.
 MAX_BROADCAST = 200_000
+#: Bits of the filter of benchmark windows, at most (2 MB); a fuller one lets more through.
+MAX_FILTER_BITS = 1 << 24
 UNITS = (
     "mm cm km kg mg lb oz mph kmh ml meters metres meter metre miles mile feet foot inches inch kilometers kilometres "
     "grams gram kilograms pounds pound ounces liters litres liter litre gallons seconds second minutes minute hours hour "
@@ -38,12 +40,19 @@ _MARK = "\x01"
 
 def marked(text: Column) -> Column:
     """The words of a text, those that fill a slot behind a mark and their type."""
+    return F.get(F.transform(F.array(text), _marked), F.lit(0))
+
+
+def _marked(text: Column) -> Column:
     unit = "|".join(UNITS)
     with_numbers = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}\x01])({_NUMBER})\s*(?i:({unit}))(?![\p{{L}}\p{{N}}])", " \x01n$1 \x01u$2 ")
     with_numbers = F.regexp_replace(with_numbers, rf"(?<![\p{{L}}\p{{N}}\x01.,])({_NUMBER})(?![\p{{L}}\p{{N}}])", " \x01n$1 ")
     text = F.when(text.rlike(r"\p{N}"), with_numbers).otherwise(text)
     named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;]\s)(\p{Lu}[\p{L}]*)(?![\p{L}\p{N}])", "\x01p$1")
-    return F.split(F.trim(F.regexp_replace(F.lower(named), r"(?:[^\p{L}\p{N}\x01.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+", " ")), " ")
+    lower = F.lower(named)
+    # points and commas inside numbers stay
+    flat = F.when(text.rlike(r"\p{N}"), F.regexp_replace(lower, r"(?:[^\p{L}\p{N}\x01.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+", " ")).otherwise(F.regexp_replace(lower, r"[^\p{L}\p{N}\x01]+", " "))
+    return F.split(F.trim(flat), " ")
 
 
 def _typed(words: Column) -> Column:
@@ -63,41 +72,74 @@ def _pattern(fillers: Column) -> Column:
     return F.transform(fillers, lambda x: F.array_position(fillers, x))
 
 
-def _hashes(words: Column, size: int) -> Column:
-    """struct(at, h) of all windows: of the templates, and of the plain forms of
-    windows with a slot."""
-    typed, plain = _typed(words), _plain(words)
-    n = F.size(words) - size + 1
-    every = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+def window_hashes(words: Column, size: int) -> Column:
+    """The hash of every window: of the hashes of its words, side by side."""
 
-    def of(form: Column) -> Column:
-        return F.transform(every, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(form, i, size)).alias("h")))
+    def of(h: Column) -> Column:
+        n = F.greatest(F.size(h) - (size - 1), F.lit(0))
+        return F.transform(F.arrays_zip(*[F.slice(h, k + 1, n) for k in range(size)]), lambda w: F.xxhash64(w))
 
-    slotted = F.exists(words, lambda w: w.startswith(_MARK))
-    return F.when(n > 0, F.when(slotted, F.array_union(of(typed), of(plain))).otherwise(of(words)))
+    return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), of), F.lit(0))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(size, h, item_id, n_windows, item_words): distinct windows of every item."""
-    items = benchmark.select("item_id", marked(F.col("text")).alias("words")).filter(F.size("words") >= MIN_ITEM_WORDS)
-    size = F.least(F.lit(window), F.size("words"))
-    typed, plain = F.slice(_typed(F.col("words")), F.col("i"), size), F.slice(_plain(F.col("words")), F.col("i"), size)
-    rows = items.withColumn("size", size).withColumn("n_windows", F.size("words") - F.col("size") + 1).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_windows"))))
-    rows = rows.select("item_id", "size", "n_windows", "i", F.slice("words", F.col("i"), F.col("size")).alias("item_words"), F.explode(F.array_distinct(F.array(F.xxhash64(typed), F.xxhash64(plain)))).alias("h"))
-    return rows.select("size", "h", "item_id", "i", "n_windows", "item_words")
+    """(size, h, item_id, i, n_windows, item_words): the windows of every item, under
+    their template and their plain form."""
+    items = benchmark.select("item_id", F.explode(F.array(marked(F.col("text")))).alias("words")).filter(F.size("words") >= MIN_ITEM_WORDS)
+    items = items.select("item_id", "words", F.least(F.lit(window), F.size("words")).alias("size"))
+    hashes = lambda form: F.coalesce(*[F.when(F.col("size") == k, window_hashes(form, k)) for k in range(MIN_ITEM_WORDS, window + 1)])
+    rows = items.select("item_id", "size", "words", F.posexplode(F.arrays_zip(hashes(_typed(F.col("words"))).alias("t"), hashes(_plain(F.col("words"))).alias("p"))).alias("at", "h2"))
+    rows = rows.withColumn("i", F.col("at") + 1).withColumn("n_windows", F.size("words") - F.col("size") + 1)
+    return rows.select("item_id", "size", "n_windows", "i", F.slice("words", F.col("i"), F.col("size")).alias("item_words"), F.explode(F.array_distinct(F.array("h2.t", "h2.p"))).alias("h"))
+
+
+def _bitmap(keys: DataFrame, n: int) -> tuple[str, int]:
+    """A filter of one bit for each key: its words as a decimal list, and its bits."""
+    bits = 64 * max(1, min(n, MAX_FILTER_BITS // 64))
+    p = F.pmod(F.col("h"), F.lit(bits))
+    rows = keys.groupBy(F.shiftright(p, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}L) % 64 as int))")).alias("v")).collect()
+    words = [0] * (bits // 64)
+    for r in rows:
+        words[r["w"]] = r["v"]
+    return ",".join(map(str, words)), bits
+
+
+def _candidates(hashes: Column, bitmap: tuple[str, int]) -> Column:
+    """struct(at, h) of the window hashes that the filter holds."""
+    filled = F.split(F.lit(bitmap[0]), ",").cast("array<bigint>")
+
+    def held(i: Column) -> Column:
+        p = F.pmod(F.element_at(hashes, i), F.lit(bitmap[1]))
+        return F.getbit(F.element_at(filled, (F.shiftright(p, 6) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
+
+    every = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(every, held), lambda i: F.struct(i.alias("at"), F.element_at(hashes, i).alias("h")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, plain, templates): contaminated pairs and their windows."""
+    """(doc_id, item_id, plain, templates): contaminated pairs and their windows.
+
+    A document's windows are hashed and looked up in a bitmap of the benchmark's hashes
+    where they stand; only those that it holds become rows and are joined by hash.
+    Expressions that several others use are exploded from an array of one, so that they
+    are computed once."""
     items = benchmark_windows(benchmark, window).cache()
+    n = items.count()
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    items = F.broadcast(items) if items.count() <= MAX_BROADCAST else items
-    words = docs.select("doc_id", marked(F.col("text")).alias("words"))
+    words = docs.select("doc_id", F.explode(F.array(marked(F.col("text")))).alias("words"))
+    slotted = F.exists("words", lambda w: w.startswith(_MARK))
+    forms = F.struct(F.when(slotted, _typed(F.col("words"))).otherwise(F.col("words")).alias("typed"), F.when(slotted, _plain(F.col("words"))).alias("plain"))
+    words = words.select("doc_id", "words", F.explode(F.array(forms)).alias("forms"))
     hits = None
     for size in sizes:
-        at = words.select("doc_id", "words", F.explode(_hashes(F.col("words"), size)).alias("w"))
-        at = at.select("doc_id", F.slice("words", F.col("w.at"), size).alias("doc_words"), F.col("w.h").alias("h"))
-        own = at.join(items.filter(F.col("size") == size), "h")
+        own_items = items.filter(F.col("size") == size)
+        bitmap = _bitmap(own_items.select("h"), n)
+        hashes = F.struct(window_hashes(F.col("forms.typed"), size).alias("t"), F.when(F.col("forms.plain").isNotNull(), window_hashes(F.col("forms.plain"), size)).alias("p"))
+        placed = words.select("doc_id", "words", F.explode(F.array(hashes)).alias("hashes"))
+        found = F.concat(_candidates(F.col("hashes.t"), bitmap), F.when(F.col("hashes.p").isNotNull(), _candidates(F.col("hashes.p"), bitmap)).otherwise(F.array().cast("array<struct<at:int,h:bigint>>")))
+        keyed = placed.select("doc_id", "words", F.explode(F.array_distinct(found)).alias("w"))
+        keyed = keyed.select("doc_id", F.slice("words", F.col("w.at"), size).alias("doc_words"), F.col("w.h").alias("h"))
+        own = keyed.join(F.broadcast(own_items) if n <= MAX_BROADCAST else own_items, "h")
         hits = own if hits is None else hits.unionByName(own)
     if hits is None:
         return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("plain"), F.lit(0).cast("long").alias("templates")).limit(0)
