@@ -1,0 +1,168 @@
+"""Counts, bands, noise, evaluation and triage."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from actaflow.functions import catalogue as C
+from actaflow.functions.text import name_grams
+
+
+def act_tally(acts: DataFrame) -> DataFrame:
+    return acts.groupBy("act_type", "scope").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lag_tally(announcements: DataFrame) -> DataFrame:
+    """(days, n): days from inscription to publication."""
+    return announcements.filter("inscription_date is not null").groupBy(F.datediff("day", "inscription_date").alias("days")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def discrete_quantile(tally: DataFrame, value: str, weight: str, q: float) -> DataFrame:
+    """The smallest value whose cumulated weight reaches q of the whole; ``tally`` has one
+    row for each value."""
+    everything = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    run = tally.withColumn("_c", F.sum(weight).over(Window.orderBy(value))).withColumn("_n", F.sum(weight).over(everything))
+    return run.filter(F.col("_c") >= F.lit(q) * F.col("_n")).agg(F.min(value).alias("value"))
+
+
+def document_counts(announcements: DataFrame, acts: DataFrame) -> DataFrame:
+    """By document: announcements, with a sheet, with text before the first act, acts."""
+    a = announcements.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("announcements"),
+        F.count("sheet").alias("with_sheet"),
+        F.count_if(F.coalesce(F.col("unparsed_prefix") != "", F.lit(False))).alias("with_prefix"),
+    )
+    return a.join(acts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("acts")), "doc_id", "left").withColumn("acts", F.coalesce("acts", F.lit(0)))
+
+
+def band(days: Column, edges: tuple[int, ...]) -> Column:
+    """Half-open bands "a-b" and "last+"; days below the first edge are "before"."""
+    out = F.when(days < edges[0], "before")
+    for a, b in zip(edges, edges[1:]):
+        out = out.when(days < b, f"{a}-{b - 1}")
+    return out.otherwise(f"{edges[-1]}+")
+
+
+def histogram(df: DataFrame, value: str, edges: tuple[int, ...]) -> DataFrame:
+    """Bins "a-b" with closed edges and an open top."""
+    v = F.col(value)
+    out = F.when(v <= edges[0], f"<={edges[0]}")
+    for a, b in zip(edges, edges[1:]):
+        out = out.when(v <= b, f"{a + 1}-{b}")
+    return df.groupBy(out.otherwise(f">{edges[-1]}").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def noise(hits: DataFrame, keys: DataFrame, related: DataFrame) -> DataFrame:
+    """(key, n): distinct companies, other than related ones, at each key; zero if none."""
+    found = hits.join(related.select("firm_key"), "firm_key", "left_anti").select("key", "firm_key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return keys.select("key").distinct().join(found, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def token_hits(firms: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(key, firm_key): approved tokens that a firm's name carries."""
+    return firms.select("firm_key", F.explode(name_grams(F.col("firm"))).alias("key")).join(tokens.select(F.col("token").alias("key")), "key").distinct()
+
+
+def sample_bucket(text: Column, buckets: int) -> Column:
+    """Is the text in the sample: the first 32 bits of its MD5 are 0 modulo ``buckets``."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % buckets == 0
+
+
+def sheet_stability(rows: DataFrame) -> DataFrame:
+    """(province, sheet, ord, firm_key, act_type) in reading order: how many announcements
+    come on a sheet after it was renamed, extinct or dissolved, and under another name."""
+    w = Window.partitionBy("province", "sheet").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    flags = {"after_rename": "name_change", "after_extinction": "extinction", "after_dissolution": "dissolution"}
+    r = rows.withColumns({k: F.coalesce(F.max(F.col("act_type") == t).over(w), F.lit(False)) for k, t in flags.items()})
+    r = r.withColumn("first_key", F.first("firm_key").over(w)).withColumn("other_name", F.coalesce(F.col("first_key") != F.col("firm_key"), F.lit(False)))
+    return r.agg(*[F.count_if(F.col(c)).alias(c) for c in (*flags, "other_name")], F.count(F.lit(1)).alias("rows"))
+
+
+def cumulated_cuts(noise_by_key: DataFrame, kept: DataFrame) -> DataFrame:
+    """At every noise threshold: keys kept, related and unrelated companies, cumulated."""
+    per = noise_by_key.join(kept, "key", "left").groupBy("n").agg(F.count(F.lit(1)).alias("keys"), F.sum(F.coalesce("related", F.lit(0))).alias("related"))
+    w = Window.orderBy("n")
+    return per.select(F.col("n").alias("threshold"), F.sum("keys").over(w).alias("keys"), F.sum("related").over(w).alias("related"), F.sum(F.col("n") * F.col("keys")).over(w).alias("unrelated"))
+
+
+def evaluate(flagged: DataFrame, truth: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(reason, flagged, true_positive, wrong_group, precision, recall) of (reason, firm_key,
+    group_id) against (firm_key, group_id); recall is over truth companies among subjects."""
+    t = truth.select("firm_key", F.col("group_id").alias("true_group")).join(subjects.select("firm_key", F.lit(True).alias("reachable")).distinct(), "firm_key", "left")
+    reachable = t.agg(F.count("reachable").alias("reach"))
+    right = F.col("group_id") == F.col("true_group")
+    f = flagged.join(t, "firm_key", "left").groupBy("reason").agg(
+        F.count(F.lit(1)).alias("flagged"),
+        F.count_if(F.coalesce(right, F.lit(False))).alias("true_positive"),
+        F.count_if(F.coalesce(~right, F.lit(False))).alias("wrong_group"),
+        F.count_if(F.coalesce(right & F.col("reachable"), F.lit(False))).alias("_found"),
+    )
+    total = reachable.first()["reach"]
+    return f.select("reason", "flagged", "true_positive", "wrong_group", F.try_divide(F.col("true_positive"), F.col("flagged")).alias("precision"), F.try_divide(F.col("_found"), F.lit(total)).alias("recall"))
+
+
+def union_truths(*truths: DataFrame) -> DataFrame:
+    """A company in several keeps the value of the first."""
+    every = None
+    for i, t in enumerate(truths):
+        rows = t.select("firm_key", "group_id", F.lit(i).alias("rank"))
+        every = rows if every is None else every.unionByName(rows)
+    return every.groupBy("firm_key").agg(F.min_by("group_id", "rank").alias("group_id"))
+
+
+def lead_score(reason: Column, n: Column, last_day: Column, today: Column, brand: Column, precision: dict[str, float]) -> Column:
+    """(1 - product of doubts) x half-life of the age x log2(1 + announcements), to 4 places."""
+    p = F.lit(0.0)
+    for name, value in precision.items():
+        p = F.when(reason == name, F.lit(float(value))).otherwise(p)
+    doubt = (1 - p) * F.when(brand & (reason != "token"), F.lit(1 - precision.get("token", 0.0))).otherwise(1.0)
+    age = F.greatest(F.datediff(today, last_day), F.lit(0))
+    return F.round((1 - doubt) * F.pow(F.lit(0.5), age / F.lit(float(C.HALF_LIFE_DAYS))) * F.log2(1 + n), 4)
+
+
+def triage(leads: DataFrame, tokens: DataFrame, today: Column, precision: dict[str, float]) -> DataFrame:
+    """Open leads (lead_id, group_id, firm, reason, n, last_day, state) with score, place and
+    tier: a fifth first, three tenths next (halves to even), a score of zero last."""
+    grams = leads.filter("state = 'open'").select("lead_id", "group_id", F.explode(name_grams(F.col("firm"))).alias("token"))
+    branded = grams.join(tokens, ["token", "group_id"]).select("lead_id", F.lit(True).alias("_b")).distinct()
+    scored = leads.filter("state = 'open'").join(branded, "lead_id", "left").withColumn("brand", F.coalesce("_b", F.lit(False))).drop("_b")
+    scored = scored.withColumn("score", lead_score(F.col("reason"), F.col("n"), F.col("last_day"), today, F.col("brand"), precision))
+    total = F.count(F.lit(1)).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.bround(total * C.TIER_SHARES[0], 0)
+    second = first + F.bround(total * C.TIER_SHARES[1], 0)
+    placed = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "group_id", "firm", "lead_id")))
+    tier = F.when(F.col("score") <= 0, "rest").when(F.col("place") <= first, "first").when(F.col("place") <= second, "next").otherwise("rest")
+    return placed.withColumn("tier", tier)
+
+
+def name_collisions(bare: DataFrame, people: DataFrame, buckets: int) -> DataFrame:
+    """(length, n_words, names, hits): sampled bare names by size, and how many are also a
+    person's name."""
+    b = bare.filter(sample_bucket(F.col("name"), buckets)).distinct()
+    p = people.filter(sample_bucket(F.col("name"), buckets)).select("name", F.lit(True).alias("hit")).distinct()
+    return b.join(p, "name", "left").groupBy(F.least(F.char_length("name"), F.lit(20)).alias("length"), F.least(F.size(F.split("name", " ")), F.lit(4)).alias("n_words")).agg(F.count(F.lit(1)).alias("names"), F.count("hit").alias("hits"))
+
+
+def supported_words(marked: DataFrame, least: int, share: float, names: int) -> DataFrame:
+    """(word, n, n_marked): words of (word, name, marked) rows in ``least`` or more rows and
+    ``names`` or more different names, ``share`` of the rows marked."""
+    per = marked.groupBy("word", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("marked")).alias("m"))
+    w = per.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("n_marked"), F.count(F.lit(1)).alias("n_names"))
+    return w.filter((F.col("n") >= least) & (F.col("n_names") >= names) & (F.col("n_marked") >= F.col("n") * share))
+
+
+def cut_length(lengths: DataFrame, rise: float = 0.05) -> DataFrame:
+    """The length at which a register cuts its texts, from (length, n): the steepest fall to
+    the next length, then down while the shorter length is still ``rise`` above the usual."""
+    w = Window.orderBy("length")
+    l = lengths.withColumn("next", F.coalesce(F.lead("n").over(w), F.lit(0))).withColumn("before", F.lag("n").over(w))
+    fall = l.withColumn("drop", F.col("n") - F.col("next"))
+    steep = fall.agg(F.max_by("length", "drop").alias("at")).first()["at"]
+    if steep is None:
+        return lengths.select("length").limit(0)
+    rows = {r["length"]: r["n"] for r in lengths.collect()}
+    at = steep
+    while rows.get(at - 1) and rows[at] > rows[at - 1] * (1 + rise):
+        at -= 1
+    return lengths.filter(F.col("length") == at + (at != steep)).select("length")
