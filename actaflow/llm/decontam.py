@@ -9,8 +9,9 @@ if their fillers are consistent: equal fillers on one side stand against equal
 fillers on the other.  Letter case and punctuation never matter, as windows
 that hold a placeholder are looked up in their plain form, too.
 
-A document is contaminated by an item if a plain window matches, or if
-consistent windows make up at least half of the item's.
+A document is contaminated by an item if a plain window matches, or if at one
+place consistent windows make up at least half of the item's and their fillers
+agree as a whole.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         placed = words.select("doc_id", "words", F.explode(F.array(hashes)).alias("hashes"))
         found = F.concat(_candidates(F.col("hashes.t"), bitmap), F.when(F.col("hashes.p").isNotNull(), _candidates(F.col("hashes.p"), bitmap)).otherwise(F.array().cast("array<struct<at:int,h:bigint>>")))
         keyed = placed.select("doc_id", "words", F.explode(F.array_distinct(found)).alias("w"))
-        keyed = keyed.select("doc_id", F.slice("words", F.col("w.at"), size).alias("doc_words"), F.col("w.h").alias("h"))
+        keyed = keyed.select("doc_id", F.col("w.at").alias("at"), F.slice("words", F.col("w.at"), size).alias("doc_words"), F.col("w.h").alias("h"))
         own = keyed.join(F.broadcast(own_items) if n <= MAX_BROADCAST else own_items, "h")
         hits = own if hits is None else hits.unionByName(own)
     if hits is None:
@@ -147,10 +148,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     plain = F.array_join(_plain(F.col("doc_words")), " ") == F.array_join(_plain(F.col("item_words")), " ")
     same = F.array_join(_typed(F.col("doc_words")), " ") == F.array_join(_typed(F.col("item_words")), " ")
     template = same & (_pattern(a) == _pattern(b)) & (F.col("size") - F.size(b) >= F.least(F.lit(MIN_LITERAL), F.col("size")))
-    judged = hits.select("doc_id", "item_id", "n_windows", "i", plain.alias("plain"), (plain | template).alias("fits")).filter("fits")
-    by_window = judged.groupBy("doc_id", "item_id", "n_windows", "i").agg(F.max("plain").alias("plain"))
-    pairs = by_window.groupBy("doc_id", "item_id").agg(F.sum(F.col("plain").cast("long")).alias("plain"), F.count(F.lit(1)).alias("templates"), F.max("n_windows").alias("n"))
-    return pairs.filter((F.col("plain") > 0) | (F.col("templates") * 100 >= F.col("n") * TEMPLATE_PERCENT)).drop("n")
+    filled = F.arrays_zip(b.alias("item"), a.alias("doc"))
+    judged = hits.select("doc_id", "item_id", "n_windows", "i", (F.col("at") - F.col("i")).alias("shift"), plain.alias("plain"), (plain | template).alias("fits"), filled.alias("filled")).filter("fits")
+    # one occurrence of an item: windows at one shift, whose slots have to agree as a whole
+    runs = judged.groupBy("doc_id", "item_id", "shift").agg(
+        F.max("n_windows").alias("n"), F.count_distinct("i").alias("templates"), F.count_distinct(F.when(F.col("plain"), F.col("i"))).alias("plain"),
+        F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"),
+    )
+    one = lambda side: F.size(F.array_distinct(F.transform("filled", lambda x: x[side])))
+    agree = (F.size("filled") == one("item")) & (F.size("filled") == one("doc"))
+    runs = runs.filter((F.col("plain") > 0) | (agree & (F.col("templates") * 100 >= F.col("n") * TEMPLATE_PERCENT)))
+    return runs.groupBy("doc_id", "item_id").agg(F.max("plain").alias("plain"), F.max("templates").alias("templates"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
