@@ -44,6 +44,10 @@ BUCKET_TOKENS = 4_000_000
 MIN_BUCKETS = 24
 BANDS, ROWS_PER_BAND = 8, 2
 LEADERS = 2
+#: Sets of one band are within this ratio of size.
+SIZE_RATIO = 1.15
+#: Rounds in which sets find leaders; what they miss is found in step 4, at a higher price.
+ROUNDS = 4
 #: Members of a group opened by one task, sets that ask there, members of a group kept in one block.
 CHUNK, ASKING, ONE_BLOCK = 64, 512, 1000
 _SEVERAL = -1
@@ -173,7 +177,7 @@ def _sets(docs: DataFrame, shingle: int, percent: int, block_bytes: int, bucket_
 
 
 def _band_keys(sets: DataFrame) -> DataFrame:
-    """(rep, band, key): min-hashes of the set, two to a band."""
+    """(rep, band, key): min-hashes of the set, two to a band, for sets of like size."""
     seeds = [np.uint64(((2 * i + 1) * int(MULT)) & (2**64 - 1)) for i in range(BANDS * ROWS_PER_BAND)]
     kinds = [("rep", pa.int64()), ("keys", pa.list_(pa.int64()))]
 
@@ -183,7 +187,8 @@ def _band_keys(sets: DataFrame) -> DataFrame:
             for rep, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = np.frombuffer(tokens.as_py(), np.uint64)
                 low = np.array([mix(t * s).min() for s in seeds], np.uint64).reshape(BANDS, ROWS_PER_BAND)
-                rows.append((rep, mix(low[:, 0] * MULT + low[:, 1]).view(np.int64).tolist()))
+                like = np.uint64(np.log(len(t)) / np.log(SIZE_RATIO))
+                rows.append((rep, mix(low[:, 0] * MULT + low[:, 1] + like).view(np.int64).tolist()))
             yield from _table(rows, kinds).to_batches()
 
     keys = sets.select("rep", "tokens").mapInArrow(fn, "rep long, keys array<long>")
@@ -203,24 +208,39 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(fn, "a long, b long")
 
 
-def _star_links(sets: DataFrame, percent: int) -> DataFrame:
+def _round(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links of each set to the leaders of its bands.
 
     A band's leader is its most central set: the one whose bands hold the most
     sets.  Among edited copies of a text this is the least edited one, which is
     closer to the others than they are to one another."""
-    bands = checkpoint(_band_keys(sets))
     held = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     crowded = checkpoint(bands.join(held, ["band", "key"]))
     central = crowded.groupBy("rep").agg(F.sum("held").alias("central"))
     crowded = checkpoint(crowded.drop("held").join(central, "rep"))
     leaders = crowded.groupBy("band", "key").agg(F.max(F.struct("central", (-F.col("rep")).alias("fallen"))).alias("top")).select("band", "key", (-F.col("top.fallen")).alias("leader"), F.col("top.central").alias("weight"))
-    proposed = crowded.join(leaders, ["band", "key"]).filter("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("bands"), F.max("weight").alias("weight"))
+    proposed = checkpoint(crowded.join(leaders, ["band", "key"]).filter("rep <> leader").select("rep", "leader", "weight"))
+    proposed = proposed.groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("bands"), F.max("weight").alias("weight"))
     order = Window.partitionBy("rep").orderBy(F.desc("bands"), F.desc("weight"), "leader")
     best = proposed.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= LEADERS)
     return _confirm(best.select(F.col("rep").alias("a"), F.col("leader").alias("b")), sets, percent)
 
 
+def _star_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links that make the groups: rounds of proposals, each among the sets that the
+    rounds before have left alone, so that texts in the shadow of a larger family of
+    almost similar ones find leaders of their own."""
+    bands, links = checkpoint(_band_keys(sets)), None
+    for _ in range(ROUNDS):
+        found = checkpoint(_round(bands, sets, percent))
+        links = found if links is None else checkpoint(links.unionByName(found))
+        if found.isEmpty():
+            break
+        grouped = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        bands = checkpoint(bands.join(grouped, "rep", "left_anti"))
+    return links
+
+
 def _asking(sets: DataFrame, percent: int, bucket_tokens: int) -> DataFrame:
     """rep, g, g_size, n, shared (array): sets whose tokens in other groups reach the bound."""
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
@@ -255,18 +275,22 @@ def _to_open(asking: DataFrame, percent: int) -> DataFrame:
     Tokens are ordered by the number of groups that have them, the rarest first.
     Of two similar sets, the first n - t n + 1 tokens of the larger and the first
     n - 2t/(1+t) n + 1 of the smaller have one in common, so each group is entered
-    under those tokens of its members alone; of two groups the smaller one asks."""
+    under those tokens of its members alone; of two groups the smaller one asks.  From
+    their first common token on, both must have as many tokens left as sets of their
+    sizes have to share."""
     tokens = asking.select("rep", "g", "g_size", "n", F.explode("shared").alias("token"))
     rarity = tokens.groupBy("token", "g").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count(F.lit(1)).alias("n_groups")).filter("n_groups > 1")
     of = Window.partitionBy("rep")
     ranked = tokens.join(rarity, "token").withColumn("rank", F.row_number().over(of.orderBy("n_groups", "token"))).withColumn("left", F.count(F.lit(1)).over(of))
     as_larger = F.col("left") - F.ceil(F.col("n") * percent / 100) + 1
     as_smaller = F.col("left") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
-    prefix = checkpoint(ranked.filter(F.col("rank") <= as_larger).select("rep", "g", "g_size", "n", "token", (F.col("rank") <= as_smaller).alias("smaller")))
-    entered = prefix.groupBy("token", F.col("g").alias("g2"), F.col("g_size").alias("g2_size")).agg(F.max("smaller").alias("smaller2"), F.min("n").alias("low"), F.max("n").alias("high"))
+    prefix = checkpoint(ranked.filter(F.col("rank") <= as_larger).select("rep", "g", "g_size", "n", "token", (F.col("rank") <= as_smaller).alias("smaller"), (F.col("left") - F.col("rank") + 1).alias("rest")))
+    entered = prefix.groupBy("token", F.col("g").alias("g2"), F.col("g_size").alias("g2_size")).agg(F.max("smaller").alias("smaller2"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest2"))
     asks = (F.col("g") != F.col("g2")) & ((F.col("g_size") < F.col("g2_size")) | ((F.col("g_size") == F.col("g2_size")) & (F.col("g") < F.col("g2"))))
     sized = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100)
-    return prefix.join(entered, "token").filter(asks & sized & (F.col("smaller") | F.col("smaller2"))).select("rep", "g2").distinct()
+    share = (F.col("n") + F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))) * percent
+    enough = (F.least("rest", "rest2") * (100 + percent)) >= share
+    return prefix.join(entered, "token").filter(asks & sized & (F.col("smaller") | F.col("smaller2")) & enough).select("rep", "g2").distinct()
 
 
 def _open(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
