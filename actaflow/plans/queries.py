@@ -25,10 +25,13 @@ def _text(day: str | Column) -> Column:
 class Gazette:
     """The rendered announcements of one folder, read once into acts."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
+        """``keep``: written once to the shared folder, for queries that read them repeatedly."""
         self.spark = spark
         read = acts_of(synth.announcements(spark, sf_dir))
         self.announcements = computed_once(read, "firm_key", name_key(F.col("firm"))).withColumn("fact_day", F.coalesce("inscription_date", "day"))
+        if keep:
+            self.announcements = cut_lineage(self.announcements)
 
     @property
     def acts(self) -> DataFrame:
@@ -114,7 +117,7 @@ def q_priorities(spark, sf_dir):
 
 
 def q_document_counts(spark, sf_dir):
-    g = Gazette(spark, sf_dir)
+    g = Gazette(spark, sf_dir, keep=True)
     return measure.document_counts(g.announcements, g.raw_acts)
 
 
@@ -165,18 +168,18 @@ def q_closure(spark, sf_dir):
 
 
 def q_record_now(spark, sf_dir):
-    g = Gazette(spark, sf_dir)
+    g = Gazette(spark, sf_dir, keep=True)
     now = record.record_now(g.values(), g.notices())
     return now.select("company_id", "field", "source", "value", _text("day").alias("day"))
 
 
 def q_outlived(spark, sf_dir):
-    g = Gazette(spark, sf_dir)
+    g = Gazette(spark, sf_dir, keep=True)
     return record.outlived(g.values(), g.notices()).select("company_id", "value", _text("day").alias("day"), "num")
 
 
 def q_proposals(spark, sf_dir):
-    g = Gazette(spark, sf_dir)
+    g = Gazette(spark, sf_dir, keep=True)
     log = spark.sql("SELECT 1L AS entry_id, 0L AS company_id, 'purpose' AS field, CAST(NULL AS STRING) AS replaced, 'X' AS written, 'applied' AS state, DATE'2024-01-01' AS fact_day, 'D' AS doc_id, 1L AS num")
     now = record.record_now(g.values(), g.notices())
     return record.proposals(synth.watched(spark), now, log).select("why", "company_id", "field", "held", "proposed")
@@ -213,7 +216,7 @@ def q_token_noise(spark, sf_dir):
 
 
 def q_address_noise(spark, sf_dir):
-    g = Gazette(spark, sf_dir)
+    g = Gazette(spark, sf_dir, keep=True)
     w = synth.watched(spark).select(F.col("company_id").alias("pos"), "group_id", F.col("address").alias("street"), "city")
     sites = discovery.watched_sites(w)
     hits = discovery.at_watched_sites(discovery.registered_sites(g.raw_acts), sites).join(g.announcements.select("doc_id", "num", "firm_key"), ["doc_id", "num"])
@@ -250,12 +253,12 @@ def _signals(g: Gazette) -> dict[str, DataFrame]:
 
 
 def q_detect(spark, sf_dir):
-    g = Gazette(spark, sf_dir)
+    g = Gazette(spark, sf_dir, keep=True)
     return discovery.detect(_signals(g)).select("num", "reason", "group_id")
 
 
 def q_eval(spark, sf_dir):
-    g = Gazette(spark, sf_dir)
+    g = Gazette(spark, sf_dir, keep=True)
     keyed = g.announcements.select("doc_id", "num", "firm_key")
     flagged = None
     for name, rows in _signals(g).items():
@@ -266,7 +269,7 @@ def q_eval(spark, sf_dir):
 
 
 def q_triage(spark, sf_dir):
-    g = Gazette(spark, sf_dir)
+    g = Gazette(spark, sf_dir, keep=True)
     found = discovery.detect(_signals(g)).join(g.announcements.select("doc_id", "num", "firm_key", "province", "firm", "fact_day", "day"), ["doc_id", "num"])
     leads = found.groupBy("firm_key").agg(F.min_by(F.struct("group_id", "reason"), "num").alias("b"), F.count(F.lit(1)).alias("n"), F.max("day").alias("last_day"))
     leads = leads.select(F.regexp_extract("firm_key", "([0-9]+)", 1).cast("long").alias("lead_id"), "b.group_id", F.col("firm_key").alias("firm"), "b.reason", "n", "last_day", F.lit("open").alias("state"))
@@ -276,7 +279,7 @@ def q_triage(spark, sf_dir):
 
 
 def q_timeline_entry(spark, sf_dir):
-    g = Gazette(spark, sf_dir)
+    g = Gazette(spark, sf_dir, keep=True)
     company = F.regexp_extract("firm_key", "([0-9]+)", 1).cast("long")
     acts = g.raw_acts
     born = acts.filter("act_type = 'incorporation'").select(company.alias("company_id"), F.col("fact_day").alias("day"), "num", F.lit("incorporated").alias("kind"), F.lit(False).alias("by_group"), F.lit("incorporation").alias("note"))
