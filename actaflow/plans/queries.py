@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from actaflow.functions import catalogue as C
 from actaflow.functions.places import differs
 from actaflow.functions.text import name_grams, name_key, plain
-from actaflow.operators import discovery, facts, graph, matching, measure, officers, positions, record, timeline
+from actaflow.operators import corpus, discovery, facts, graph, matching, measure, officers, positions, process, record, timeline
 from actaflow.operators.acts import acts_of, computed_once, explode_acts
 from actaflow.operators.tables import cut_lineage
 from actaflow.plans import synth
@@ -203,9 +203,54 @@ def q_shared_members(spark, sf_dir):
 
 
 def q_sheet_stability(spark, sf_dir):
-    a = Gazette(spark, sf_dir).announcements.filter("sheet is not null")
-    last = F.try_element_at("acts", F.lit(-1))["act_type"]
-    return measure.sheet_stability(a.select("province", "sheet", F.col("num").alias("ord"), "firm_key", last.alias("act_type")))
+    a = Gazette(spark, sf_dir).announcements
+    return corpus.sheet_stability(a.select("province", "sheet", F.col("num").alias("ord"), "firm_key", F.transform("acts", lambda x: x["act_type"]).alias("types")))
+
+
+def q_cascade(spark, sf_dir):
+    g = Gazette(spark, sf_dir, keep=True)
+    leads = spark.sql("SELECT 1L AS lead_id, 'PROVINCE 1' AS province, 'M 11' AS sheet, 'open' AS state, 'mention' AS found_by UNION ALL SELECT 2L, 'PROVINCE 2', 'M 12', 'gone', 'mention'")
+    matched = matching.exact_match(g.announcements, synth.watched(spark), synth.sheets(spark))
+    return process.tallies(process.cascade(matched, process.followed_sheets(leads), discovery.detect(_signals(g))))
+
+
+def q_name_lengths(spark, sf_dir):
+    a = Gazette(spark, sf_dir).announcements.withColumns({"section": F.lit("A"), "other_companies": F.array().cast("array<string>")})
+    return corpus.name_lengths(a)
+
+
+def q_role_coverage(spark, sf_dir):
+    return corpus.role_coverage(Gazette(spark, sf_dir).events().select("label"))[1]
+
+
+def q_incorporation_lag(spark, sf_dir):
+    return corpus.incorporation_lag(Gazette(spark, sf_dir).raw_acts)
+
+
+def q_registered_addresses(spark, sf_dir):
+    g = Gazette(spark, sf_dir, keep=True)
+    sites = discovery.registered_sites(g.raw_acts).join(g.announcements.select("doc_id", "num", "firm_key"), ["doc_id", "num"])
+    return corpus.registered_addresses(sites)[0]
+
+
+def q_pair_counts(spark, sf_dir):
+    g = Gazette(spark, sf_dir)
+    texts = g.announcements.select("doc_id", "num", "firm_key", F.array_join(F.transform("acts", lambda x: x["detail"]), " ").alias("text"))
+    names = spark.sql("SELECT explode(array('PERSONA ALFA', 'PERSONA BRAVO', 'PERSONA NADIE')) AS name")
+    return corpus.pair_counts(texts, names)[1]
+
+
+def q_signal_hits(spark, sf_dir):
+    g = Gazette(spark, sf_dir, keep=True)
+    hits = corpus.signal_hits(_signals(g), g.announcements.select("doc_id", "num", "firm_key", F.col("num").alias("ord")))
+    return hits.groupBy("reason", "group_id").agg(F.count(F.lit(1)).alias("firms"))
+
+
+def q_lead_aggregates(spark, sf_dir):
+    notices = Gazette(spark, sf_dir).announcements.filter("num % 3 = 0").select((F.col("num") % 20).alias("lead_id"), "fact_day")
+    leads = spark.range(0, 30).select(F.col("id").alias("lead_id"), F.lit(5).cast("long").alias("notice_count"), F.to_date(F.lit("2023-01-01")).alias("first_day"), F.to_date(F.lit("2023-01-02")).alias("last_day"))
+    r = process.refresh_leads(leads, notices)
+    return r.select("lead_id", "notice_count", _text("first_day").alias("first_day"), _text("last_day").alias("last_day"))
 
 
 def q_token_noise(spark, sf_dir):
@@ -486,11 +531,25 @@ ORACLE_SQL = {
       c AS (SELECT company_id, group_id, count(*) AS shared FROM (SELECT DISTINCT company_id, holder FROM pos) p JOIN g USING (holder) GROUP BY 1, 2 HAVING count(*) >= 3)
       SELECT 'EMPRESA ' || company_id || ' SL' AS firm_key, group_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY shared DESC, group_id) AS rn FROM c) WHERE rn = 1""",
     "q_sheet_stability": _EV
-    + """, s AS (SELECT u, num, CASE WHEN num % 97 = 0 THEN 'extinction' WHEN num % 89 = 0 THEN 'dissolution' END AS last FROM ev WHERE sheet IS NOT NULL)
-      SELECT CAST(0 AS BIGINT) AS after_rename,
-        count(*) FILTER (WHERE EXISTS (SELECT 1 FROM s b WHERE b.u = s.u AND b.num < s.num AND b.last = 'extinction')) AS after_extinction,
-        count(*) FILTER (WHERE EXISTS (SELECT 1 FROM s b WHERE b.u = s.u AND b.num < s.num AND b.last = 'dissolution')) AS after_dissolution,
-        CAST(0 AS BIGINT) AS other_name, count(*) AS rows FROM s""",
+    + """, s AS (SELECT u, num, num % 97 = 0 AS x, num % 97 <> 0 AND num % 89 = 0 AS d FROM ev WHERE sheet IS NOT NULL),
+      w AS (SELECT *, coalesce(bool_or(x) OVER b, false) AS hx, coalesce(bool_or(d) OVER b, false) AS hd FROM s WINDOW b AS (PARTITION BY u ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      SELECT count(*) AS with_sheet, CAST(0 AS BIGINT) AS after_rename, CAST(0 AS BIGINT) AS after_rename_other_name, count(*) FILTER (WHERE hx) AS after_extinction, count(*) FILTER (WHERE hd) AS after_dissolution,
+        CAST(0 AS BIGINT) AS name_differs_without_rename, CAST(0 AS BIGINT) AS renamed_sheets, count(*) FILTER (WHERE x AND NOT hx) AS extinct_sheets, count(*) FILTER (WHERE d AND NOT hd) AS dissolved_sheets, count(DISTINCT u) AS distinct_sheets FROM w""",
+    "q_cascade": _EV
+    + """SELECT CASE WHEN company_id IS NOT NULL THEN 'watched' WHEN suggestion IS NOT NULL THEN 'review' WHEN sheet = 'M 11' THEN 'candidate' WHEN det.num IS NOT NULL THEN 'candidate' ELSE 'discard' END AS kept_as, count(*) AS n
+      FROM linked LEFT JOIN det USING (num) GROUP BY 1""",
+    "q_name_lengths": _EV
+    + """SELECT 'A' AS section, CAST(length(CAST(u AS VARCHAR)) + list_element([11, 14, 26, 17, 26, 25, 18], CAST(num % 7 + 1 AS INTEGER)) AS INTEGER) AS length, count(*) AS n FROM ev GROUP BY 1, 2""",
+    "q_role_coverage": _EV + "SELECT label, count(*) AS n, any_value(role) AS role FROM pos GROUP BY 1",
+    "q_incorporation_lag": _EV + "SELECT fact_day - DATE '2024-01-01' AS days, count(*) AS n FROM ev WHERE t = 'signup' GROUP BY 1",
+    "q_registered_addresses": _EV + "SELECT 'EJEMPLO ' || k || CASE t WHEN 'signup' THEN ' (MADRID)' ELSE ' (TOLEDO)' END AS label, count(DISTINCT u) AS companies FROM ev WHERE t IN ('signup', 'error') GROUP BY 1",
+    "q_pair_counts": _EV + "SELECT CASE k % 20 WHEN 0 THEN 'ALFA PERSONA' ELSE 'BRAVO PERSONA' END AS pair, count(DISTINCT u) AS n FROM ev WHERE t IN ('view', 'click') AND k % 20 < 2 GROUP BY 1",
+    "q_signal_hits": _EV
+    + """, h AS (SELECT reason, firm_key, arg_min(group_id, num) AS group_id FROM (SELECT num, firm_key, group_id, reason FROM sig UNION ALL SELECT num, firm_key, group_id, 'detector' FROM det) GROUP BY 1, 2)
+      SELECT reason, group_id, count(*) AS firms FROM h GROUP BY 1, 2""",
+    "q_lead_aggregates": _EV
+    + """SELECT CAST(i AS BIGINT) AS lead_id, CASE WHEN n > 0 THEN n ELSE 5 END AS notice_count, strftime(coalesce(a, DATE '2023-01-01'), '%Y-%m-%d') AS first_day, strftime(coalesce(b, DATE '2023-01-02'), '%Y-%m-%d') AS last_day
+      FROM range(0, 30) r(i) LEFT JOIN (SELECT num % 20 AS l, count(*) AS n, min(fact_day) AS a, max(fact_day) AS b FROM ev WHERE num % 3 = 0 GROUP BY 1) ON l = i""",
     "q_token_noise": _EV
     + """, t AS (SELECT CAST(i AS VARCHAR) AS key FROM range(0, 10) r(i) UNION ALL SELECT 'EMPRESA')
       SELECT key, count(DISTINCT u) AS n FROM t LEFT JOIN (SELECT DISTINCT u FROM ev WHERE u >= 20) x ON key = CAST(u AS VARCHAR) OR key = 'EMPRESA' GROUP BY 1""",

@@ -194,8 +194,9 @@ def test_measures(spark):
     assert (r.flagged, r.true_positive, r.wrong_group) == (3, 1, 1) and r.precision == pytest.approx(1 / 3) and r.recall == pytest.approx(1 / 3)
     merged = measure.union_truths(truth, spark.createDataFrame([("A", 9), ("Q", 9)], "firm_key string, group_id long"))
     assert {x.firm_key: x.group_id for x in merged.collect()} == {"A": 1, "B": 1, "D": 1, "Z": 1, "Q": 9}
-    lengths = spark.createDataFrame([(48, 10), (49, 40), (50, 60), (51, 2)], "length int, n long")
-    assert measure.cut_length(lengths).count() == 1
+    lengths = spark.createDataFrame([(47, 30), (48, 28), (49, 40), (50, 60), (51, 2)], "length int, n long")
+    assert measure.cut_length(lengths) == 49 and measure.cut_length(lengths.limit(0)) is None
+    assert measure.cut_length(spark.createDataFrame([(1, 9), (2, 5)], "length int, n long")) is None
 
 
 def test_triage_tiers(spark):
@@ -206,3 +207,57 @@ def test_triage_tiers(spark):
     tiers = [r.tier for r in sorted(got, key=lambda r: r.place)]
     assert tiers == ["first"] * 2 + ["next"] * 3 + ["rest"] * 5
     assert next(r for r in got if r.lead_id == 3).brand and len(got) == 10
+
+
+def test_process_steps(spark):
+    from actaflow.operators import process
+
+    leads = spark.createDataFrame([(7, "M", "1", "open", "mention"), (5, "M", "1", "open", "mention"), (3, "M", "2", "gone", "mention"), (2, "M", "3", "open", "token")], "lead_id long, province string, sheet string, state string, found_by string")
+    followed = process.followed_sheets(leads)
+    assert [(r.sheet, r.lead_id) for r in followed.collect()] == [("1", 5)]
+    rows = [(1, "9", 4, None), (2, "9", None, 3), (3, "1", None, None), (4, "9", None, None), (5, "9", None, None)]
+    a = spark.createDataFrame([("d", n, "M", s, c, g) for n, s, c, g in rows], "doc_id string, num long, province string, sheet string, company_id long, suggestion long")
+    found = spark.createDataFrame([("d", 4, 1, "token", "e")], "doc_id string, num long, group_id long, reason string, evidence string")
+    kept = {r.num: r.kept_as for r in process.cascade(a, followed, found).collect()}
+    assert kept == {1: "watched", 2: "review", 3: "candidate", 4: "candidate", 5: "discard"}
+    later = {r.num: r.kept_as for r in process.cascade(a, followed, found, known_only=True).collect()}
+    assert later == {1: "watched", 2: "discard", 3: "candidate", 4: "discard", 5: "discard"}
+    assert {r.num: r.kept_as for r in process.cascade(a, followed, found, store_all=True).collect()}[5] == "all"
+    old = spark.createDataFrame([(1, None, "x")], "k long, v string, w string")
+    new = spark.createDataFrame([(1, None, "y"), (2, "a", "second"), (2, "a", "first")], "k long, v string, w string")
+    assert sorted((r.k, r.w) for r in process.insert_absent(old, new, ["k", "v"], ["w"]).collect()) == [(1, "x"), (2, "first")]
+    assert process.added_anything({"sheets": 1, "aliases": 0, "watched": 2, "of_leads": 0}, {"sheets": 1, "aliases": 0, "watched": 3, "of_leads": 0})
+
+
+def test_leads_are_judged_again(spark):
+    from actaflow.operators import process
+
+    leads = spark.createDataFrame([(i, f"K{i}", "M", str(i), 1, "token", "old", "open", 3, D0, D0) for i in (1, 2, 3, 4)], "lead_id long, firm_key string, province string, sheet string, group_id long, found_by string, evidence string, state string, notice_count long, first_day date, last_day date")
+    keys, sheets = spark.createDataFrame([("K1",)], "name_key string"), spark.createDataFrame([("M", "2")], "province string, sheet string")
+    found = spark.createDataFrame([(1, 9, "mention", "new"), (3, 2, "mention", "new")], "lead_id long, group_id long, reason string, evidence string")
+    got = {r.lead_id: (r.state, r.group_id, r.found_by, r.evidence) for r in process.rejudge(leads, keys, sheets, found).collect()}
+    assert got == {1: ("watched", 1, "token", "old"), 2: ("watched", 1, "token", "old"), 3: ("open", 2, "mention", "new"), 4: ("gone", 1, "token", "old")}
+    notices = spark.createDataFrame([(1, date(2021, 1, 1)), (1, date(2019, 1, 1)), (None, D0)], "lead_id long, fact_day date")
+    counts = {r.lead_id: (r.notice_count, r.first_day.year, r.last_day.year) for r in process.refresh_leads(leads, notices).collect()}
+    assert counts == {1: (2, 2019, 2021), 2: (3, 2020, 2020), 3: (3, 2020, 2020), 4: (3, 2020, 2020)}
+
+
+def test_corpus_counts(spark):
+    from actaflow.operators import corpus
+
+    rows = [("M", "1", 1, "A", []), ("M", "1", 2, "B", ["name_change"]), ("M", "1", 3, "C", ["extinction"]), ("M", "1", 4, "A", []), ("M", None, 5, "A", []), ("M", "2", 6, "Z", ["dissolution"]), ("M", "2", 7, "Z", ["dissolution"])]
+    r = corpus.sheet_stability(spark.createDataFrame(rows, "province string, sheet string, ord long, firm_key string, types array<string>")).first()
+    assert (r.with_sheet, r.after_rename, r.after_rename_other_name, r.after_extinction, r.after_dissolution, r.name_differs_without_rename, r.renamed_sheets, r.extinct_sheets, r.dissolved_sheets, r.distinct_sheets) == (6, 2, 1, 1, 1, 1, 1, 1, 1, 2)
+    s = spark.createDataFrame([("A", "M", ("GR", "10", None)), ("A", "M", ("GR", "10", "20001")), ("B", "M", ("GR", "1", "0001")), ("C", "M", ("GR", "1", "22")), ("C", "M", ("GR", "22", None))], "firm_key string, province string, parts struct<letters:string,number:string,second:string>")
+    assert {(x.kind, x.verdict): x.n for x in corpus.sheet_verdicts(s).collect()} == {("5 digits", "first"): 1, ("repeats the first", "no other announcement"): 1, ("2 digits", "second"): 1}
+    b = corpus.boundaries(spark.createDataFrame([("Nombramientos. Adm: PERSONA UNODisolución. Voluntaria. - Extinción. X",), ("nada",)], "body string")).first()
+    assert (b.announcements, b.glued_to_capital, b.after_dot_space_dash, b.announcements_affected) == (2, 1, 1, 1)
+    dated = spark.createDataFrame([("founded", D0, True, date(2020, 5, 1), "officers"), ("acquired", D0, True, None, None), ("acquired", D0, False, D0, "officers")], "rule string, entry_day date, confirmed boolean, officers_day date, officers_evidence string")
+    assert {(x.rule, x.verdict): x.days for x in corpus.officers_against_owner(dated).collect()} == {("founded", "officers, same year"): [121], ("acquired", "officers give no year"): []}
+    lengths = spark.createDataFrame([(1, 90), (5, 9), (9, 1)], "length int, n long")
+    assert [corpus.length_quantile(lengths, q) for q in (0.5, 0.95, 1.0)] == [1, 5, 9]
+    firms = spark.createDataFrame([("TALLERES NORTES SL", 1), ("TALLERES NORTE SA", 2)], "firm_key string, sheet_owner long")
+    w = spark.createDataFrame([("TALLERES NORTE SL", 1)], "name_key string, company_id long")
+    assert [(x.band, x.truth, x.names) for x in corpus.fuzzy_bands(firms, w).collect()] == [(95, "same", 1)]
+    st = spark.createDataFrame([("CL MAYOR 3 PISO 2",)] * 3, "street string")
+    assert {x.word for x in corpus.street_words(st, spark.createDataFrame([("MADRID",)], "city string"), 3, 0.5, 1).collect()} == {"PISO"}

@@ -110,3 +110,23 @@ def test_entry_contract(spark, sf_dir):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.isdir(sf_dir)
+
+
+def test_rebuild_from_files(spark, tmp_path):
+    """A folder of documents and a watchlist, in one go."""
+    from actaflow.plans import commands
+
+    (tmp_path / "docs").mkdir()
+    for name, text in (("a", A), ("b", B)):
+        (tmp_path / "docs" / f"{name}.xml").write_text(text)
+    (tmp_path / "w.csv").write_text("group,name\nG,Uno Ejemplo SL\nG,Dos SA\n")
+    out = commands.run_command(spark, str(tmp_path / "docs"), str(tmp_path / "w.csv"))
+    assert sorted((r.num, r.kept_as, r.via) for r in out["notices"].collect()) == [(-1, "watched", "name"), (7, "candidate", "none"), (101, "watched", "sheet")]
+    assert [(r.province, r.sheet) for r in out["sheets"].collect()] == [("MADRID", "M 55")]
+    assert [(r.role, r.holder) for r in out["positions"].collect()] == [("sole_director", "PERSONA UNO")]
+    record = {r.field: r.value for r in out["record"].collect()}
+    assert record["address"] == "CL UNO 3" and record["city"] == "MADRID" and record["capital"] == "3000.00"
+    assert [(r.firm, r.reason, r.state) for r in out["leads"].collect()] == [("UNO SL", "mention", "open")]
+    assert {r.kept_as: r.n for r in out["tallies"].collect()} == {"watched": 2, "candidate": 1}
+    counted = commands.stats(out["notices"], out["acts"])["acts"]
+    assert counted.filter("level = 3").first().n == 3
