@@ -214,11 +214,14 @@ def _round(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A band's leader is its most central set: the one whose bands hold the most
     sets.  Among edited copies of a text this is the least edited one, which is
     closer to the others than they are to one another."""
-    held = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    # counts and leaders are written first: a join whose sides are only read is split by
+    # rows where a band is crowded
+    held = checkpoint(bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
     crowded = checkpoint(bands.join(held, ["band", "key"]))
     central = crowded.groupBy("rep").agg(F.sum("held").alias("central"))
     crowded = checkpoint(crowded.drop("held").join(central, "rep"))
     leaders = crowded.groupBy("band", "key").agg(F.max(F.struct("central", (-F.col("rep")).alias("fallen"))).alias("top")).select("band", "key", (-F.col("top.fallen")).alias("leader"), F.col("top.central").alias("weight"))
+    leaders = checkpoint(leaders)
     proposed = checkpoint(crowded.join(leaders, ["band", "key"]).filter("rep <> leader").select("rep", "leader", "weight"))
     proposed = proposed.groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("bands"), F.max("weight").alias("weight"))
     order = Window.partitionBy("rep").orderBy(F.desc("bands"), F.desc("weight"), "leader")

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from actaflow.llm.words import WORD_HASHES, WordHashes, window_hashes
 
 #: Share of word characters that duplicated n-grams of this many words may hold.
-NGRAM_LIMITS = {5: 0.15, 7: 0.13, 10: 0.10}
+#: A line or two said again in a short text stay below.
+NGRAM_LIMITS = {5: 0.30, 7: 0.28, 10: 0.25}
 #: Share of word characters that repeated lines may hold.
-LINE_LIMIT = 0.20
+LINE_LIMIT = 0.30
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SYMBOLS = b"#*$%&|<>"
