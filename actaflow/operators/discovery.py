@@ -25,21 +25,21 @@ def mention_keys(names: DataFrame, min_chars: int = C.BARE_MIN_CHARS, min_words:
 def mentions(acts: DataFrame, holdings: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, num, group_id, evidence): the first slot, in act order, whose whole name is a
     watched one."""
-    named = slots(acts, holdings).withColumn("key", name_key(F.col("name"))).filter("key <> ''").join(keys, "key")
+    named = slots(acts, holdings).select("*", F.explode(F.array(name_key(F.col("name")))).alias("key")).filter("key <> ''").join(keys, "key")
     best = F.min_by(F.struct("group_id", F.concat(F.col("kind"), F.lit(' "'), F.col("key"), F.lit('"')).alias("evidence")), F.struct("seq", "at"))
     return named.groupBy("doc_id", "num").agg(best.alias("b")).select("doc_id", "num", "b.*")
 
 
 def registered_sites(acts: DataFrame, generic: Column | None = None) -> DataFrame:
     """(doc_id, num, seq, site): where an incorporation or change of address registers it."""
-    a = acts.filter(F.col("act_type").isin("address_change", "incorporation")).withColumn("_o", observations(F.col("act_type"), F.col("detail")))
+    a = acts.filter(F.col("act_type").isin("address_change", "incorporation")).select("*", F.explode(F.array(observations(F.col("act_type"), F.col("detail")))).alias("_o"))
     said = lambda f: F.get(F.filter("_o", lambda x: x["field"] == f), F.lit(0))["value"]
-    return a.select("doc_id", "num", "seq", site(said("address"), said("city"), generic, from_registry=True).alias("site")).filter("site is not null")
+    return a.select("doc_id", "num", "seq", F.explode(F.array(site(said("address"), said("city"), generic, from_registry=True))).alias("site")).filter("site is not null")
 
 
 def watched_sites(addresses: DataFrame, generic: Column | None = None) -> DataFrame:
     """(pos, group_id, known) from (pos, group_id, street, city)."""
-    return addresses.select("pos", "group_id", site(F.col("street"), F.col("city"), generic).alias("known")).filter("known is not null")
+    return addresses.select("pos", "group_id", F.explode(F.array(site(F.col("street"), F.col("city"), generic))).alias("known")).filter("known is not null")
 
 
 def at_watched_sites(seen: DataFrame, known: DataFrame, noise: DataFrame | None = None, generic: Column | None = None, noise_max: int = C.ADDRESS_NOISE_MAX) -> DataFrame:

@@ -28,3 +28,10 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few partitions dealt to all cores before costly text rules; a scan that
+    has enough of them is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

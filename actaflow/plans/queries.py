@@ -13,7 +13,7 @@ from actaflow.functions import catalogue as C
 from actaflow.functions.places import differs
 from actaflow.functions.text import name_grams, name_key, plain
 from actaflow.operators import corpus, discovery, facts, graph, matching, measure, officers, positions, process, record, timeline
-from actaflow.operators.acts import acts_of, computed_once, explode_acts
+from actaflow.operators.acts import computed_once, explode_acts, with_acts, with_registry
 from actaflow.operators.tables import cut_lineage
 from actaflow.plans import synth
 
@@ -28,19 +28,20 @@ class Gazette:
     def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
         """``keep``: written once to the shared folder, for queries that read them repeatedly."""
         self.spark = spark
-        read = acts_of(synth.announcements(spark, sf_dir))
-        self.announcements = computed_once(read, "firm_key", name_key(F.col("firm"))).withColumn("fact_day", F.coalesce("inscription_date", "day"))
-        if keep:
-            self.announcements = cut_lineage(self.announcements)
+        read = with_registry(synth.announcements(spark, sf_dir))
+        read = computed_once(read, "firm_key", name_key(F.col("firm"))).withColumn("fact_day", F.coalesce("inscription_date", "day"))
+        self.full = cut_lineage(with_acts(read)) if keep else with_acts(read)
+        # without the acts, which only queries that ask for them pay for
+        self.announcements = self.full if keep else read
 
     @property
     def acts(self) -> DataFrame:
-        return explode_acts(self.announcements)
+        return explode_acts(self.full)
 
     @property
     def raw_acts(self) -> DataFrame:
         """Acts without officer slots: no Python runs."""
-        a = self.announcements.select("*", F.posexplode("acts").alias("_at", "_a")).drop("acts")
+        a = self.full.select("*", F.posexplode("acts").alias("_at", "_a")).drop("acts")
         return a.withColumns({"seq": (F.col("_at") + 1).cast("int"), "act_type": F.col("_a.act_type"), "detail": F.col("_a.detail")}).drop("_at", "_a")
 
     def events(self, acts: DataFrame | None = None) -> DataFrame:
@@ -118,7 +119,7 @@ def q_priorities(spark, sf_dir):
 
 def q_document_counts(spark, sf_dir):
     g = Gazette(spark, sf_dir, keep=True)
-    return measure.document_counts(g.announcements, g.raw_acts)
+    return measure.document_counts(g.full, g.raw_acts)
 
 
 def q_exact_match(spark, sf_dir):
@@ -128,7 +129,7 @@ def q_exact_match(spark, sf_dir):
 def q_fixpoint_links(spark, sf_dir):
     g = Gazette(spark, sf_dir)
     ends = F.exists("acts", lambda a: a["act_type"].isin(*C.SHEET_ENDING_ACTS))
-    a = cut_lineage(g.announcements.withColumn("ends_sheet", ends).select("doc_id", "num", "province", "sheet", "firm_key", "fact_day", "ends_sheet"))
+    a = cut_lineage(g.full.withColumn("ends_sheet", ends).select("doc_id", "num", "province", "sheet", "firm_key", "fact_day", "ends_sheet"))
     none = spark.createDataFrame([], "name_key string, company_id long")
     renames = spark.createDataFrame([], "doc_id string, num long, new_key string")
     known, _ = matching.learn(a, synth.watched(spark), synth.sheets(spark), none, renames)
@@ -203,7 +204,7 @@ def q_shared_members(spark, sf_dir):
 
 
 def q_sheet_stability(spark, sf_dir):
-    a = Gazette(spark, sf_dir).announcements
+    a = Gazette(spark, sf_dir).full
     return corpus.sheet_stability(a.select("province", "sheet", F.col("num").alias("ord"), "firm_key", F.transform("acts", lambda x: x["act_type"]).alias("types")))
 
 
@@ -235,7 +236,7 @@ def q_registered_addresses(spark, sf_dir):
 
 def q_pair_counts(spark, sf_dir):
     g = Gazette(spark, sf_dir)
-    texts = g.announcements.select("doc_id", "num", "firm_key", F.array_join(F.transform("acts", lambda x: x["detail"]), " ").alias("text"))
+    texts = g.full.select("doc_id", "num", "firm_key", F.array_join(F.transform("acts", lambda x: x["detail"]), " ").alias("text"))
     names = spark.sql("SELECT explode(array('PERSONA ALFA', 'PERSONA BRAVO', 'PERSONA NADIE')) AS name")
     return corpus.pair_counts(texts, names)[1]
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actaflow.operators.tables import spread
+
 PEOPLE = "ALFA BRAVO CHARLIE DELTA ECO FOXTROT GOLF HOTEL INDIA JULIETT KILO LIMA MIKE NOVEMBER OSCAR PAPA QUEBEC ROMEO SIERRA TANGO".split()
 LABELS = ("Adm. Unico", "Consejero", "Apoderado", "Auditor", "Adm. Solid.", "Secretario")
 PROVINCES = 5
@@ -26,7 +28,7 @@ def _money(cents: Column) -> Column:
 
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, num, province, day, firm, raw_text of each event."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "ts", "value", "props")
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "ts", "value", "props"))
     u, n = F.col("user_id"), F.col("event_id")
     e = e.withColumns(
         {
