@@ -49,7 +49,7 @@ SIZE_RATIO = 1.15
 #: Rounds in which sets find leaders; what they miss is found in step 4, at a higher price.
 ROUNDS = 4
 #: Members of a group opened by one task, sets that ask there, members of a group kept in one block.
-CHUNK, ASKING, ONE_BLOCK = 64, 512, 1000
+CHUNK, ASKING, ONE_BLOCK = 64, 128, 1000
 _SEVERAL = -1
 
 
