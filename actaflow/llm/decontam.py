@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions.
 
 Numbers, units after numbers and capitalised words inside a sentence become typed
-placeholders; everything else is lower-cased and loses its punctuation.  Windows
-of ``window`` words are hashed and joined with the windows of the benchmark (an
-item shorter than a window is one window).  Two windows with the same template
+placeholders; everything else is lower-cased and loses its punctuation.  In a second,
+wide form every capitalised word is a placeholder, at the start of a sentence, too,
+and a run of them is one, so that names of any length stand anywhere.  Windows of ``window`` words are hashed and joined with the windows of the benchmark (an item
+shorter than a window is one window), either form with either.  Two windows with the same template
 match as they are if their fillers are equal, and as a re-parameterised question
 if their fillers are consistent: equal fillers on one side stand against equal
 fillers on the other.  Letter case and punctuation never matter, as windows
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 WINDOW = 10
 #: Share of an item's windows that re-parameterised windows must reach, in percent.
 TEMPLATE_PERCENT = 50
-#: Words of a template window that have to be literal.
+#: Words of a template window that have to be literal, or slots filled alike.
 MIN_LITERAL = 6
 #: Items of fewer words are too common to tell anything and match nothing.
 MIN_ITEM_WORDS = 5
@@ -30,6 +31,8 @@ MIN_ITEM_WORDS = 5
 MAX_BROADCAST = 200_000
 #: Bits of the filter of benchmark windows, at most (2 MB); a fuller one lets more through.
 MAX_FILTER_BITS = 1 << 24
+#: Different words of the benchmark that are looked for before windows are hashed; of more, none are.
+MAX_VOCABULARY = 20_000
 UNITS = (
     "mm cm km kg mg lb oz mph kmh ml meters metres meter metre miles mile feet foot inches inch kilometers kilometres "
     "grams gram kilograms pounds pound ounces liters litres liter litre gallons seconds second minutes minute hours hour "
@@ -37,22 +40,39 @@ UNITS = (
 ).split()
 _NUMBER = r"\p{N}(?:[\p{N}.,]*\p{N})?"
 _MARK = "\x01"
+#: What parts two words of one name; no line break, as a heading is no part of a name.
+_IN_NAME = r"(?:[ \t-]\x01p(?<=\x01p\p{L}{1,40}[ \t-]\x01p)|\. \x01p(?<=\x01p(?:\p{Lu}|Mrs?|Ms|Dr|Prof|St)\. \x01p))"
 
 
-def marked(text: Column) -> Column:
-    """The words of a text, those that fill a slot behind a mark and their type."""
-    return F.get(F.transform(F.array(text), _marked), F.lit(0))
+def with_words(rows: DataFrame) -> DataFrame:
+    """``rows`` with wide and words in place of text: its words in the narrow form and,
+    where it is another, the wide one; those that fill a slot are behind a mark and their type."""
+    others = [c for c in rows.columns if c != "text"]
+    rows = rows.select(*others, F.explode(F.array(_numbered(F.col("text")))).alias("text"))
+    rows = rows.select(*others, F.explode(F.array(F.struct(_words(_named(F.col("text"))).alias("narrow"), _words(_widely_named(F.col("text"))).alias("wide")))).alias("_w"))
+    forms = F.when(F.col("_w.wide") == F.col("_w.narrow"), F.array("_w.narrow")).otherwise(F.array("_w.narrow", "_w.wide"))
+    return rows.select(*others, F.posexplode(forms).alias("wide", "words"))
 
 
-def _marked(text: Column) -> Column:
+def _numbered(text: Column) -> Column:
     unit = "|".join(UNITS)
     with_numbers = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}\x01])({_NUMBER})\s*(?i:({unit}))(?![\p{{L}}\p{{N}}])", " \x01n$1 \x01u$2 ")
     with_numbers = F.regexp_replace(with_numbers, rf"(?<![\p{{L}}\p{{N}}\x01.,])({_NUMBER})(?![\p{{L}}\p{{N}}])", " \x01n$1 ")
-    text = F.when(text.rlike(r"\p{N}"), with_numbers).otherwise(text)
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;]\s)(\p{Lu}[\p{L}]*)(?![\p{L}\p{N}])", "\x01p$1")
+    return F.when(text.rlike(r"\p{N}"), with_numbers).otherwise(text)
+
+
+def _named(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;]\s)(\p{Lu}[\p{L}]*)(?![\p{L}\p{N}])", "\x01p$1")
+
+
+def _widely_named(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"(\p{Lu}(?<![\p{L}\p{N}\x01]\p{Lu})\p{L}*)(?![\p{L}\p{N}])", "\x01p$1"), _IN_NAME, "\x02")
+
+
+def _words(named: Column) -> Column:
     lower = F.lower(named)
     # points and commas inside numbers stay
-    flat = F.when(text.rlike(r"\p{N}"), F.regexp_replace(lower, r"(?:[^\p{L}\p{N}\x01.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+", " ")).otherwise(F.regexp_replace(lower, r"[^\p{L}\p{N}\x01]+", " "))
+    flat = F.when(named.rlike(r"\p{N}"), F.regexp_replace(lower, r"(?:[^\p{L}\p{N}\x01\x02.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+", " ")).otherwise(F.regexp_replace(lower, r"[^\p{L}\p{N}\x01\x02]+", " "))
     return F.split(F.trim(flat), " ")
 
 
@@ -73,25 +93,30 @@ def _pattern(fillers: Column) -> Column:
     return F.transform(fillers, lambda x: F.array_position(fillers, x))
 
 
-def window_hashes(words: Column, size: int) -> Column:
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def window_hashes(hashed: Column, size: int) -> Column:
     """The hash of every window: of the hashes of its words, side by side."""
 
     def of(h: Column) -> Column:
         n = F.greatest(F.size(h) - (size - 1), F.lit(0))
         return F.transform(F.arrays_zip(*[F.slice(h, k + 1, n) for k in range(size)]), lambda w: F.xxhash64(w))
 
-    return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), of), F.lit(0))
+    return F.get(F.transform(F.array(hashed), of), F.lit(0))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(size, h, item_id, i, n_windows, item_words): the windows of every item, under
-    their template and their plain form."""
-    items = benchmark.select("item_id", F.explode(F.array(marked(F.col("text")))).alias("words")).filter(F.size("words") >= MIN_ITEM_WORDS)
-    items = items.select("item_id", "words", F.least(F.lit(window), F.size("words")).alias("size"))
+    """(size, h, item_id, item_wide, i, n_windows, item_words): the windows of every item,
+    under their template and, in the narrow form, their plain form."""
+    items = with_words(benchmark.select("item_id", "text")).filter(F.size("words") >= MIN_ITEM_WORDS)
+    items = items.select("item_id", F.col("wide").alias("item_wide"), "words", F.least(F.lit(window), F.size("words")).alias("size"))
     hashes = lambda form: F.coalesce(*[F.when(F.col("size") == k, window_hashes(form, k)) for k in range(MIN_ITEM_WORDS, window + 1)])
-    rows = items.select("item_id", "size", "words", F.posexplode(F.arrays_zip(hashes(_typed(F.col("words"))).alias("t"), hashes(_plain(F.col("words"))).alias("p"))).alias("at", "h2"))
+    rows = items.select("item_id", "item_wide", "size", "words", F.posexplode(F.arrays_zip(hashes(_hashed(_typed(F.col("words")))).alias("t"), hashes(_hashed(_plain(F.col("words")))).alias("p"))).alias("at", "h2"))
     rows = rows.withColumn("i", F.col("at") + 1).withColumn("n_windows", F.size("words") - F.col("size") + 1)
-    return rows.select("item_id", "size", "n_windows", "i", F.slice("words", F.col("i"), F.col("size")).alias("item_words"), F.explode(F.array_distinct(F.array("h2.t", "h2.p"))).alias("h"))
+    keys = F.when(F.col("item_wide") == 1, F.array("h2.t")).otherwise(F.array_distinct(F.array("h2.t", "h2.p")))
+    return rows.select("item_id", "item_wide", "size", "n_windows", "i", F.slice("words", F.col("i"), F.col("size")).alias("item_words"), F.explode(keys).alias("h"))
 
 
 def _bitmap(keys: DataFrame, n: int) -> tuple[str, int]:
@@ -117,29 +142,42 @@ def _candidates(hashes: Column, bitmap: tuple[str, int]) -> Column:
     return F.transform(F.filter(every, held), lambda i: F.struct(i.alias("at"), F.element_at(hashes, i).alias("h")))
 
 
+def _may_hold(hashed: str, vocabulary: list[int], size: int) -> Column:
+    """Whether ``size`` words of the benchmark stand side by side in a column of hashes."""
+    held = ", ".join(f"{v}L" for v in vocabulary)
+    flags = F.expr(f"array_join(transform({hashed}, h -> if(h in ({held}), '1', '0')), '')")
+    return F.coalesce(flags.contains("1" * size), F.lit(False))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, plain, templates): contaminated pairs and their windows.
 
-    A document's windows are hashed and looked up in a bitmap of the benchmark's hashes
+    Only documents with enough words of the benchmark side by side can hold a window of it;
+    their windows are hashed and looked up in a bitmap of the benchmark's hashes
     where they stand; only those that it holds become rows and are joined by hash.
     Expressions that several others use are exploded from an array of one, so that they
     are computed once."""
     items = benchmark_windows(benchmark, window).cache()
     n = items.count()
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    words = docs.select("doc_id", F.explode(F.array(marked(F.col("text")))).alias("words"))
+    words = with_words(docs.select("doc_id", "text"))
     slotted = F.exists("words", lambda w: w.startswith(_MARK))
-    forms = F.struct(F.when(slotted, _typed(F.col("words"))).otherwise(F.col("words")).alias("typed"), F.when(slotted, _plain(F.col("words"))).alias("plain"))
-    words = words.select("doc_id", "words", F.explode(F.array(forms)).alias("forms"))
+    typed, plain = F.when(slotted, _typed(F.col("words"))).otherwise(F.col("words")), F.when(slotted & (F.col("wide") == 0), _plain(F.col("words")))
+    forms = F.struct(_hashed(typed).alias("typed"), _hashed(plain).alias("plain"))
+    words = words.select("doc_id", "wide", "words", F.explode(F.array(forms)).alias("forms"))
+    of_items = items.select(F.explode(F.concat(_typed(F.col("item_words")), _plain(F.col("item_words")))).alias("w")).select(F.xxhash64("w").alias("v")).distinct()
+    vocabulary = [r["v"] for r in of_items.limit(MAX_VOCABULARY + 1).collect()]
+    if sizes and len(vocabulary) <= MAX_VOCABULARY:
+        words = words.filter(_may_hold("forms.typed", vocabulary, sizes[0]) | _may_hold("forms.plain", vocabulary, sizes[0]))
     hits = None
     for size in sizes:
         own_items = items.filter(F.col("size") == size)
         bitmap = _bitmap(own_items.select("h"), n)
         hashes = F.struct(window_hashes(F.col("forms.typed"), size).alias("t"), F.when(F.col("forms.plain").isNotNull(), window_hashes(F.col("forms.plain"), size)).alias("p"))
-        placed = words.select("doc_id", "words", F.explode(F.array(hashes)).alias("hashes"))
+        placed = words.select("doc_id", "wide", "words", F.explode(F.array(hashes)).alias("hashes"))
         found = F.concat(_candidates(F.col("hashes.t"), bitmap), F.when(F.col("hashes.p").isNotNull(), _candidates(F.col("hashes.p"), bitmap)).otherwise(F.array().cast("array<struct<at:int,h:bigint>>")))
-        keyed = placed.select("doc_id", "words", F.explode(F.array_distinct(found)).alias("w"))
-        keyed = keyed.select("doc_id", F.col("w.at").alias("at"), F.slice("words", F.col("w.at"), size).alias("doc_words"), F.col("w.h").alias("h"))
+        keyed = placed.select("doc_id", "wide", "words", F.explode(F.array_distinct(found)).alias("w"))
+        keyed = keyed.select("doc_id", "wide", F.col("w.at").alias("at"), F.slice("words", F.col("w.at"), size).alias("doc_words"), F.col("w.h").alias("h"))
         own = keyed.join(F.broadcast(own_items) if n <= MAX_BROADCAST else own_items, "h")
         hits = own if hits is None else hits.unionByName(own)
     if hits is None:
@@ -147,11 +185,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     a, b = _fillers(F.col("doc_words")), _fillers(F.col("item_words"))
     plain = F.array_join(_plain(F.col("doc_words")), " ") == F.array_join(_plain(F.col("item_words")), " ")
     same = F.array_join(_typed(F.col("doc_words")), " ") == F.array_join(_typed(F.col("item_words")), " ")
-    template = same & (_pattern(a) == _pattern(b)) & (F.col("size") - F.size(b) >= F.least(F.lit(MIN_LITERAL), F.col("size")))
     filled = F.arrays_zip(b.alias("item"), a.alias("doc"))
-    judged = hits.select("doc_id", "item_id", "n_windows", "i", (F.col("at") - F.col("i")).alias("shift"), plain.alias("plain"), (plain | template).alias("fits"), filled.alias("filled")).filter("fits")
+    template = same & (_pattern(a) == _pattern(b)) & (F.col("size") - F.size(F.filter(filled, lambda x: x["item"] != x["doc"])) >= F.least(F.lit(MIN_LITERAL), F.col("size")))
+    # a name that begins or ends an item may run on into the text around it
+    name_at = lambda at: F.element_at("item_words", at).startswith(_MARK + "p")
+    first, last = ((F.col("i") == 1) & name_at(1)).cast("int"), ((F.col("i") == F.col("n_windows")) & name_at(-1)).cast("int")
+    inner = F.slice(filled, first + 1, F.greatest(F.size(filled) - first - last, F.lit(0)))
+    judged = hits.select("doc_id", "item_id", "wide", "item_wide", "n_windows", "i", (F.col("at") - F.col("i")).alias("shift"), plain.alias("plain"), (plain | template).alias("fits"), inner.alias("filled")).filter("fits")
     # one occurrence of an item: windows at one shift, whose slots have to agree as a whole
-    runs = judged.groupBy("doc_id", "item_id", "shift").agg(
+    runs = judged.groupBy("doc_id", "item_id", "wide", "item_wide", "shift").agg(
         F.max("n_windows").alias("n"), F.count_distinct("i").alias("templates"), F.count_distinct(F.when(F.col("plain"), F.col("i"))).alias("plain"),
         F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"),
     )

@@ -411,6 +411,30 @@ def test_decontamination(spark):
     assert decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), empty).filter("contaminated").count() == 0
 
 
+def contaminated(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontam.decontaminate(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench)
+    return {r.doc_id: r.item_id for r in found.collect() if r.contaminated}
+
+
+def test_decontamination_of_names_anywhere(spark):
+    farm = "A farm has 16 ducks laying eggs. {} eats three for breakfast and sells the rest at 2 dollars. {} wants to know how much she makes every day."
+    pens = "{} buys 4 red pens at 3 dollars each. {} gives 2 of them away. How many are left?"
+    items = [farm.format("Janet", "Janet"), pens.format("Tom", "Tom")]
+    other = lambda text: text.replace("16", "25").replace("2 ", "5 ").replace("4 ", "9 ")
+    docs = [
+        other(farm.format("Maria", "Maria")),
+        other(pens.format("Maria", "Maria")),
+        f"Some words before. {other(pens.format('Mary Ann Baker', 'Mary Ann Baker'))} And some behind.",
+        other(pens.format("J. K. Baker", "J. K. Baker")),
+        f"Question {other(pens.format('Eva', 'Eva'))}",
+        f"A heading\n{other(farm.format('Eva Baker', 'Eva Baker'))}",
+        other(farm.format("Maria", "Eva")),
+        "Tom buys pens. Maria sells 4 red eggs at 3 dollars each. How many ducks does a farm have?",
+    ]
+    assert contaminated(spark, items, docs) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
 def test_decontamination_runs_no_python(spark, sf_dir):
     plan = QUERIES["op10_decontaminate"](spark, sf_dir)._jdf.queryExecution().toString()
     plan += QUERIES["op2_url_filter"](spark, sf_dir)._jdf.queryExecution().toString()
