@@ -6,8 +6,9 @@ wide form every capitalised word is a placeholder, at the start of a sentence, t
 and a run of them is one, so that names of any length stand anywhere.  Windows of ``window`` words are hashed and joined with the windows of the benchmark (an item
 shorter than a window is one window), either form with either.  Two windows with the same template
 match as they are if their fillers are equal, and as a re-parameterised question
-if their fillers are consistent: equal fillers on one side stand against equal
-fillers on the other.  Letter case and punctuation never matter, as windows
+if their fillers are consistent: equal fillers of the item stand against equal
+fillers of the document, and different names against different names (different
+numbers may happen to be equal); units are equal in any spelling.  Letter case and punctuation never matter, as windows
 that hold a placeholder are looked up in their plain form, too.
 
 A document is contaminated by an item if a plain window matches, or if at one
@@ -34,10 +35,14 @@ MAX_FILTER_BITS = 1 << 24
 #: Different words of the benchmark that are looked for before windows are hashed; of more, none are.
 MAX_VOCABULARY = 20_000
 UNITS = (
-    "mm cm km kg mg lb oz mph kmh ml meters metres meter metre miles mile feet foot inches inch kilometers kilometres "
+    "mm cm km kg mg kilogram kilometer kilometre ounce gallon lb oz mph kmh ml meters metres meter metre miles mile feet foot inches inch kilometers kilometres "
     "grams gram kilograms pounds pound ounces liters litres liter litre gallons seconds second minutes minute hours hour "
     "days day weeks week months month years year dollars dollar cents cent euros euro percent degrees degree"
 ).split()
+#: Spellings of a unit beside those that end in s.
+SPELLINGS = {
+    "meter": "metre", "foot": "feet", "inches": "inch", "kilometer": "km", "kilometre": "km", "gram": "grams", "kilogram": "kg", "lb": "pound", "oz": "ounce", "liter": "litre",
+}
 _NUMBER = r"\p{N}(?:[\p{N}.,]*\p{N})?"
 _MARK = "\x01"
 #: What parts two words of one name; no line break, as a heading is no part of a name.
@@ -88,9 +93,20 @@ def _fillers(words: Column) -> Column:
     return F.filter(words, lambda w: w.startswith(_MARK))
 
 
-def _pattern(fillers: Column) -> Column:
-    """Where each filler comes first: equal for consistent fillings."""
-    return F.transform(fillers, lambda x: F.array_position(fillers, x))
+def _one_spelling(fillers: Column) -> Column:
+    """The fillers with units in one spelling."""
+    one = {u: u.removesuffix("s") for u in UNITS}
+    one = {f"{_MARK}u{u}": f"{_MARK}u{SPELLINGS.get(u, SPELLINGS.get(v, v)).removesuffix('s')}" for u, v in one.items()}
+    spelled = F.create_map(*[F.lit(x) for pair in one.items() for x in pair])
+    return F.transform(fillers, lambda x: F.coalesce(F.try_element_at(spelled, x), x))
+
+
+def _consistent(filled: Column) -> Column:
+    """Whether fillers of the item stand for one of the document each, and names for different ones."""
+    different = lambda pairs, side: F.size(F.array_distinct(F.transform(pairs, lambda x: x[side])))
+    pairs = F.array_distinct(filled)
+    names = F.filter(pairs, lambda x: x["item"].startswith(_MARK + "p"))
+    return (F.size(pairs) == different(pairs, "item")) & (F.size(names) == different(names, "doc"))
 
 
 def _hashed(words: Column) -> Column:
@@ -182,11 +198,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         hits = own if hits is None else hits.unionByName(own)
     if hits is None:
         return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("plain"), F.lit(0).cast("long").alias("templates")).limit(0)
-    a, b = _fillers(F.col("doc_words")), _fillers(F.col("item_words"))
+    a, b = _one_spelling(_fillers(F.col("doc_words"))), _one_spelling(_fillers(F.col("item_words")))
     plain = F.array_join(_plain(F.col("doc_words")), " ") == F.array_join(_plain(F.col("item_words")), " ")
     same = F.array_join(_typed(F.col("doc_words")), " ") == F.array_join(_typed(F.col("item_words")), " ")
     filled = F.arrays_zip(b.alias("item"), a.alias("doc"))
-    template = same & (_pattern(a) == _pattern(b)) & (F.col("size") - F.size(F.filter(filled, lambda x: x["item"] != x["doc"])) >= F.least(F.lit(MIN_LITERAL), F.col("size")))
+    template = same & _consistent(filled) & (F.col("size") - F.size(F.filter(filled, lambda x: x["item"] != x["doc"])) >= F.least(F.lit(MIN_LITERAL), F.col("size")))
     # a name that begins or ends an item may run on into the text around it
     name_at = lambda at: F.element_at("item_words", at).startswith(_MARK + "p")
     first, last = ((F.col("i") == 1) & name_at(1)).cast("int"), ((F.col("i") == F.col("n_windows")) & name_at(-1)).cast("int")
@@ -197,9 +213,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         F.max("n_windows").alias("n"), F.count_distinct("i").alias("templates"), F.count_distinct(F.when(F.col("plain"), F.col("i"))).alias("plain"),
         F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"),
     )
-    one = lambda side: F.size(F.array_distinct(F.transform("filled", lambda x: x[side])))
-    agree = (F.size("filled") == one("item")) & (F.size("filled") == one("doc"))
-    runs = runs.filter((F.col("plain") > 0) | (agree & (F.col("templates") * 100 >= F.col("n") * TEMPLATE_PERCENT)))
+    runs = runs.filter((F.col("plain") > 0) | (_consistent(F.col("filled")) & (F.col("templates") * 100 >= F.col("n") * TEMPLATE_PERCENT)))
     return runs.groupBy("doc_id", "item_id").agg(F.max("plain").alias("plain"), F.max("templates").alias("templates"))
 
 

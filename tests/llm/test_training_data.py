@@ -435,6 +435,22 @@ def test_decontamination_of_names_anywhere(spark):
     assert contaminated(spark, items, docs) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
 
 
+def test_decontamination_of_units_and_equal_numbers(spark):
+    train = "The train needs {} {} to reach the coast and {} {} to return with {} people."
+    bread = "the baker sells {} loaves at noon and {} loaves at night for {} euros each"
+    names = "one day {} gave the old book to {} who had read all of it before noon and {} was glad about it"
+    way = "we walk {} {} along the river before we turn back at the old bridge"
+    items = [train.format(1, "hour", 3, "hours", 40), bread.format(12, 15, 3), names.format("Tom", "Anna", "Tom"), way.format(1, "kilometer")]
+    docs = [
+        train.format(2, "hours", 5, "hours", 60),
+        bread.format(20, 20, 4),
+        names.format("Eva", "Maria", "Eva"),
+        names.format("Eva", "Eva", "Eva"),
+        way.format(5, "km"),
+    ]
+    assert contaminated(spark, items, docs) == {0: 0, 1: 1, 2: 2, 4: 3}
+
+
 def test_decontamination_runs_no_python(spark, sf_dir):
     plan = QUERIES["op10_decontaminate"](spark, sf_dir)._jdf.queryExecution().toString()
     plan += QUERIES["op2_url_filter"](spark, sf_dir)._jdf.queryExecution().toString()
