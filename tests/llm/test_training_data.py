@@ -514,6 +514,17 @@ def test_pipeline(spark, sf_dir):
     assert sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(str, final))
 
 
+def test_pipeline_decontaminates_rows_without_an_id_of_their_own(spark, tmp_path):
+    import corpus_pipeline
+
+    item = prose(random.Random(6), 30, 9999)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, text, "en", "s", len(text or "")) for i, text in [(None, f"a {item} b"), (None, "clean"), (None, None), (7, item), (7, "clean as well")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("7", "clean as well"), ("None", "None"), ("None", "clean")]
+
+
 @pytest.mark.parametrize("name", ["op2_url_filter", "op7_line_dedup", "op9_warc_archive"])
 def test_queries_match_their_sql(spark, sf_dir, name):
     import os
