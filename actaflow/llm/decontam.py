@@ -3,17 +3,24 @@
 Numbers, units after numbers and capitalised words inside a sentence become typed
 placeholders; everything else is lower-cased and loses its punctuation.  In a second,
 wide form every capitalised word is a placeholder, at the start of a sentence, too,
-and a run of them is one, so that names of any length stand anywhere.  Windows of ``window`` words are hashed and joined with the windows of the benchmark (an item
-shorter than a window is one window), either form with either.  Two windows with the same template
-match as they are if their fillers are equal, and as a re-parameterised question
-if their fillers are consistent: equal fillers of the item stand against equal
-fillers of the document, and different names against different names (different
-numbers may happen to be equal); units are equal in any spelling.  Letter case and punctuation never matter, as windows
-that hold a placeholder are looked up in their plain form, too.
+and a run of them is one, so that names of any length stand anywhere.  Windows of
+``window`` words are hashed and joined with the windows of the benchmark (an item
+shorter than a window is one window), either form with either.  Two windows with
+the same template match as they are if their fillers are equal, and as a
+re-parameterised question if their fillers are consistent: equal fillers of the
+item stand against equal fillers of the document, and different names against
+different names (different numbers may happen to be equal); units are equal in any
+spelling.  Letter case and punctuation never matter, as windows that hold a
+placeholder are looked up in their plain form, too.
 
 A document is contaminated by an item if a plain window matches, or if at one
 place consistent windows make up at least half of the item's and their fillers
-agree as a whole.
+agree as a whole.  An item of fewer than MIN_TEMPLATE_WORDS words has no template;
+it matches where it stands word by word, and an item of one word only a text that
+has no other.
+
+The verdict is one on a text, so texts are told apart by their digest and not by
+doc_id; items of the same words are one item while windows are joined.
 """
 
 from __future__ import annotations
@@ -21,13 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actaflow.llm.store import checkpoint
+
 WINDOW = 10
 #: Share of an item's windows that re-parameterised windows must reach, in percent.
 TEMPLATE_PERCENT = 50
-#: Words of a template window that have to be literal, or slots filled alike.
-MIN_LITERAL = 6
-#: Items of fewer words are too common to tell anything and match nothing.
-MIN_ITEM_WORDS = 5
+#: Share of a template window's words that have to be literal, or slots filled alike, in percent.
+LITERAL_PERCENT = 50
+#: Shorter items match word by word alone.
+MIN_TEMPLATE_WORDS = 5
 #: Benchmark windows that may be broadcast (about 200 bytes each); beyond, the join shuffles.
 MAX_BROADCAST = 200_000
 #: Bits of the filter of benchmark windows, at most (2 MB); a fuller one lets more through.
@@ -49,13 +58,20 @@ _MARK = "\x01"
 _IN_NAME = r"(?:[ \t-]\x01p(?<=\x01p\p{L}{1,40}[ \t-]\x01p)|\. \x01p(?<=\x01p(?:\p{Lu}|Mrs?|Ms|Dr|Prof|St)\. \x01p))"
 
 
-def with_words(rows: DataFrame) -> DataFrame:
-    """``rows`` with wide and words in place of text: its words in the narrow form and,
-    where it is another, the wide one; those that fill a slot are behind a mark and their type."""
+def with_forms(rows: DataFrame) -> DataFrame:
+    """``rows`` with narrow and wide in place of text: its words in either form; those
+    that fill a slot are behind a mark and their type.  Texts without words go."""
     others = [c for c in rows.columns if c != "text"]
     rows = rows.select(*others, F.explode(F.array(_numbered(F.col("text")))).alias("text"))
-    rows = rows.select(*others, F.explode(F.array(F.struct(_words(_named(F.col("text"))).alias("narrow"), _words(_widely_named(F.col("text"))).alias("wide")))).alias("_w"))
-    forms = F.when(F.col("_w.wide") == F.col("_w.narrow"), F.array("_w.narrow")).otherwise(F.array("_w.narrow", "_w.wide"))
+    forms = F.struct(_words(_named(F.col("text"))).alias("narrow"), _words(_widely_named(F.col("text"))).alias("wide"))
+    return rows.select(*others, F.explode(F.array(forms)).alias("_w")).filter(F.size("_w.narrow") > 0).select(*others, "_w.*")
+
+
+def with_words(rows: DataFrame) -> DataFrame:
+    """``rows`` of with_forms with wide and words: a row for the narrow form and, where
+    it is another, one for the wide form."""
+    others = [c for c in rows.columns if c not in ("narrow", "wide")]
+    forms = F.when(F.col("wide") == F.col("narrow"), F.array("narrow")).otherwise(F.array("narrow", "wide"))
     return rows.select(*others, F.posexplode(forms).alias("wide", "words"))
 
 
@@ -67,7 +83,7 @@ def _numbered(text: Column) -> Column:
 
 
 def _named(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;]\s)(\p{Lu}[\p{L}]*)(?![\p{L}\p{N}])", "\x01p$1")
+    return F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll}\p{N},;]\s\p{Lu})\p{L}*)(?![\p{L}\p{N}])", "\x01p$1")
 
 
 def _widely_named(text: Column) -> Column:
@@ -75,10 +91,13 @@ def _widely_named(text: Column) -> Column:
 
 
 def _words(named: Column) -> Column:
-    lower = F.lower(named)
+    return F.get(F.transform(F.array(F.lower(named)), _split), F.lit(0))
+
+
+def _split(lower: Column) -> Column:
     # points and commas inside numbers stay
-    flat = F.when(named.rlike(r"\p{N}"), F.regexp_replace(lower, r"(?:[^\p{L}\p{N}\x01\x02.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+", " ")).otherwise(F.regexp_replace(lower, r"[^\p{L}\p{N}\x01\x02]+", " "))
-    return F.split(F.trim(flat), " ")
+    numbered = F.split(lower, r"(?:[^\p{L}\p{N}\x01\x02.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+")
+    return F.array_remove(F.when(lower.rlike(r"\p{N}"), numbered).otherwise(F.split(lower, r"[^\p{L}\p{N}\x01\x02]+")), "")
 
 
 def _typed(words: Column) -> Column:
@@ -86,7 +105,7 @@ def _typed(words: Column) -> Column:
 
 
 def _plain(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.startswith(_MARK), F.substring(w, 3, 1_000_000)).otherwise(w))
+    return F.transform(words, lambda w: F.when(w.startswith(_MARK), F.substring(w, F.lit(3), F.char_length(w))).otherwise(w))
 
 
 def _fillers(words: Column) -> Column:
@@ -124,20 +143,27 @@ def window_hashes(hashed: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(size, h, item_id, item_wide, i, n_windows, item_words): the windows of every item,
-    under their template and, in the narrow form, their plain form."""
-    items = with_words(benchmark.select("item_id", "text")).filter(F.size("words") >= MIN_ITEM_WORDS)
-    items = items.select("item_id", F.col("wide").alias("item_wide"), "words", F.least(F.lit(window), F.size("words")).alias("size"))
-    hashes = lambda form: F.coalesce(*[F.when(F.col("size") == k, window_hashes(form, k)) for k in range(MIN_ITEM_WORDS, window + 1)])
-    rows = items.select("item_id", "item_wide", "size", "words", F.posexplode(F.arrays_zip(hashes(_hashed(_typed(F.col("words")))).alias("t"), hashes(_hashed(_plain(F.col("words")))).alias("p"))).alias("at", "h2"))
+    """(size, h, item, item_id, n_same, item_wide, i, n_windows, item_words): the windows of
+    every item, under their template and, in the narrow form, their plain form.
+
+    Items of the same words are one ``item``, with the smallest item_id and their number."""
+    forms = with_forms(benchmark.select("item_id", F.col("text").cast("string").alias("text")))
+    items = forms.groupBy("narrow", "wide").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_same"))
+    items = with_words(items.withColumn("item", F.sha2(F.concat_ws(" ", "narrow", F.array(F.lit("|")), "wide"), 256)))
+    items = items.withColumn("size", F.least(F.lit(window), F.size("words"))).filter((F.col("wide") == 0) | (F.size("words") >= MIN_TEMPLATE_WORDS))
+    starts = F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)
+    # an array is hashed like its elements side by side
+    hashes = lambda form: F.transform(starts, lambda i: F.xxhash64(F.slice(form, i, F.col("size"))))
+    both = F.arrays_zip(hashes(_hashed(_typed(F.col("words")))).alias("t"), hashes(_hashed(_plain(F.col("words")))).alias("p"))
+    rows = items.select("item", "item_id", "n_same", F.col("wide").alias("item_wide"), "size", "words", F.posexplode(both).alias("at", "h2"))
     rows = rows.withColumn("i", F.col("at") + 1).withColumn("n_windows", F.size("words") - F.col("size") + 1)
-    keys = F.when(F.col("item_wide") == 1, F.array("h2.t")).otherwise(F.array_distinct(F.array("h2.t", "h2.p")))
-    return rows.select("item_id", "item_wide", "size", "n_windows", "i", F.slice("words", F.col("i"), F.col("size")).alias("item_words"), F.explode(keys).alias("h"))
+    keys = F.when(F.col("item_wide") == 1, F.array("h2.t")).when(F.col("size") < MIN_TEMPLATE_WORDS, F.array("h2.p")).otherwise(F.array_distinct(F.array("h2.t", "h2.p")))
+    return rows.select("item", "item_id", "n_same", "item_wide", "size", "n_windows", "i", F.slice("words", F.col("i"), F.col("size")).alias("item_words"), F.explode(keys).alias("h"))
 
 
-def _bitmap(keys: DataFrame, n: int) -> tuple[str, int]:
+def _bitmap(keys: DataFrame, n: int, max_bits: int) -> tuple[str, int]:
     """A filter of one bit for each key: its words as a decimal list, and its bits."""
-    bits = 64 * max(1, min(n, MAX_FILTER_BITS // 64))
+    bits = 64 * max(1, min(n, max_bits // 64))
     p = F.pmod(F.col("h"), F.lit(bits))
     rows = keys.groupBy(F.shiftright(p, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}L) % 64 as int))")).alias("v")).collect()
     words = [0] * (bits // 64)
@@ -146,8 +172,8 @@ def _bitmap(keys: DataFrame, n: int) -> tuple[str, int]:
     return ",".join(map(str, words)), bits
 
 
-def _candidates(hashes: Column, bitmap: tuple[str, int]) -> Column:
-    """struct(at, h) of the window hashes that the filter holds."""
+def _candidates(hashes: Column, bitmap: tuple[str, int], size: int) -> Column:
+    """struct(size, at, h) of the window hashes that the filter holds."""
     filled = F.split(F.lit(bitmap[0]), ",").cast("array<bigint>")
 
     def held(i: Column) -> Column:
@@ -155,7 +181,7 @@ def _candidates(hashes: Column, bitmap: tuple[str, int]) -> Column:
         return F.getbit(F.element_at(filled, (F.shiftright(p, 6) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
 
     every = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(every, held), lambda i: F.struct(i.alias("at"), F.element_at(hashes, i).alias("h")))
+    return F.transform(F.filter(every, held), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.element_at(hashes, i).alias("h")))
 
 
 def _may_hold(hashed: str, vocabulary: list[int], size: int) -> Column:
@@ -165,67 +191,95 @@ def _may_hold(hashed: str, vocabulary: list[int], size: int) -> Column:
     return F.coalesce(flags.contains("1" * size), F.lit(False))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, plain, templates): contaminated pairs and their windows.
+def _may_hold_a_window(words: Column, sizes: list[int], vocabulary: list[int]) -> Column:
+    """Whether a text can hold a window of any of the sizes; one of one word only if it has no other."""
+    may = (F.size(words) == 1) if 1 in sizes else F.lit(False)
+    longer = [k for k in sizes if k > 1]
+    for form in ("forms.typed", "forms.plain") if longer else ():
+        may = may | _may_hold(form, vocabulary, longer[0])
+    return may
+
+
+def text_key(text: Column) -> Column:
+    return F.sha2(text.cast("string"), 256)
+
 
-    Only documents with enough words of the benchmark side by side can hold a window of it;
+def matches(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, max_filter_bits: int = MAX_FILTER_BITS, max_vocabulary: int = MAX_VOCABULARY
+) -> DataFrame:
+    """(text_key, item_id, n_same, plain, templates): contaminated texts, the items that they
+    hold (items of the same words once, under the smallest id) and the windows of each.
+
+    Only texts with enough words of the benchmark side by side can hold a window of it;
     their windows are hashed and looked up in a bitmap of the benchmark's hashes
     where they stand; only those that it holds become rows and are joined by hash.
     Expressions that several others use are exploded from an array of one, so that they
-    are computed once."""
-    items = benchmark_windows(benchmark, window).cache()
+    are computed once.  The limits choose between plans that give the same rows."""
+    items = checkpoint(benchmark_windows(benchmark, window))
     n = items.count()
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    words = with_words(docs.select("doc_id", "text"))
+    if not sizes:
+        none = docs.sparkSession.createDataFrame([], "text_key string, item_id long, n_same long, plain long, templates long")
+        return none.withColumn("item_id", F.col("item_id").cast(benchmark.schema["item_id"].dataType))
+    words = with_words(with_forms(docs.select(text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))))
     slotted = F.exists("words", lambda w: w.startswith(_MARK))
     typed, plain = F.when(slotted, _typed(F.col("words"))).otherwise(F.col("words")), F.when(slotted & (F.col("wide") == 0), _plain(F.col("words")))
     forms = F.struct(_hashed(typed).alias("typed"), _hashed(plain).alias("plain"))
-    words = words.select("doc_id", "wide", "words", F.explode(F.array(forms)).alias("forms"))
+    words = words.select("text_key", "wide", "words", F.explode(F.array(forms)).alias("forms"))
     of_items = items.select(F.explode(F.concat(_typed(F.col("item_words")), _plain(F.col("item_words")))).alias("w")).select(F.xxhash64("w").alias("v")).distinct()
-    vocabulary = [r["v"] for r in of_items.limit(MAX_VOCABULARY + 1).collect()]
-    if sizes and len(vocabulary) <= MAX_VOCABULARY:
-        words = words.filter(_may_hold("forms.typed", vocabulary, sizes[0]) | _may_hold("forms.plain", vocabulary, sizes[0]))
-    hits = None
+    vocabulary = [r["v"] for r in of_items.limit(max_vocabulary + 1).collect()]
+    if len(vocabulary) <= max_vocabulary:
+        words = words.filter(_may_hold_a_window(F.col("words"), sizes, vocabulary))
+    # of one word: texts that have no other
+    form_of = lambda name, size: F.when(F.size("words") == 1, F.col(f"forms.{name}")) if size == 1 else F.col(f"forms.{name}")
+    hashes = [window_hashes(form_of(name, size), size).alias(f"{name}{size}") for size in sizes for name in ("typed", "plain")]
+    placed = words.select("text_key", "wide", "words", F.explode(F.array(F.struct(*hashes))).alias("hashes"))
+    none = found = F.array().cast("array<struct<size:int,at:int,h:bigint>>")
     for size in sizes:
-        own_items = items.filter(F.col("size") == size)
-        bitmap = _bitmap(own_items.select("h"), n)
-        hashes = F.struct(window_hashes(F.col("forms.typed"), size).alias("t"), F.when(F.col("forms.plain").isNotNull(), window_hashes(F.col("forms.plain"), size)).alias("p"))
-        placed = words.select("doc_id", "wide", "words", F.explode(F.array(hashes)).alias("hashes"))
-        found = F.concat(_candidates(F.col("hashes.t"), bitmap), F.when(F.col("hashes.p").isNotNull(), _candidates(F.col("hashes.p"), bitmap)).otherwise(F.array().cast("array<struct<at:int,h:bigint>>")))
-        keyed = placed.select("doc_id", "wide", "words", F.explode(F.array_distinct(found)).alias("w"))
-        keyed = keyed.select("doc_id", "wide", F.col("w.at").alias("at"), F.slice("words", F.col("w.at"), size).alias("doc_words"), F.col("w.h").alias("h"))
-        own = keyed.join(F.broadcast(own_items) if n <= MAX_BROADCAST else own_items, "h")
-        hits = own if hits is None else hits.unionByName(own)
-    if hits is None:
-        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("plain"), F.lit(0).cast("long").alias("templates")).limit(0)
+        bitmap = _bitmap(items.filter(F.col("size") == size).select("h"), n, max_filter_bits)
+        found = F.concat(found, *(F.when(F.col(f"hashes.{name}{size}").isNotNull(), _candidates(F.col(f"hashes.{name}{size}"), bitmap, size)).otherwise(none) for name in ("typed", "plain")))
+    keyed = placed.select("text_key", "wide", "words", F.explode(F.array_distinct(found)).alias("w"))
+    keyed = keyed.select("text_key", "wide", F.size("words").alias("n_words"), F.col("w.size").alias("size"), F.col("w.at").alias("at"), F.slice("words", F.col("w.at"), F.col("w.size")).alias("doc_words"), F.col("w.h").alias("h"))
+    hits = keyed.join(F.broadcast(items) if n <= max_broadcast else items, ["size", "h"])
     a, b = _one_spelling(_fillers(F.col("doc_words"))), _one_spelling(_fillers(F.col("item_words")))
     plain = F.array_join(_plain(F.col("doc_words")), " ") == F.array_join(_plain(F.col("item_words")), " ")
     same = F.array_join(_typed(F.col("doc_words")), " ") == F.array_join(_typed(F.col("item_words")), " ")
     filled = F.arrays_zip(b.alias("item"), a.alias("doc"))
-    template = same & _consistent(filled) & (F.col("size") - F.size(F.filter(filled, lambda x: x["item"] != x["doc"])) >= F.least(F.lit(MIN_LITERAL), F.col("size")))
+    literal = F.col("size") - F.size(F.filter(filled, lambda x: x["item"] != x["doc"]))
+    template = same & (F.col("size") >= MIN_TEMPLATE_WORDS) & _consistent(filled) & (100 * literal >= LITERAL_PERCENT * F.col("size"))
     # a name that begins or ends an item may run on into the text around it
     name_at = lambda at: F.element_at("item_words", at).startswith(_MARK + "p")
     first, last = ((F.col("i") == 1) & name_at(1)).cast("int"), ((F.col("i") == F.col("n_windows")) & name_at(-1)).cast("int")
     inner = F.slice(filled, first + 1, F.greatest(F.size(filled) - first - last, F.lit(0)))
-    judged = hits.select("doc_id", "item_id", "wide", "item_wide", "n_windows", "i", (F.col("at") - F.col("i")).alias("shift"), plain.alias("plain"), (plain | template).alias("fits"), inner.alias("filled")).filter("fits")
+    judged = hits.filter((F.col("size") > 1) | (F.col("n_words") == 1))
+    judged = judged.select("text_key", "item", "item_id", "n_same", "wide", "item_wide", "n_windows", "i", (F.col("at") - F.col("i")).alias("shift"), plain.alias("plain"), (plain | template).alias("fits"), inner.alias("filled")).filter("fits")
     # one occurrence of an item: windows at one shift, whose slots have to agree as a whole
-    runs = judged.groupBy("doc_id", "item_id", "wide", "item_wide", "shift").agg(
-        F.max("n_windows").alias("n"), F.count_distinct("i").alias("templates"), F.count_distinct(F.when(F.col("plain"), F.col("i"))).alias("plain"),
+    runs = judged.groupBy("text_key", "item", "wide", "item_wide", "shift").agg(
+        F.first("item_id").alias("item_id"), F.first("n_same").alias("n_same"), F.max("n_windows").alias("n"),
+        F.count_distinct("i").alias("templates"), F.count_distinct(F.when(F.col("plain"), F.col("i"))).alias("plain"),
         F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"),
     )
     runs = runs.filter((F.col("plain") > 0) | (_consistent(F.col("filled")) & (F.col("templates") * 100 >= F.col("n") * TEMPLATE_PERCENT)))
-    return runs.groupBy("doc_id", "item_id").agg(F.max("plain").alias("plain"), F.max("templates").alias("templates"))
+    return runs.groupBy("text_key", "item").agg(F.first("item_id").alias("item_id"), F.first("n_same").alias("n_same"), F.max("plain").alias("plain"), F.max("templates").alias("templates")).drop("item")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **limits: int) -> DataFrame:
     """doc_id, contaminated, n_items, item_id (the smallest) for every row of ``docs``.
 
-    Null and empty texts, and all texts if the benchmark is empty, are clean; rows
-    that share a doc_id share their verdict; null items and those of fewer than MIN_ITEM_WORDS words
-    match nothing.
+    Null and empty texts, texts without a letter or digit and, if the benchmark is
+    empty, all texts are clean.  Each row is judged by its own text, whether its
+    doc_id is null, repeated or neither; equal items count each in n_items.  Null
+    items and those without a letter or digit match nothing.  Other columns of
+    either table are not read.
     """
-    found = matches(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, window)
-    by_doc = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.count(F.lit(1)).alias("n_items"), F.min("item_id").alias("item_id"))
-    ids = docs.select("doc_id")
-    joined = ids.join(by_doc, ids["doc_id"].eqNullSafe(by_doc["_doc"]), "left")
-    return joined.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "item_id")
+    found = matches(docs, benchmark, window, **limits)
+    by_text = found.groupBy(F.col("text_key").alias("_key")).agg(F.sum("n_same").alias("_n"), F.min("item_id").alias("_item"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("_text"))
+    joined = rows.join(by_text, F.col("_text") == F.col("_key"), "left")
+    return joined.select("doc_id", F.col("_n").isNotNull().alias("contaminated"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_items"), F.col("_item").alias("item_id"))
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, with all their columns."""
+    gone = matches(docs, benchmark).select(F.col("text_key").alias("_gone")).distinct()
+    return docs.join(gone, text_key(docs["text"]) == F.col("_gone"), "left_anti")

@@ -402,7 +402,7 @@ def test_decontamination(spark):
         (7, ""),
         (8, " ".join(plain_item.split()[:9])),
         (9, "these Five words, are an ITEM"),
-        (10, "too short"),
+        (10, "too long"),
     ]
     got = {r.doc_id: (r.contaminated, r.item_id) for r in decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert {i for i, (c, _) in got.items() if c} == {1, 2, 3, 9}
