@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actaflow.llm.decontam import matches
+from actaflow.llm.decontam import clean_rows
 from actaflow.llm.jaccard import jaccard_components
 from actaflow.llm.langid import UNKNOWN, classify, train
 from actaflow.llm.lines import dedup_lines
@@ -47,11 +47,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go, each row by its own text,
     whether its doc_id is null, repeated or neither."""
-    docs = docs.select(*COLUMNS)
-    key = F.sha2("text", 256)
-    found = matches(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, key == F.col("_gone"), "left_anti").select(*COLUMNS)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return clean_rows(docs.select(*COLUMNS), benchmark).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
