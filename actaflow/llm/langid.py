@@ -20,11 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actaflow.llm.store import checkpoint
+
 #: n-gram length -> log2 of its slots.
 SPECTRUM = {2: 11, 3: 13, 4: 13}
 SLOTS = sum(1 << b for b in SPECTRUM.values())
-#: Bounds of the sample that the classifier is fitted on.
-TRAIN_PER_LANG, LANDMARKS_PER_LANG, MAX_LANGS = 800, 16, 64
+#: Bounds of the sample that the classifier is fitted on: texts a language, texts in all,
+#: landmarks a language, landmarks in all.  With more languages each has fewer.
+TRAIN_PER_LANG, TRAIN_TEXTS, LANDMARKS_PER_LANG, LANDMARKS = 800, 25_600, 16, 1024
+#: Languages whose one-versus-rest columns are solved at once.
+LANG_BLOCK = 64
 RIDGE = 1e-2
 UNKNOWN = "und"
 _BATCH = 128
@@ -80,21 +85,30 @@ class Model:
 
 
 def fit(langs: list[str], bits: np.ndarray) -> Model:
-    """Kernel ridge regression on rows of packed presence bits, in the order given."""
+    """Kernel ridge regression on rows of packed presence bits, ordered by language."""
     names = sorted(set(langs))
-    y = np.array([names.index(x) for x in langs])
-    chosen = np.concatenate([np.flatnonzero(y == k)[:LANDMARKS_PER_LANG] for k in range(len(names))])
+    number = {name: k for k, name in enumerate(names)}
+    y = np.array([number[x] for x in langs])
+    each = max(1, min(LANDMARKS_PER_LANG, LANDMARKS // len(names)))
+    nth = np.arange(len(y)) - np.searchsorted(y, y)  # rows of a language stand together
+    chosen = np.flatnonzero(nth < each)[:LANDMARKS]
     dense = lambda rows: normalise(np.unpackbits(rows, axis=1, count=SLOTS).astype(np.float32))
     basis = dense(bits[chosen])
     values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     half = vectors[:, keep] / np.sqrt(values[keep])
-    gram, right, n = 0.0, 0.0, len(y)
+    gram, n = 0.0, len(y)
+    right = np.zeros((int(keep.sum()) + 1, len(names)))
     for i in range(0, n, 256):
-        phi = np.hstack([(dense(bits[i : i + 256]) @ basis.T).astype(np.float64) @ half, np.ones((len(y[i : i + 256]), 1))])
-        target = np.where(y[i : i + 256, None] == np.arange(len(names)), 1.0, -1.0)
-        gram, right = gram + phi.T @ phi, right + phi.T @ target
-    w = np.linalg.solve(gram + RIDGE * np.eye(gram.shape[0]), right)
+        part = y[i : i + 256]
+        phi = np.hstack([(dense(bits[i : i + 256]) @ basis.T).astype(np.float64) @ half, np.ones((len(part), 1))])
+        gram = gram + phi.T @ phi
+        # a target is 1 in its own column and -1 in all others
+        right -= phi.sum(axis=0)[:, None]
+        for k in np.unique(part):
+            right[:, k] += 2 * phi[part == k].sum(axis=0)
+    blocks = [right[:, k : k + LANG_BLOCK] for k in range(0, len(names), LANG_BLOCK)]
+    w = np.hstack([np.linalg.solve(gram + RIDGE * np.eye(gram.shape[0]), b) for b in blocks])
     return Model(names, bits[chosen], np.vstack([half @ w[:-1], w[-1:]]).astype(np.float32))
 
 
@@ -106,21 +120,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model | None:
-    """Fit on at most ``per_lang`` texts of each language, those of the smallest
-    hashes of doc_id, among rows with a language and a letter that are not held
-    out; None if there are none.  Up to MAX_LANGS languages."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not counts:
+def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, texts: int = TRAIN_TEXTS) -> Model | None:
+    """Fit on at most ``per_lang`` texts of each language and ``texts`` in all, those of
+    the smallest hashes, among rows with a language and a letter that are not held out;
+    None if there are none.  Any number of languages is learned, each from its share of
+    the sample; should there be more than ``texts`` of them, those with the most rows."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & has_letter(F.col("text")))
+    counts = checkpoint(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows")))
+    n_langs = counts.count()
+    if not n_langs:
         return None
-    million, rate = 1_000_000, F.lit(0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(million, 4 * per_lang * million // n + 1))).otherwise(rate)
-    h = F.xxhash64("doc_id", F.lit(11))
-    near = known.filter((F.pmod(h, F.lit(million)) < rate) & has_letter(F.col("text"))).select("lang", h.alias("h"), "text")
+    per_lang = max(1, min(per_lang, texts // n_langs))
+    learned = counts.orderBy(F.desc("n_rows"), "lang").limit(texts)
+    million = 1_000_000
+    rate = F.least(F.lit(million), F.floor(F.lit(4 * per_lang * million) / F.col("n_rows")) + 40)
+    h = F.xxhash64("doc_id", "text", F.lit(11))
+    near = known.join(learned, "lang").filter(F.pmod(h, F.lit(million)) < rate).select("lang", h.alias("h"), "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
