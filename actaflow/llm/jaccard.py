@@ -148,7 +148,7 @@ def _sets(docs: DataFrame, shingle: int, percent: int, block_bytes: int, bucket_
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_bytes))
     buckets = max(MIN_BUCKETS, -(-total // (6 * bucket_tokens)))
-    texts = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    texts = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def read(table: pa.Table) -> tuple[list, dict, TokenBlock]:
         rows = []
@@ -345,7 +345,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     rows with an equal set, itself included.  Null, empty and blank texts have an
     empty set and are linked with nothing.  Repeated rows are linked like copies;
     a row with a null doc_id takes part only where an equal set has a doc_id, and
-    otherwise has a null component.
+    otherwise has a null component.  An empty table gives no rows; other columns are
+    not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = checkpoint(_sets(docs, shingle, percent, block_bytes, bucket_tokens))
@@ -367,3 +368,28 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     out = rows.select("doc_id", "n", "fp").join(named, "fp", "left")
     none = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(none, F.lit(1)).otherwise(F.col("n_same")).alias("n_same"))
+
+
+#: For tables in which a doc_id names one row.
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {SHINGLE} THEN [list_aggregate(words, 'string_agg', ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: list_aggregate(words[i:i + {SHINGLE - 1}], 'string_agg', ' ')))) END AS shingles
+  FROM w
+),
+t AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM t x JOIN t y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= {PERCENT} * (x.n + y.n - count(*))
+),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id, doc_id AS node FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.node = e.a),
+c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, len(shingles) AS n_shingles, component_id,
+  CASE WHEN len(shingles) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY shingles) END AS n_same
+FROM s JOIN c USING (doc_id)
+"""

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actaflow.llm.chat import format_chats
+from actaflow.llm.chat import CHAT_SQL, format_chats
 from actaflow.llm.decontam import decontaminate
-from actaflow.llm.jaccard import jaccard_components
+from actaflow.llm.jaccard import JACCARD_SQL, jaccard_components
 from actaflow.llm.langid import identify_languages
 from actaflow.llm.lines import LINE_DEDUP_SQL, dedup_lines
 from actaflow.llm.mixing import mix_sources
-from actaflow.llm.quality import quality_rules
-from actaflow.llm.substrings import substring_dedup
+from actaflow.llm.quality import QUALITY_SQL, quality_rules
+from actaflow.llm.substrings import SUBSTRING_SQL, substring_dedup
 from actaflow.llm.urls import RULES_SQL, URL_FILTER_SQL, url_filter
 from actaflow.llm.warc import ARCHIVE_SQL, archive_pages
 
@@ -78,7 +78,11 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": JACCARD_SQL,
     "op2_url_filter": URL_FILTER_SQL,
+    "op4_chat_format": CHAT_SQL,
+    "op6_quality_rules": QUALITY_SQL,
     "op7_line_dedup": LINE_DEDUP_SQL,
+    "op8_substring_dedup": SUBSTRING_SQL,
     "op9_warc_archive": ARCHIVE_SQL,
 }

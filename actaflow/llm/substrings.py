@@ -1,14 +1,18 @@
 """Substring dedup by relative Lempel-Ziv parsing over indexed reference blocks.
 
-Documents are dealt to blocks by a hash of doc_id.  Every block is a reference:
-its index holds each phrase of ``window`` consecutive words once, with the
-smallest doc_id of the block that has it.  The index entries of all blocks meet
-by phrase hash, so that a document is parsed against every block at once: each
-of its positions learns the earliest document in which the phrase that begins
-there starts.  The parse takes, from left to right, the longest factor that one
-earlier document can supply; as every position has been looked up, phrases that
-straddle the boundary of two factors are judged as well, and a factor ends only
-where no earlier document has the phrase.
+Documents are dealt to blocks by a hash.  Every block is a reference: its index
+holds each phrase of ``window`` consecutive words once, with the smallest doc_id of
+the block that has it.  The index entries of all blocks meet by phrase hash, so that
+a document is parsed against every block at once: each of its positions learns two
+earlier documents in which the phrase that begins there stands, the first of all and
+the nearest one before.
+
+The parse goes from left to right.  At a position whose phrase an earlier document
+has it takes the longer of the two factors that those documents supply phrase by
+phrase, and goes on behind it; elsewhere it goes on by a word.  Factors are disjoint
+and of a window's length at least.  At the boundaries of factors the windows that
+begin in one and end behind it are checked as well: each of their positions has been
+looked up, too.  The duplicate spans are the factors and those windows together.
 
 What moves: the texts once, by block (both passes read the same exchange), and
 eight bytes for each distinct phrase of a block.  A phrase that a third of all
@@ -83,82 +87,144 @@ class BlockIndex:
         columns = list(zip(*out)) or [()] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "block", "ids", "counts", "keys"])
 
-    def sources(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Earlier document of each phrase of each document, and whether there is one."""
-        best = self.ids[self.first_owner]
+    def sources(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each phrase of each document: whether an earlier document has it, the first
+        one and the nearest one before (as far as the replies and this block know)."""
+        first = self.ids[self.first_owner]
+        near = np.full(len(first), -1, np.int64)  # of other blocks; known where there is one
+        known = np.zeros(len(first), bool)
         begin = {int(self.bucket[a]): int(a) for a in ([0, *(np.flatnonzero(np.diff(self.bucket)) + 1)] if len(self.bucket) else [])}
-        for bucket, at, ids in zip(*(replies.column(c).to_pylist() for c in ("bucket", "at", "ids"))):
-            best[begin[bucket] + np.frombuffer(at, np.uint32).astype(np.int64)] = np.frombuffer(ids, np.int64)
-        source = best[self.inverse]
-        return source, source < self.ids[self.owner]
+        for bucket, at, ids, before in zip(*(replies.column(c).to_pylist() for c in ("bucket", "at", "ids", "near"))):
+            at = begin[bucket] + np.frombuffer(at, np.uint32).astype(np.int64)
+            first[at], near[at], known[at] = np.frombuffer(ids, np.int64), np.frombuffer(before, np.int64), True
+        source, own = first[self.inverse], self.ids[self.owner]
+        found = source < own
+        nearest = source.copy()
+        # documents of this block that have the phrase, in order; the first of them asks the others
+        at = np.flatnonzero(found)
+        at = at[np.argsort(self.inverse[at], kind="stable")]
+        phrase, doc = self.inverse[at], own[at]
+        new = np.ones(len(at), bool)
+        new[1:] = phrase[1:] != phrase[:-1]
+        start = new.copy()  # of the positions of one document
+        start[1:] |= doc[1:] != doc[:-1]
+        held = self.ids[self.first_owner[phrase]]
+        before = np.where(held < doc, held, np.where(known[phrase], near[phrase], source[at]))
+        later = np.flatnonzero(start & ~new)
+        before[later] = doc[later - 1]
+        nearest[at] = before[np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))] if len(at) else before
+        return found, source, nearest
 
 
 def _first_owners(table: pa.Table) -> pa.Table:
-    """For one bucket: to each block the entries that an earlier document of another block has."""
+    """For one bucket: to each block the entries that an earlier document of another block
+    has, with the first such document and the one next before."""
     blocks, keys = table.column("block").to_pylist(), [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
     owner = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for i, c in zip(table.column("ids").to_pylist(), table.column("counts").to_pylist())])
     key = np.concatenate(keys)
     order = np.lexsort((owner, key))
-    sorted_key = key[order]
+    sorted_key, sorted_owner = key[order], owner[order]
     new = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
-    least = np.empty(len(key), np.int64)
-    least[order] = np.repeat(owner[order][new], np.diff(np.append(new, len(key))))
+    least, near = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    least[order] = np.repeat(sorted_owner[new], np.diff(np.append(new, len(key))))
+    before = np.concatenate([sorted_owner[:1], sorted_owner[:-1]])
+    near[order] = np.where(before < sorted_owner, before, least[order])  # of one id or of another key: the first
     later, at, out = least < owner, 0, []
     bucket = table.column("bucket")[0].as_py()
     for block, k in zip(blocks, keys):
         hit = np.flatnonzero(later[at : at + len(k)])
         if len(hit):
-            out.append((block, bucket, hit.astype(np.uint32).tobytes(), least[at + hit].tobytes()))
+            out.append((block, bucket, hit.astype(np.uint32).tobytes(), least[at + hit].tobytes(), near[at + hit].tobytes()))
         at += len(k)
-    columns = list(zip(*out)) or [()] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "at", "ids"])
+    columns = list(zip(*out)) or [()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "bucket", "at", "ids", "near"])
 
 
-def factors(found: np.ndarray, source: np.ndarray, window: int) -> list[dict]:
-    """Greedy factors (start, words, source) of one document from its flagged phrases."""
+def _run_ends(at: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """For each found position (by place in ``at``), the place behind the last one that
+    follows it without a gap from the same source."""
+    breaks = np.flatnonzero((np.diff(at) > 1) | (np.diff(source[at]) != 0)) + 1
+    ends = np.append(breaks, len(at))
+    return ends[np.searchsorted(breaks, np.arange(len(at)), side="right")]
+
+
+def factors(found: np.ndarray, first: np.ndarray, near: np.ndarray, window: int) -> list[dict]:
+    """Greedy factors (start, words, source) of one document: disjoint, from left to right,
+    each the longer of those that the two sources of its first phrase supply."""
     at = np.flatnonzero(found)
     if not len(at):
         return []
-    cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(source[at]) != 0)) + 1
-    return [{"start": int(a[0]), "words": int(a[-1] - a[0]) + window, "source": int(source[a[0]])} for a in np.split(at, cut)]
+    by_first, by_near = _run_ends(at, first), _run_ends(at, near)
+    out, k = [], 0
+    while k < len(at):
+        source, end = (near, by_near[k]) if by_near[k] > by_first[k] else (first, by_first[k])
+        start, words = int(at[k]), int(end - k) - 1 + window
+        out.append({"start": start, "words": words, "source": int(source[at[k]])})
+        k = int(np.searchsorted(at, start + words))
+    return out
+
+
+def duplicate_spans(found: np.ndarray, window: int) -> list[dict]:
+    """(start, words) of the stretches that factors and the windows at their boundaries cover."""
+    at = np.flatnonzero(found)
+    cuts = np.flatnonzero(np.diff(at) > window) + 1
+    return [{"start": int(a[0]), "words": int(a[-1] - a[0]) + window} for a in np.split(at, cuts)] if len(at) else []
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, bucket_phrases: int = BUCKET_PHRASES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, factors: one row for each input row.
+    """doc_id, n_words, n_removed, kept_text, factors, spans: one row for each input row.
 
     A word goes if a window that covers it also starts in a document with a
-    smaller doc_id.  Null and empty texts have no words; texts shorter than a
-    window lose none.  Rows that share a doc_id are not earlier than each other;
-    a null doc_id counts as later than any other.
+    smaller doc_id; ``factors`` are those of the greedy parse, ``spans`` the stretches
+    that go.  Null and empty texts have no words; texts shorter than a window lose
+    none.  Rows that share a doc_id are not earlier than each other; a null doc_id
+    counts as later than any other.  Other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_bytes))
     buckets = max(MIN_BUCKETS, -(-total // (6 * bucket_phrases)))
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def index(key: tuple, table: pa.Table) -> pa.Table:
         return BlockIndex(table, window, buckets).entries(key[0].as_py())
 
     def parse(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = BlockIndex(table, window, buckets)
-        source, found = block.sources(replies)
+        found, first, near = block.sources(replies)
         out = []
         for n, (doc_id, words) in enumerate(block.docs):
             a, b = block.starts[n], block.starts[n + 1]
-            spans = factors(found[a:b], source[a:b], window)
-            gone = np.zeros(len(words), bool)
+            parsed, spans = factors(found[a:b], first[a:b], near[a:b], window), duplicate_spans(found[a:b], window)
+            kept, at = [], 0
             for s in spans:
-                gone[s["start"] : s["start"] + s["words"]] = True
-            kept = [w for w, g in zip(words, gone.tolist()) if not g] if spans else words
-            out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept), spans))
-        columns = list(zip(*out)) or [()] * 5
-        span = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64())]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), span)
-        t = pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_words", "n_removed", "kept_text", "factors"])
+                kept += words[at : s["start"]]
+                at = s["start"] + s["words"]
+            kept += words[at:]
+            out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept), parsed, spans))
+        columns = list(zip(*out)) or [()] * 6
+        numbers = lambda *names: pa.list_(pa.struct([(n, pa.int64()) for n in names]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), numbers("start", "words", "source"), numbers("start", "words"))
+        t = pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_words", "n_removed", "kept_text", "factors", "spans"])
         return t.set_column(3, "kept_text", t.column("kept_text").cast(pa.string()))
 
     entries = texts.groupBy("block").applyInArrow(index, "bucket int, block long, ids binary, counts binary, keys binary")
-    replies = entries.groupBy("bucket").applyInArrow(_first_owners, "block long, bucket int, at binary, ids binary")
-    schema = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start: long, words: long, source: long>>"
+    replies = entries.groupBy("bucket").applyInArrow(_first_owners, "block long, bucket int, at binary, ids binary, near binary")
+    schema = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start: long, words: long, source: long>>, spans array<struct<start: long, words: long>>"
     return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(parse, schema)
+
+
+#: For tables in which a doc_id names one row.
+SUBSTRING_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+pos AS (SELECT doc_id, words, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+g AS (SELECT doc_id, i, words[i:i + {WINDOW - 1}] AS phrase FROM pos WHERE i + {WINDOW - 1} <= len(words)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY phrase) < doc_id AS again FROM g),
+c AS (
+  SELECT doc_id, i, word, max(coalesce(again, false)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone
+  FROM pos LEFT JOIN f USING (doc_id, i)
+),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
