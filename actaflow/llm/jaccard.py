@@ -143,7 +143,7 @@ def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table
 
 
 def _sets(docs: DataFrame, shingle: int, percent: int, block_bytes: int, bucket_tokens: int) -> DataFrame:
-    """doc_id, n, fp, tokens: the tokens of those sets alone that may have a partner,
+    """doc_id, key, n, fp, tokens: the tokens of those sets alone that may have a partner,
     once for each block."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_bytes))
@@ -153,10 +153,10 @@ def _sets(docs: DataFrame, shingle: int, percent: int, block_bytes: int, bucket_
     def read(table: pa.Table) -> tuple[list, dict, TokenBlock]:
         rows = []
         classes: dict[bytes, tuple[int, np.ndarray]] = {}
-        for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text")):
+        for doc_id, key, text in zip(table.column("doc_id").to_pylist(), table.column("key").to_pylist(), table.column("text")):
             s = shingle_set(text.as_py(), WORD_HASHES, shingle)
             fp = fingerprint(s)
-            rows.append((doc_id, len(s), fp))
+            rows.append((doc_id, key, len(s), fp))
             if len(s):
                 classes.setdefault(fp, (len(classes), s))
         return rows, classes, TokenBlock([s for _, s in classes.values()], [k for k, _ in classes.values()], buckets)
@@ -164,16 +164,16 @@ def _sets(docs: DataFrame, shingle: int, percent: int, block_bytes: int, bucket_
     def index(key: tuple, table: pa.Table) -> pa.Table:
         return read(table)[2].entries(key[0].as_py(), False)
 
-    kinds = [("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("tokens", pa.binary())]
+    kinds = [("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("fp", pa.binary()), ("tokens", pa.binary())]
 
     def prune(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows, classes, block = read(table)
         shared = block.shared(replies)
         left = {fp: s for fp, (k, s) in classes.items() if shared[k].sum() >= needed(len(s), percent)}
-        return _table([(i, n, fp, left.pop(fp).tobytes() if fp in left else None) for i, n, fp in rows], kinds)
+        return _table([(i, key, n, fp, left.pop(fp).tobytes() if fp in left else None) for i, key, n, fp in rows], kinds)
 
     entries = texts.groupBy("block").applyInArrow(index, _ENTRIES)
-    return texts.groupBy("block").cogroup(_replies(entries).groupBy("block")).applyInArrow(prune, "doc_id long, n long, fp binary, tokens binary")
+    return texts.groupBy("block").cogroup(_replies(entries).groupBy("block")).applyInArrow(prune, "doc_id long, key binary, n long, fp binary, tokens binary")
 
 
 def _band_keys(sets: DataFrame) -> DataFrame:
@@ -337,22 +337,18 @@ def _open(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 _LINK = [("a", pa.int64()), ("b", pa.int64())]
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_same: one row for each input row.
+#: From here on a set is named by its digest: none of its rows has a doc_id.
+_UNNAMED = 1 << 62
 
-    ``component_id`` is the smallest doc_id reachable over links of Jaccard
-    similarity ``percent`` or more between shingle sets; ``n_same`` counts the
-    rows with an equal set, itself included.  Null, empty and blank texts have an
-    empty set and are linked with nothing.  Repeated rows are linked like copies;
-    a row with a null doc_id takes part only where an equal set has a doc_id, and
-    otherwise has a null component.  An empty table gives no rows; other columns are
-    not read.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = checkpoint(_sets(docs, shingle, percent, block_bytes, bucket_tokens))
-    classes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
+
+def _components(rows: DataFrame, percent: int, bucket_tokens: int) -> DataFrame:
+    """fp, n_same, component: the smallest name reachable, for every set of ``rows``.
+
+    A set's name is its smallest doc_id or, if it has none, a number above all of them."""
+    unnamed = F.lit(_UNNAMED) + F.xxhash64("fp").bitwiseAND(F.lit(_UNNAMED - 1))
+    classes = rows.filter("n > 0").groupBy("fp").agg(F.coalesce(F.min("doc_id"), unnamed).alias("rep"), F.count(F.lit(1)).alias("n_same"))
     sets = rows.filter("tokens is not null").groupBy("fp").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    sets = checkpoint(sets.join(classes, "fp").filter("rep is not null").select("rep", "n", "tokens"))
+    sets = checkpoint(sets.join(classes, "fp").select("rep", "n", "tokens"))
     links = checkpoint(_star_links(sets, percent))
     groups = checkpoint(connected_components(links))
     grouped = sets.join(groups, sets["rep"] == groups["node"], "left").select("rep", "n", "tokens", F.coalesce("component", "rep").alias("g"))
@@ -360,14 +356,47 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     grouped = checkpoint(grouped.join(sizes, "g"))
     opened = checkpoint(_to_open(checkpoint(_asking(grouped, percent, bucket_tokens)), percent))
     more = checkpoint(_open(opened, grouped, percent))
-    if more.isEmpty():
-        found = groups
-    else:
-        found = connected_components(links.unionByName(more))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", "n_same", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "fp").join(named, "fp", "left")
-    none = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(none, F.lit(1)).otherwise(F.col("n_same")).alias("n_same"))
+    found = groups if more.isEmpty() else connected_components(links.unionByName(more))
+    return classes.join(found, classes["rep"] == found["node"], "left").select("fp", "n_same", F.coalesce("component", "rep").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_same: one row for each input row.
+
+    ``component_id`` is the smallest doc_id reachable over links of Jaccard
+    similarity ``percent`` or more between shingle sets; ``n_same`` counts the
+    rows with an equal set, itself included.  Null, empty and blank texts have an
+    empty set and are linked with nothing.  Repeated rows are linked like copies; rows
+    with a null doc_id are linked like any other, but name no component: one of such
+    rows alone is null.  An empty table gives no rows; other columns are not read.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("key"), F.col("text").cast("string").alias("text"))
+    rows = checkpoint(_sets(docs, shingle, percent, block_bytes, bucket_tokens))
+    out = rows.select("doc_id", "n", "fp").join(_components(rows, percent, bucket_tokens), "fp", "left")
+    none, named = F.col("n") == 0, F.when(F.col("component") < _UNNAMED, F.col("component"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(named).alias("component_id"), F.when(none, F.lit(1)).otherwise(F.col("n_same")).alias("n_same"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """One row of each component, with all its columns: the one of the smallest doc_id
+    (null last), of those the one of the smallest text digest, and of equal rows any.
+    Rows with an empty set stay, whatever their ids."""
+    key = F.unhex(F.sha2(F.col("text").cast("string"), 256))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
+    rows = checkpoint(_sets(keyed, shingle, percent, block_bytes, bucket_tokens))
+    of_row = rows.filter("n > 0").groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n_rows"))
+    of_row = checkpoint(of_row.join(_components(rows, percent, bucket_tokens), "fp").select("component", F.struct(F.coalesce("doc_id", F.lit(_UNNAMED)).alias("order"), "key").alias("at"), "doc_id", "key", "n_rows"))
+    first = of_row.groupBy(F.col("component").alias("_component")).agg(F.min("at").alias("_first"))
+    lost = of_row.join(first, F.col("component") == F.col("_component")).filter(F.col("at") != F.col("_first")).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.unhex(F.sha2(docs["text"].cast("string"), 256)) == F.col("_key"))
+    kept = docs.join(lost, same, "left_anti")
+    again = of_row.filter("n_rows > 1").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
+    if again.isEmpty():
+        return kept
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    repeated = kept.join(again, same, "left_semi").toDF(*names)
+    once = repeated.dropDuplicates([names[docs.columns.index("doc_id")], names[docs.columns.index("text")]]).toDF(*docs.columns)
+    return kept.join(again, same, "left_anti").unionByName(once)
 
 
 #: For tables in which a doc_id names one row.

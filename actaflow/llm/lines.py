@@ -25,8 +25,10 @@ MAX_BROADCAST = 200_000
 _BLANKS = " \t\x0b\x0c\r"
 
 
-def line_key(line: Column) -> Column:
-    return F.xxhash64(F.btrim(line, F.lit(_BLANKS)))
+def line_keys(line: Column) -> Column:
+    """Both hashes of a line."""
+    bare = F.btrim(line, F.lit(_BLANKS))
+    return F.struct(F.xxhash64(bare).alias("h"), F.xxhash64(bare, F.lit(1)).alias("h2"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -34,41 +36,46 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.filter("line <> ''").select("doc_id", "source", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(h, h2, first): lines of at least ``min_sites`` distinct sites; null is no site."""
     lines = _lines(docs)
     spread = lines.groupBy("h", "h2").agg(F.hll_sketch_agg("source", F.lit(LG_K)).alias("sketch"), F.min("doc_id").alias("first"))
     spread = spread.select("h", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites * (1 - NEAR))
     spread = checkpoint(spread)
     near = spread.filter(F.col("sites") <= min_sites * (1 + NEAR))
-    small = F.broadcast if spread.count() <= MAX_BROADCAST else lambda df: df
+    small = F.broadcast if spread.count() <= max_broadcast else lambda df: df
     pairs = lines.join(small(near.select("h", "h2")), ["h", "h2"], "left_semi").filter("source is not null").groupBy("h", "h2", "source").agg(F.lit(1).alias("one"))
     exact = pairs.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("h", "h2")
     sure = spread.filter(F.col("sites") > min_sites * (1 + NEAR)).select("h", "h2", "first")
     return sure.unionByName(near.join(exact, ["h", "h2"]).select("h", "h2", "first"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """All columns of ``docs`` with the cleaned ``text``, and n_lines and n_removed
-    (named ``_n_lines`` and ``_n_removed`` so as not to clash).
+    (named ``_n_lines`` and ``_n_removed``; columns of ``docs`` should not have these names).
 
     Lines are split at ``\\n`` and compared without blanks at their ends; lines
     without a character never count.  A null text stays null with 0 lines.  Rows
-    that share a doc_id are cleaned alike; a null doc_id is never the first.
+    that share a doc_id are cleaned alike; a null doc_id is never the first.  An empty
+    table gives no rows.
     """
     plain = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    found = checkpoint(boilerplate(plain, min_sites))
-    small = F.broadcast if found.count() <= MAX_BROADCAST else lambda df: df
+    found = checkpoint(boilerplate(plain, min_sites, max_broadcast))
+    small = F.broadcast if found.count() <= max_broadcast else lambda df: df
     hits = _lines(plain).join(small(found), ["h", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
-    gone = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("h").alias("_gone"))
-    lines = F.split("text", "\n", -1)
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]), "left").withColumn("_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    kept = F.filter(lines, lambda x: ~F.array_contains("_gone", line_key(x)) | (F.btrim(x, F.lit(_BLANKS)) == ""))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    left = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.size(kept).cast("long"))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_lines"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns, n_lines.cast("long").alias("_n_lines"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_lines") - left).cast("long").alias("_n_removed"))
+    gone = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("h", "h2")).alias("_gone"))
+    # columns get names of their own while the two tables are joined
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values())
+    doc_id, text = F.col(names["doc_id"]), F.col(names["text"]).cast("string")
+    joined = rows.join(gone, doc_id.eqNullSafe(F.col("_doc")), "left")
+    lines = F.split(text, "\n", -1)
+    kept = F.filter(lines, lambda x: ~F.array_contains("_gone", line_keys(x)) | (F.btrim(x, F.lit(_BLANKS)) == ""))
+    cleaned = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    n_removed = F.when(F.col("_gone").isNull() | text.isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    columns = [cleaned if c == "text" else F.col(n) for c, n in names.items()]
+    return joined.select(*columns, n_lines, n_removed).toDF(*docs.columns, "_n_lines", "_n_removed")
 
 
 LINE_DEDUP_SQL = f"""

@@ -85,6 +85,11 @@ def decode_record(raw: bytes) -> dict:
         raise ArchiveError("the payload doesn't match its length or digest")
     if kind not in ("response", "revisit"):
         raise ArchiveError(f"unknown record type {kind}")
+    if not {"warc-record-id", "warc-date"} <= fields.keys():
+        raise ArchiveError("a record without an id or a date")
+    # a record's id is made of its page and digest, so a revisit shows what digest its target has
+    if kind == "revisit" and fields.get("warc-refers-to") != _record_id(int(fields.get("x-refers-to-page-id", -1)), digest):
+        raise ArchiveError("a revisit whose target has another digest")
     number = lambda k: int(fields[k]) if k in fields else None
     return {
         "page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None,

@@ -116,6 +116,7 @@ def test_jaccard_edge_cases(spark):
     assert [got[i].n_shingles for i in (1, 2, 3, 4)] == [0, 0, 0, 1]
     assert [got[i].component_id for i in (1, 2, 3, 4, 5)] == [1, 2, 3, 4, 5]
     assert got[None].component_id is None and got[5].n_same == 2
+    assert jaccard.jaccard_components(spark.createDataFrame([], DOC)).count() == 0
 
 
 def test_components_over_a_chain_and_a_hub(spark):
@@ -143,7 +144,21 @@ def test_substring_dedup_is_exact(spark, corpus):
     for r in got:  # every factor is verbatim in its source, an earlier document
         for f in r.factors:
             words = text[r.doc_id].split()[f.start : f.start + f.words]
-            assert f.source < r.doc_id and f" {' '.join(words)} " in f" {text[f.source]} "
+            assert f.source < r.doc_id and f" {' '.join(words)} " in f" {text[f.source]} " and f.words >= 13
+        ends = [f.start + f.words for f in r.factors]
+        assert all(e <= f.start for e, f in zip(ends, r.factors[1:]))  # disjoint, in order
+        spans = {k for s in r.spans for k in range(s.start, s.start + s.words)}
+        assert len(spans) == r.n_removed and {k for f in r.factors for k in range(f.start, f.start + f.words)} <= spans
+
+
+@pytest.mark.parametrize("block_bytes", [50, 1 << 20])
+def test_substring_factors_take_the_longer_source(spark, block_bytes):
+    w = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(w[:20])), (2, " ".join(w)), (3, " ".join(w)), (None, " ".join(w[5:40])), (None, " ".join(w[5:40]))]
+    got = substrings.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=block_bytes).collect()
+    assert {(r.doc_id, tuple(map(tuple, r.factors)), r.kept_text == "") for r in got} == {
+        (1, (), False), (2, ((0, 20, 1),), False), (3, ((0, 60, 2),), True), (None, ((0, 35, 3),), True),
+    }
 
 
 def test_substring_edge_cases(spark):
@@ -285,8 +300,8 @@ def test_chat_format(spark):
 def test_long_conversation_is_split_over_tasks(spark):
     rng = random.Random(2)
     rows = [(7, i, rng.choice(["user", "user", "assistant", "system", "odd"]), f"t{i}", 0) for i in range(3000)] + [(9, 0, "user", "q", 0)]
-    whole = chat.format_chats(chat_rows(spark, rows), rows_per_partition=10_000).collect()
-    parts = chat.format_chats(chat_rows(spark, rows), rows_per_partition=200).collect()
+    whole = chat.format_chats(chat_rows(spark, rows), part_rows=10_000).collect()
+    parts = chat.format_chats(chat_rows(spark, rows), part_rows=200).collect()
     strip = lambda out: sorted((r.conv_id, r.turn, r.new_role, r.action, r.n_inserted, r.piece) for r in out)
     assert strip(whole) == strip(parts)
     assert "".join(r.piece for r in sorted(parts, key=lambda r: (r.conv_id, r.nth))) == "".join(r.piece for r in sorted(whole, key=lambda r: (r.conv_id, r.nth)))
@@ -484,9 +499,11 @@ def test_warc_files(spark, tmp_path):
 def test_warc_reader_refuses_broken_archives():
     body, digest = b"hello", hashlib.sha256(b"hello").hexdigest()
     good = warc.encode_record(1, "u", body, digest, None)
+    revisit = warc.encode_record(3, "u", body, digest, 1)
+    assert warc.decode_record(revisit)["refers_to"] == 1
     pack = zstandard.ZstdCompressor().compress
     assert [r["payload"] for r in warc.read_archive(pack(good) + pack(good))] == [body, body]
-    for raw in (good.replace(b"WARC/1.1", b"WARC/9"), good[:-1], good.replace(b"hello", b"jello"), good.replace(b"Content-Length", b"Length")):
+    for raw in (good.replace(b"WARC/1.1", b"WARC/9"), good[:-1], good.replace(b"hello", b"jello"), good.replace(b"Content-Length", b"Length"), good.replace(b"WARC-Date", b"X-Date"), good.replace(b"WARC-Record-ID", b"X-ID"), revisit.replace(b"X-Refers-To-Page-ID: 1", b"X-Refers-To-Page-ID: 2")):
         with pytest.raises(warc.ArchiveError):
             list(warc.read_archive(pack(raw)))
     for data in (pack(good)[:-3], b"junk" + pack(good), b"\x5d\x2a\x4d\x18\xff\x00\x00\x00ab"):
@@ -507,6 +524,8 @@ def test_pipeline(spark, sf_dir):
         kept = {r.doc_id for r in docs.collect()}
         if name == "language_id":
             assert kept == {r.doc_id for r in before.collect() if r.text and any(c.isalpha() for c in r.text)}
+            truth = {r.doc_id: r.lang for r in before.collect()}
+            assert sum(truth[r.doc_id] == r.lang for r in docs.collect()) >= 0.99 * len(kept)
         if name == "jaccard_join":
             assert kept == {c for _, _, c in brute_components([(r.doc_id, r.text) for r in before.collect()])}
     final = corpus_pipeline.source_mix(spark, docs, sf_dir).collect()
@@ -525,7 +544,7 @@ def test_pipeline_decontaminates_rows_without_an_id_of_their_own(spark, tmp_path
     assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("7", "clean as well"), ("None", "None"), ("None", "clean")]
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter", "op7_line_dedup", "op9_warc_archive"])
+@pytest.mark.parametrize("name", ["op1_jaccard_join", "op2_url_filter", "op4_chat_format", "op6_quality_rules", "op7_line_dedup", "op8_substring_dedup", "op9_warc_archive"])
 def test_queries_match_their_sql(spark, sf_dir, name):
     import os
 
