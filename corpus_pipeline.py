@@ -13,20 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actaflow.llm.decontam import clean_rows
-from actaflow.llm.jaccard import jaccard_components
-from actaflow.llm.langid import UNKNOWN, classify, train
+from actaflow.llm.jaccard import one_of_each
+from actaflow.llm.langid import keep_known_languages
 from actaflow.llm.lines import dedup_lines
 from actaflow.llm.mixing import mix_sources
-from actaflow.llm.store import shared_dir
+from actaflow.llm.store import remove, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (``und``) go."""
-    docs = docs.select(*COLUMNS)
-    found = classify(docs, train(docs), keep=COLUMNS[1:])
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    """Documents without a letter and those like no text of a known language go; ``lang`` is
+    the predicted language of those that stay."""
+    return keep_known_languages(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +37,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates stays."""
-    docs = docs.select(*COLUMNS)
-    gone = jaccard_components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates stays, that of the smallest doc_id;
+    rows without an id or with a repeated one are told apart by their texts."""
+    return one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +69,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
