@@ -73,29 +73,48 @@ def _trigrams(text: Column) -> Column:
     return F.array_distinct(grams)
 
 
+def _shared_grams(total: Column, cutoff: float, n: int = 3) -> Column:
+    """Whether names of ``total`` letters together, at the cutoff or above, must share a run
+    of n letters.
+
+    At a ratio r the longer has at least as many letters in common, in order, as r / 200 of
+    the total; the other letters of both, at most (100 - r) / 100 of the total, part the
+    common ones into at most one stretch more than there are of them."""
+    apart = F.floor(total * (100 - cutoff) / 100)
+    common = F.ceil(total * cutoff / 200)
+    return common >= n + (n - 1) * apart
+
+
 def similar_names(names: DataFrame, watched: DataFrame, cutoff: float = C.FUZZY_CUTOFF) -> DataFrame:
     """(base, close, score): the best watched base of each distinct base, at the cutoff or
     above; ties go to the first watched one (by ``pos``).
 
-    At a ratio of 90 two names differ by at most a tenth of their letters in insertions
-    and deletions, each of which breaks three trigrams, so they share a trigram (or are
-    equal): candidates come from an equi-join on trigrams.  ``levenshtein`` with a bound
-    drops most, and only the rest is compared exactly."""
-    if cutoff < 90:
-        raise ValueError("candidates share a trigram at a cutoff of 90 or more only")
-    left = names.select("base").filter("base <> ''").distinct().withColumn("gram", F.explode(_trigrams(F.col("base"))))
-    right = watched.select(F.col("base").alias("close"), "pos").filter("close <> ''")
-    right = right.groupBy("close").agg(F.min("pos").alias("pos")).withColumn("gram", F.explode(_trigrams(F.col("close"))))
-    pairs = left.join(right, "gram").select("base", "close", "pos").distinct()
+    Names of which the cutoff leaves a run of three letters in common meet in an
+    equi-join on trigrams; those for which it need not, because they are short or the
+    cutoff is low, in one on their lengths, which the cutoff bounds.  ``levenshtein``
+    with a bound drops most, and only the rest is compared exactly."""
+    left = names.select("base").filter("base <> ''").distinct()
+    right = watched.select(F.col("base").alias("close"), "pos").filter("close <> ''").groupBy("close").agg(F.min("pos").alias("pos"))
+    # the shorter of two names has at least this share of the letters of the longer
+    least = cutoff / (200.0 - cutoff)
+    n = F.char_length("base")
+    shortest, longest = F.ceil(n * least).cast("int"), F.floor(n / F.lit(max(least, 1e-9))).cast("int")
     total = F.char_length("base") + F.char_length("close")
+    by_gram = left.withColumn("gram", F.explode(_trigrams(F.col("base")))).join(right.withColumn("gram", F.explode(_trigrams(F.col("close")))), "gram").select("base", "close", "pos").distinct()
+    by_gram = by_gram.filter(_shared_grams(total, cutoff))
+    # names that have a partner length at which no run of three is sure
+    lengths = right.groupBy(F.char_length("close").alias("m")).agg(F.count(F.lit(1)).alias("_n")).select("m")
+    unsure = left.select("base", n.alias("n"), shortest.alias("a"), longest.alias("b")).select("base", "n", F.explode(F.when(F.col("b") >= F.col("a"), F.sequence("a", "b"))).alias("m"))
+    unsure = unsure.filter(~_shared_grams(F.col("n") + F.col("m"), cutoff)).join(lengths, "m", "left_semi")
+    by_length = unsure.select("base", "m").join(right.withColumn("m", F.char_length("close")), "m").select("base", "close", "pos")
     most = F.floor(total * (100 - cutoff) / 100).cast("int")
-    pairs = pairs.filter(F.levenshtein("base", "close") <= most).withColumn("score", indel_ratio(F.col("base"), F.col("close"))).filter(F.col("score") >= cutoff)
+    pairs = by_gram.unionByName(by_length).filter(F.levenshtein("base", "close") <= most).withColumn("score", indel_ratio(F.col("base"), F.col("close"))).filter(F.col("score") >= cutoff)
     return pairs.groupBy("base").agg(F.min_by(F.struct("close", "score"), F.struct((-F.col("score")).alias("s"), "pos")).alias("b")).select("base", "b.close", "b.score")
 
 
-def match(announcements: DataFrame, watched: DataFrame, sheets: DataFrame, aliases: DataFrame | None = None, cutoff: float = C.FUZZY_CUTOFF) -> DataFrame:
+def match(announcements: DataFrame, watched: DataFrame, sheets: DataFrame, aliases: DataFrame | None = None, cutoff: float = C.FUZZY_CUTOFF, guard_days: int = C.GUARD_DAYS) -> DataFrame:
     """exact_match, and for what it leaves without a company or suggestion the closest name."""
-    found = exact_match(announcements, watched, sheets, aliases)
+    found = exact_match(announcements, watched, sheets, aliases, guard_days)
     parts = split_form(F.col("firm_key"))
     found = found.withColumn("_open", F.col("company_id").isNull() & F.col("suggestion").isNull()).withColumn("_base", parts["base"]).withColumn("_form", parts["form"])
     index = name_index(watched, aliases)
@@ -116,17 +135,22 @@ def match(announcements: DataFrame, watched: DataFrame, sheets: DataFrame, alias
     ).drop("_open", "_base", "_form", "_close", "_score", "_near", "_near_form")
 
 
-def learn(announcements: DataFrame, watched: DataFrame, sheets: DataFrame, aliases: DataFrame, renames: DataFrame, max_passes: int = 20) -> tuple[DataFrame, DataFrame]:
+def learn(announcements: DataFrame, watched: DataFrame, sheets: DataFrame, aliases: DataFrame, renames: DataFrame, guard_days: int = C.GUARD_DAYS) -> tuple[DataFrame, DataFrame]:
     """Sheets and aliases after all that matches teach has been learned, in any order.
 
     A match by name teaches its sheet, unless the sheet is owned or an act ends it; a
     renamed company's other name becomes an alias, unless it is taken.  Of several
     companies that could teach one sheet in a pass, the earliest announcement decides
     (day, doc_id, num).  ``announcements`` has ends_sheet; ``renames`` doc_id, num,
-    new_key.  Passes repeat until nothing is new."""
+    new_key.  Passes repeat until nothing is new, however long a chain of renames is;
+    each adds a sheet or a name that none had, so they end.  A pass after the first
+    reads only announcements on the sheets and under the names that the one before
+    taught: no others can match now that did not before."""
     known, names = cut_lineage(sheets.select("province", "sheet", "company_id")), cut_lineage(aliases.select("name_key", "company_id"))
-    for _ in range(max_passes):
-        linked = cut_lineage(exact_match(announcements, watched, known, names).filter("company_id is not null").select("doc_id", "num", "province", "sheet", "firm_key", "fact_day", "via", "company_id", "ends_sheet"))
+    facts = cut_lineage(announcements.select("doc_id", "num", "province", "sheet", "firm_key", "fact_day", "ends_sheet"))
+    touched = facts
+    while True:
+        linked = cut_lineage(exact_match(touched, watched, known, names, guard_days).filter("company_id is not null").select("doc_id", "num", "province", "sheet", "firm_key", "fact_day", "via", "company_id", "ends_sheet"))
         taught = linked.filter("via = 'name' and sheet is not null and not ends_sheet").join(known, ["province", "sheet"], "left_anti")
         taught = first_by(taught.select("province", "sheet", "company_id", "fact_day", "doc_id", "num"), ["province", "sheet"], ["fact_day", "doc_id", "num"]).select("province", "sheet", "company_id")
         both = linked.join(renames, ["doc_id", "num"]).select("company_id", "fact_day", "doc_id", "num", F.explode(F.array("firm_key", "new_key")).alias("name_key"))
@@ -134,9 +158,11 @@ def learn(announcements: DataFrame, watched: DataFrame, sheets: DataFrame, alias
         fresh = first_by(both.filter("name_key <> ''").join(taken, "name_key", "left_anti"), ["name_key"], ["fact_day", "doc_id", "num"]).select("name_key", "company_id")
         taught, fresh = cut_lineage(taught), cut_lineage(fresh)
         if taught.isEmpty() and fresh.isEmpty():
-            break
+            return known, names
         known, names = cut_lineage(known.unionByName(taught)), cut_lineage(names.unionByName(fresh))
-    return known, names
+        on_sheets = facts.join(taught.select("province", "sheet"), ["province", "sheet"], "left_semi")
+        under_names = facts.join(fresh.select(F.col("name_key").alias("firm_key")), "firm_key", "left_semi").select(*facts.columns)
+        touched = on_sheets.select(*facts.columns).unionByName(under_names).distinct()
 
 
 def kept_as(company: Column, suggestion: Column, lead: Column) -> Column:

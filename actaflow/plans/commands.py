@@ -29,8 +29,8 @@ def rebuild(announcements: DataFrame, watched: DataFrame, sheets: DataFrame, tok
     acts = cut_lineage(explode_acts(a))
     renames = acts.filter("act_type = 'name_change' and detail <> ''").select("doc_id", "num", name_key(F.col("detail")).alias("new_key"))
     none = spark.createDataFrame([], "name_key string, company_id long")
-    known, aliases = matching.learn(a, watched, sheets, none, renames)
-    matched = cut_lineage(matching.match(a, watched, known, aliases, cutoff))
+    known, aliases = matching.learn(a, watched, sheets, none, renames, guard_days)
+    matched = cut_lineage(matching.match(a, watched, known, aliases, cutoff, guard_days))
     unwatched = matched.filter("company_id is null").select("doc_id", "num")
     open_acts = acts.join(unwatched, ["doc_id", "num"], "left_semi")
     keys = ("doc_id", "num", "seq", "act_type", "fact_day", "firm_key")

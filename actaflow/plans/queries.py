@@ -27,7 +27,7 @@ class Gazette:
 
     def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
         """``keep``: written once to the shared folder, for queries that read them repeatedly."""
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         read = with_registry(synth.announcements(spark, sf_dir))
         read = computed_once(read, "firm_key", name_key(F.col("firm"))).withColumn("fact_day", F.coalesce("inscription_date", "day"))
         self.full = cut_lineage(with_acts(read)) if keep else with_acts(read)
@@ -54,11 +54,11 @@ class Gazette:
         return h.withColumn("kind", kind).withColumn("company_id", F.regexp_extract("firm_key", "([0-9]+)", 1).cast("long"))
 
     def matched(self) -> DataFrame:
-        return matching.exact_match(self.announcements, synth.watched(self.spark), synth.sheets(self.spark))
+        return matching.exact_match(self.announcements, synth.watched(self.spark, self.sf_dir), synth.sheets(self.spark, self.sf_dir))
 
     def values(self) -> DataFrame:
         """Dated values of the record: of the registry for watched firms, of the watchlist."""
-        w = synth.watched(self.spark)
+        w = synth.watched(self.spark, self.sf_dir)
         a = self.raw_acts.join(w.select("company_id", F.col("name_key").alias("firm_key")), "firm_key")
         seen = a.select("company_id", F.lit("registry").alias("source"), "doc_id", "num", F.col("fact_day").alias("day"), F.explode(facts.observations(F.col("act_type"), F.col("detail"))).alias("o"))
         seen = seen.select("company_id", "source", "doc_id", "num", "day", "o.field", "o.value").distinct()
@@ -66,7 +66,7 @@ class Gazette:
         return seen.unionByName(listed)
 
     def notices(self) -> DataFrame:
-        w = synth.watched(self.spark).select("company_id", F.col("name_key").alias("firm_key"))
+        w = synth.watched(self.spark, self.sf_dir).select("company_id", F.col("name_key").alias("firm_key"))
         return self.announcements.join(w, "firm_key").select("company_id", "doc_id", "num", "fact_day")
 
     def relations(self) -> DataFrame:
@@ -132,19 +132,19 @@ def q_fixpoint_links(spark, sf_dir):
     a = cut_lineage(g.full.withColumn("ends_sheet", ends).select("doc_id", "num", "province", "sheet", "firm_key", "fact_day", "ends_sheet"))
     none = spark.createDataFrame([], "name_key string, company_id long")
     renames = spark.createDataFrame([], "doc_id string, num long, new_key string")
-    known, _ = matching.learn(a, synth.watched(spark), synth.sheets(spark), none, renames)
+    known, _ = matching.learn(a, synth.watched(spark, sf_dir), synth.sheets(spark, sf_dir), none, renames)
     return known
 
 
 def q_blocked_site(spark, sf_dir):
     g = Gazette(spark, sf_dir)
     seen = discovery.registered_sites(g.raw_acts)
-    w = synth.watched(spark).select(F.col("company_id").alias("pos"), "group_id", F.col("address").alias("street"), "city")
+    w = synth.watched(spark, sf_dir).select(F.col("company_id").alias("pos"), "group_id", F.col("address").alias("street"), "city")
     return discovery.at_watched_sites(seen, discovery.watched_sites(w)).select("num", "group_id", "label")
 
 
 def _tokens(spark: SparkSession) -> DataFrame:
-    w = synth.watched(spark)
+    w = synth.watched(spark, sf_dir)
     return w.select(F.concat(F.lit("EMPRESA "), F.col("company_id").cast("string")).alias("token"), "group_id")
 
 
@@ -153,7 +153,7 @@ def q_token_signal(spark, sf_dir):
 
 
 def q_mentions(spark, sf_dir):
-    w = synth.watched(spark)
+    w = synth.watched(spark, sf_dir)
     keys = discovery.mention_keys(w.select("name", "group_id", F.col("company_id").alias("pos")))
     acts = Gazette(spark, sf_dir).raw_acts
     return discovery.mentions(acts, None, keys).select("num", "group_id", "evidence")
@@ -164,7 +164,7 @@ def q_relations(spark, sf_dir):
 
 
 def q_closure(spark, sf_dir):
-    seeds = synth.watched(spark).filter("company_id < 20").select(F.col("name_key").alias("node"), "group_id")
+    seeds = synth.watched(spark, sf_dir).select(F.col("name_key").alias("node"), "group_id")
     return graph.closure(graph.directed_edges(Gazette(spark, sf_dir).relations()), seeds)
 
 
@@ -183,7 +183,7 @@ def q_proposals(spark, sf_dir):
     g = Gazette(spark, sf_dir, keep=True)
     log = spark.sql("SELECT 1L AS entry_id, 0L AS company_id, 'purpose' AS field, CAST(NULL AS STRING) AS replaced, 'X' AS written, 'applied' AS state, DATE'2024-01-01' AS fact_day, 'D' AS doc_id, 1L AS num")
     now = record.record_now(g.values(), g.notices())
-    return record.proposals(synth.watched(spark), now, log).select("why", "company_id", "field", "held", "proposed")
+    return record.proposals(synth.watched(spark, sf_dir), now, log).select("why", "company_id", "field", "held", "proposed")
 
 
 def q_positions(spark, sf_dir):
@@ -193,7 +193,7 @@ def q_positions(spark, sf_dir):
 
 def q_powers_spread(spark, sf_dir):
     e = Gazette(spark, sf_dir).events().select("company_id", F.col("fact_day").alias("day"), "holder", "kind")
-    members = spark.range(0, synth.USERS).select(F.col("id").alias("company_id"), (F.col("id") % 3).alias("group_id"))
+    members = synth.users(spark, sf_dir).select(F.col("id").alias("company_id"), (F.col("id") % 3).alias("group_id"))
     return positions.powers_spread(e, members).select("group_id", "holder_plain", _text("day").alias("day"), "kind", "companies")
 
 
@@ -211,7 +211,7 @@ def q_sheet_stability(spark, sf_dir):
 def q_cascade(spark, sf_dir):
     g = Gazette(spark, sf_dir, keep=True)
     leads = spark.sql("SELECT 1L AS lead_id, 'PROVINCE 1' AS province, 'M 11' AS sheet, 'open' AS state, 'mention' AS found_by UNION ALL SELECT 2L, 'PROVINCE 2', 'M 12', 'gone', 'mention'")
-    matched = matching.exact_match(g.announcements, synth.watched(spark), synth.sheets(spark))
+    matched = matching.exact_match(g.announcements, synth.watched(spark, sf_dir), synth.sheets(spark, sf_dir))
     return process.tallies(process.cascade(matched, process.followed_sheets(leads), discovery.detect(_signals(g))))
 
 
@@ -248,7 +248,7 @@ def q_signal_hits(spark, sf_dir):
 
 
 def q_lead_aggregates(spark, sf_dir):
-    notices = Gazette(spark, sf_dir).announcements.filter("num % 3 = 0").select((F.col("num") % 20).alias("lead_id"), "fact_day")
+    notices = Gazette(spark, sf_dir).announcements.select((F.col("num") % 20).alias("lead_id"), "fact_day")
     leads = spark.range(0, 30).select(F.col("id").alias("lead_id"), F.lit(5).cast("long").alias("notice_count"), F.to_date(F.lit("2023-01-01")).alias("first_day"), F.to_date(F.lit("2023-01-02")).alias("last_day"))
     r = process.refresh_leads(leads, notices)
     return r.select("lead_id", "notice_count", _text("first_day").alias("first_day"), _text("last_day").alias("last_day"))
@@ -263,16 +263,16 @@ def q_token_noise(spark, sf_dir):
 
 def q_address_noise(spark, sf_dir):
     g = Gazette(spark, sf_dir, keep=True)
-    w = synth.watched(spark).select(F.col("company_id").alias("pos"), "group_id", F.col("address").alias("street"), "city")
+    w = synth.watched(spark, sf_dir).select(F.col("company_id").alias("pos"), "group_id", F.col("address").alias("street"), "city")
     sites = discovery.watched_sites(w)
     hits = discovery.at_watched_sites(discovery.registered_sites(g.raw_acts), sites).join(g.announcements.select("doc_id", "num", "firm_key"), ["doc_id", "num"])
-    related = synth.watched(spark).select(F.col("name_key").alias("firm_key"))
+    related = synth.watched(spark, sf_dir).select(F.col("name_key").alias("firm_key"))
     return measure.noise(hits.select(F.col("label").alias("key"), "firm_key"), sites.select(F.col("known.label").alias("key")), related)
 
 
 def q_collisions(spark, sf_dir):
     names = spark.read.parquet(f"{sf_dir}/part.parquet").select(plain(F.col("p_name")).alias("name"))
-    people = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 2 = 0").select(plain(F.col("p_name")).alias("name"))
+    people = spark.read.parquet(f"{sf_dir}/part.parquet").select(plain(F.split("p_name", " ")[0]).alias("name")).unionByName(names)
     return measure.name_collisions(names, people, 3)
 
 
@@ -288,7 +288,7 @@ def q_histogram(spark, sf_dir):
 
 
 def _signals(g: Gazette) -> dict[str, DataFrame]:
-    w = synth.watched(g.spark)
+    w = synth.watched(g.spark, g.sf_dir)
     keys = discovery.mention_keys(w.select("name", "group_id", F.col("company_id").alias("pos")))
     sites = discovery.watched_sites(w.select(F.col("company_id").alias("pos"), "group_id", F.col("address").alias("street"), "city"))
     return {
@@ -334,7 +334,7 @@ def q_timeline_entry(spark, sf_dir):
     owned = rel.filter("kind = 'owned_by'").select(company.alias("company_id"), F.col("fact_day").alias("day"), "num", F.lit("owner").alias("kind"), (owner % 3 == F.regexp_extract("firm_key", "([0-9]+)", 1).cast("long") % 3).alias("by_group"), F.col("other").alias("note"))
     e = g.events().filter(F.col("role").isin(*C.CONTROL_ROLES))
     body = e.select("company_id", F.col("fact_day").alias("day"), "num", F.when(F.col("kind").isin(*C.OPENING_EVENTS), "body_in").otherwise("body_out").alias("kind"), F.lit(False).alias("by_group"), F.col("label").alias("note"))
-    members = spark.range(0, synth.USERS).select(F.col("id").alias("company_id"), (F.col("id") == 0).alias("is_head"), F.when(F.col("id") % 20 == 0, F.to_date(F.lit("2024-04-20"))).alias("incorporated"))
+    members = synth.users(spark, sf_dir).select(F.col("id").alias("company_id"), (F.col("id") == 0).alias("is_head"), F.when(F.col("id") % 20 == 0, F.to_date(F.lit("2024-04-20"))).alias("incorporated"))
     every = born.unionByName(owned).unionByName(body).withColumnRenamed("num", "at")
     out = timeline.date_entries(members, every, F.to_date(F.lit("2009-01-02")))
     return out.select("company_id", "rule", _text("entry_day").alias("entry_day"), "evidence", "confirmed", "year")
@@ -350,7 +350,7 @@ def q_upsert_notices(spark, sf_dir):
 def q_relink(spark, sf_dir):
     m = Gazette(spark, sf_dir).matched().filter("company_id is null").select("doc_id", "num", "province", "sheet", "company_id")
     u = F.col("id")
-    owned = spark.range(0, synth.USERS).filter("id % 7 = 0").select(F.concat(F.lit("PROVINCE "), (u % synth.PROVINCES).cast("string")).alias("province"), F.concat(F.lit("M "), u.cast("string")).alias("sheet"), u.alias("company_id"))
+    owned = synth.users(spark, sf_dir).filter("id % 7 = 0").select(F.concat(F.lit("PROVINCE "), (u % synth.PROVINCES).cast("string")).alias("province"), F.concat(F.lit("M "), u.cast("string")).alias("sheet"), u.alias("company_id"))
     return matching.relink(m, owned).select("num", "company_id")
 
 
@@ -383,7 +383,7 @@ def q_fuzzy_best(spark, sf_dir):
     n = F.char_length("name")
     typo = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.expr("substring(name, 1, char_length(name) div 2)"), F.expr("substring(name, char_length(name) div 2 + 2)"))).when(F.col("p_partkey") % 3 == 1, F.concat("name", F.expr("right(name, 1)"))).otherwise(F.col("name"))
     bases = p.groupBy("name").agg(F.min("p_partkey").alias("pos")).select(F.col("name").alias("base"), "pos")
-    return matching.similar_names(p.select(typo.alias("base")).filter(n > 5), bases).select("base", "close", F.round("score", 4).alias("score"))
+    return matching.similar_names(p.select(typo.alias("base")), bases).select("base", "close", F.round("score", 4).alias("score"))
 
 
 def q_differs(spark, sf_dir):
@@ -426,12 +426,12 @@ acts AS (
   UNION ALL
   SELECT num, u, doc_id, firm_key, fact_day, 4, CASE WHEN num % 97 = 0 THEN 'extinction' ELSE 'dissolution' END, 'company' FROM lab WHERE num % 97 = 0 OR num % 89 = 0
 ),
-wat AS (SELECT CAST(i AS BIGINT) AS company_id, i % 3 AS group_id, 'EMPRESA ' || i || ' SL' AS name_key, CASE WHEN i % 20 = 0 THEN DATE '2024-04-20' END AS incorporated FROM range(0, 150, 10) r(i)),
+wat AS (SELECT CAST(i AS BIGINT) AS company_id, i % 3 AS group_id, 'EMPRESA ' || i || ' SL' AS name_key, CASE WHEN i % 20 = 0 THEN DATE '2024-04-20' END AS incorporated FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0) r(i)),
 pos AS (SELECT u AS company_id, fact_day AS day, num AS event_id, holder, role, label, CASE t WHEN 'view' THEN 'appointment' ELSE 'removal' END AS kind FROM lab WHERE t IN ('view', 'click')),
-rel AS (SELECT num, u, firm_key, doc_id, fact_day, (u * 7) % 150 AS o, 'EMPRESA ' || ((u * 7) % 150) || ' SL' AS other_key FROM ev WHERE num % 6 = 0 AND (u * 7) % 150 <> u),
+rel AS (SELECT num, u, firm_key, doc_id, fact_day, (u * 7) % (SELECT max(user_id) + 1 FROM events) AS o, 'EMPRESA ' || ((u * 7) % (SELECT max(user_id) + 1 FROM events)) || ' SL' AS other_key FROM ev WHERE num % 6 = 0 AND (u * 7) % (SELECT max(user_id) + 1 FROM events) <> u),
 mat AS (
   SELECT ev.*, w.company_id AS named, w.incorporated,
-    CASE WHEN ev.u % 30 = 0 AND ev.u < 150 AND ev.sheet IS NOT NULL THEN ev.u END AS own
+    CASE WHEN ev.u % 30 = 0 AND ev.sheet IS NOT NULL THEN ev.u END AS own
   FROM ev LEFT JOIN wat w ON w.name_key = ev.firm_key
 ),
 fit AS (SELECT *, coalesce(incorporated - fact_day > 93, false) AS early FROM mat),
@@ -469,7 +469,7 @@ now AS (
 ),
 sites AS (SELECT min(company_id) AS company_id, arg_min(group_id, company_id) AS group_id, company_id % 40 AS portal FROM wat GROUP BY company_id % 40),
 addr AS (SELECT num, u, firm_key, group_id, 'EJEMPLO ' || portal || ' (MADRID)' AS label FROM ev JOIN sites ON portal = k WHERE t = 'signup'),
-ment AS (SELECT num, u, firm_key, group_id, 'owned_by "EMPRESA ' || o || ' SL"' AS evidence FROM (SELECT num, u, firm_key, (u * 7) % 150 AS o FROM ev WHERE num % 6 = 0) JOIN wat ON company_id = o),
+ment AS (SELECT num, u, firm_key, group_id, 'owned_by "EMPRESA ' || o || ' SL"' AS evidence FROM (SELECT num, u, firm_key, (u * 7) % (SELECT max(user_id) + 1 FROM events) AS o FROM ev WHERE num % 6 = 0) JOIN wat ON company_id = o),
 tok AS (SELECT num, u, firm_key, group_id, 'token "EMPRESA ' || u || '"' AS evidence FROM ev JOIN wat ON company_id = u),
 sig AS (
   SELECT num, u, firm_key, group_id, 'mention' AS reason, 0 AS r FROM ment UNION ALL SELECT num, u, firm_key, group_id, 'address', 1 FROM addr UNION ALL SELECT num, u, firm_key, group_id, 'token', 2 FROM tok
@@ -499,7 +499,7 @@ ORACLE_SQL = {
       (SELECT doc_id, count(*) AS announcements, count(sheet) AS with_sheet FROM ev GROUP BY 1) e JOIN (SELECT doc_id, count(*) AS acts FROM acts GROUP BY 1) a USING (doc_id)""",
     "q_exact_match": _EV + "SELECT num, company_id, via, suggestion, CASE WHEN suggestion IS NULL THEN 0.0 ELSE 100.0 END::DOUBLE AS score FROM linked WHERE company_id IS NOT NULL OR suggestion IS NOT NULL",
     "q_fixpoint_links": _EV
-    + """SELECT 'PROVINCE ' || (i % 5) AS province, 'M ' || i AS sheet, CAST(i AS BIGINT) AS company_id FROM range(0, 150, 30) r(i)
+    + """SELECT 'PROVINCE ' || (i % 5) AS province, 'M ' || i AS sheet, CAST(i AS BIGINT) AS company_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 30 = 0) r(i)
       UNION SELECT province, sheet, company_id FROM linked WHERE via = 'name' AND sheet IS NOT NULL AND num % 97 <> 0""",
     "q_blocked_site": _EV + "SELECT num, group_id, label FROM addr",
     "q_token_signal": _EV + "SELECT num, group_id, evidence FROM tok",
@@ -507,7 +507,7 @@ ORACLE_SQL = {
     "q_relations": _EV + "SELECT firm_key, 'owned_by' AS kind, other_key, count(*) AS n FROM rel GROUP BY ALL",
     "q_closure": _EV.replace("WITH ev", "WITH RECURSIVE ev")
     + """, e AS (SELECT DISTINCT other_key AS src, firm_key AS dst FROM rel),
-      walk(node, group_id, depth) AS (SELECT name_key, group_id, 0 FROM wat WHERE company_id < 20 UNION SELECT dst, group_id, depth + 1 FROM walk JOIN e ON src = node WHERE depth < 40)
+      walk(node, group_id, depth) AS (SELECT name_key, group_id, 0 FROM wat UNION SELECT dst, group_id, depth + 1 FROM walk JOIN e ON src = node WHERE depth < 40)
       SELECT node, group_id, depth FROM (SELECT node, group_id, depth, row_number() OVER (PARTITION BY node ORDER BY depth, group_id) AS rn FROM walk) WHERE rn = 1 AND depth > 0""",
     "q_record_now": _EV + "SELECT company_id, field, source, value, strftime(day, '%Y-%m-%d') AS day FROM now",
     "q_outlived": _EV + "SELECT company_id, value, strftime(day, '%Y-%m-%d') AS day, num FROM outl",
@@ -526,7 +526,7 @@ ORACLE_SQL = {
       SELECT l.company_id, l.event_id, l.role, l.holder FROM last l LEFT JOIN seats s ON s.company_id = l.company_id AND s.seat = l.seat
         LEFT JOIN out_of o ON o.company_id = l.company_id AND o.form = l.form WHERE coalesce(seat_day <= l.day, true) AND coalesce(left_day <= l.day, true)""",
     "q_powers_spread": _EV
-    + "SELECT company_id % 3 AS group_id, holder AS holder_plain, strftime(day, '%Y-%m-%d') AS day, kind, count(DISTINCT company_id) AS companies FROM pos WHERE company_id < 150 GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT company_id) >= 2",
+    + "SELECT company_id % 3 AS group_id, holder AS holder_plain, strftime(day, '%Y-%m-%d') AS day, kind, count(DISTINCT company_id) AS companies FROM pos GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT company_id) >= 2",
     "q_shared_members": _EV
     + """, g AS (SELECT DISTINCT holder, company_id % 3 AS group_id FROM pos WHERE company_id % 50 = 0),
       c AS (SELECT company_id, group_id, count(*) AS shared FROM (SELECT DISTINCT company_id, holder FROM pos) p JOIN g USING (holder) GROUP BY 1, 2 HAVING count(*) >= 3)
@@ -550,7 +550,7 @@ ORACLE_SQL = {
       SELECT reason, group_id, count(*) AS firms FROM h GROUP BY 1, 2""",
     "q_lead_aggregates": _EV
     + """SELECT CAST(i AS BIGINT) AS lead_id, CASE WHEN n > 0 THEN n ELSE 5 END AS notice_count, strftime(coalesce(a, DATE '2023-01-01'), '%Y-%m-%d') AS first_day, strftime(coalesce(b, DATE '2023-01-02'), '%Y-%m-%d') AS last_day
-      FROM range(0, 30) r(i) LEFT JOIN (SELECT num % 20 AS l, count(*) AS n, min(fact_day) AS a, max(fact_day) AS b FROM ev WHERE num % 3 = 0 GROUP BY 1) ON l = i""",
+      FROM range(0, 30) r(i) LEFT JOIN (SELECT num % 20 AS l, count(*) AS n, min(fact_day) AS a, max(fact_day) AS b FROM ev GROUP BY 1) ON l = i""",
     "q_token_noise": _EV
     + """, t AS (SELECT CAST(i AS VARCHAR) AS key FROM range(0, 10) r(i) UNION ALL SELECT 'EMPRESA')
       SELECT key, count(DISTINCT u) AS n FROM t LEFT JOIN (SELECT DISTINCT u FROM ev WHERE u >= 20) x ON key = CAST(u AS VARCHAR) OR key = 'EMPRESA' GROUP BY 1""",
@@ -560,7 +560,7 @@ ORACLE_SQL = {
     "q_collisions": """
       WITH p AS (SELECT upper(p_name) AS name, p_partkey FROM part), s AS (SELECT * FROM p WHERE ('0x' || substr(md5(name), 1, 8))::UBIGINT % 3 = 0)
       SELECT least(length(name), 20) AS length, least(len(string_split(name, ' ')), 4) AS n_words, count(*) AS names, count(h) AS hits
-      FROM (SELECT DISTINCT name FROM s) a LEFT JOIN (SELECT DISTINCT name AS h FROM s WHERE p_partkey % 2 = 0) b ON h = name GROUP BY 1, 2""",
+      FROM (SELECT DISTINCT name FROM s) a LEFT JOIN (SELECT DISTINCT name AS h FROM s) b ON h = name GROUP BY 1, 2""",
     "q_bands": """
       SELECT CASE WHEN d < 0 THEN 'before' WHEN d < 31 THEN '0-30' WHEN d < 91 THEN '31-90' WHEN d < 181 THEN '91-180' WHEN d < 366 THEN '181-365' WHEN d < 731 THEN '366-730' WHEN d < 1826 THEN '731-1825' ELSE '1826+' END AS band, count(*) AS n
       FROM (SELECT CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY 1""",
@@ -577,7 +577,7 @@ ORACLE_SQL = {
       FROM fl LEFT JOIN tr ON i = u, tot GROUP BY 1""",
     "q_triage": _EV
     + """, l AS (SELECT d.u AS lead_id, any_value(d.firm_key) AS firm, arg_min(d.group_id, d.num) AS group_id, arg_min(d.reason, d.num) AS reason, count(*) AS n, max(day) AS last_day FROM det d JOIN ev USING (num) GROUP BY 1),
-      b AS (SELECT *, coalesce(lead_id % 10 = 0 AND lead_id < 150 AND lead_id % 3 = group_id, false) AS brand FROM l),
+      b AS (SELECT *, coalesce(lead_id % 10 = 0 AND lead_id % 3 = group_id, false) AS brand FROM l),
       s AS (SELECT *, round((1 - (1 - CASE reason WHEN 'mention' THEN 0.9 WHEN 'address' THEN 0.5 ELSE 1.0 / 3 END) * CASE WHEN brand AND reason <> 'token' THEN 1 - 1.0 / 3 ELSE 1.0 END)
         * pow(0.5, greatest(DATE '2024-03-31' - last_day, 0) / 180.0) * log2(1 + n), 4) AS score FROM b),
       p AS (SELECT *, row_number() OVER (ORDER BY score DESC, group_id, firm, lead_id) AS place, count(*) OVER () AS total FROM s)
@@ -589,7 +589,7 @@ ORACLE_SQL = {
         SELECT company_id, day, event_id, CASE kind WHEN 'appointment' THEN 'body_in' ELSE 'body_out' END, false FROM pos WHERE role NOT IN ('attorney', 'auditor', 'secretary')),
       one AS (SELECT c, min(day) FILTER (WHERE kind = 'incorporated') AS founded, min(day) FILTER (WHERE kind = 'owner' AND g) AS sign FROM fact GROUP BY 1),
       two AS (SELECT f.c, min(abs(f.day - sign)) FILTER (WHERE kind = 'body_out') AS gap, bool_or(kind = 'owner' AND NOT g AND f.day < sign) AS outside, bool_or(kind = 'incorporated' AND f.day < sign) AS before FROM fact f JOIN one USING (c) GROUP BY 1),
-      m AS (SELECT i AS company_id, i = 0 AS is_head, CASE WHEN i % 20 = 0 THEN DATE '2024-04-20' END AS inc, founded, sign, gap, outside, before FROM range(0, 150) r(i) LEFT JOIN one ON one.c = i LEFT JOIN two ON two.c = i),
+      m AS (SELECT i AS company_id, i = 0 AS is_head, CASE WHEN i % 20 = 0 THEN DATE '2024-04-20' END AS inc, founded, sign, gap, outside, before FROM (SELECT DISTINCT user_id FROM events) r(i) LEFT JOIN one ON one.c = i LEFT JOIN two ON two.c = i),
       r AS (SELECT *, CASE WHEN is_head THEN 'head' WHEN sign - founded <= 365 THEN 'founded' WHEN sign IS NOT NULL AND (coalesce(outside, false) OR coalesce(before, false) OR coalesce(gap <= 30, false)) THEN 'acquired'
         WHEN sign IS NULL THEN 'untied' WHEN inc IS NOT NULL THEN 'listed' ELSE 'already_in' END AS rule FROM m),
       d AS (SELECT *, CASE rule WHEN 'head' THEN coalesce(inc, founded) WHEN 'founded' THEN founded WHEN 'acquired' THEN sign WHEN 'listed' THEN inc END AS entry FROM r)
@@ -602,7 +602,7 @@ ORACLE_SQL = {
       o AS (SELECT * FROM m WHERE num % 3 <> 0), n AS (SELECT num, CASE WHEN num % 4 = 0 THEN company_id END AS company_id FROM m WHERE num % 2 = 0),
       j AS (SELECT coalesce(n.company_id, o.company_id) AS company_id, o.suggestion, CASE WHEN coalesce(n.company_id, o.company_id) IS NOT NULL THEN 'watched' WHEN n.num IS NOT NULL THEN 'discarded' ELSE o.kept END AS kept_as FROM o FULL JOIN n USING (num))
       SELECT kept_as, count(*) AS n, count(company_id) AS linked, count(suggestion) AS suggested FROM j GROUP BY 1""",
-    "q_relink": _EV + "SELECT num, CAST(substr(sheet, 3) AS BIGINT) AS company_id FROM linked WHERE company_id IS NULL AND CAST(substr(sheet, 3) AS BIGINT) % 7 = 0 AND CAST(substr(sheet, 3) AS BIGINT) < 150",
+    "q_relink": _EV + "SELECT num, CAST(substr(sheet, 3) AS BIGINT) AS company_id FROM linked WHERE company_id IS NULL AND CAST(substr(sheet, 3) AS BIGINT) % 7 = 0",
     "q_prune": _EV + "SELECT num % 50 AS lead_id, count(*) AS n FROM linked WHERE company_id IS NOT NULL OR suggestion IS NOT NULL OR (num % 50) % 5 = 0 GROUP BY 1",
     "q_derived_words": """
       WITH w AS (SELECT source AS name, lang = 'en' AS marked, unnest(string_split(regexp_replace(text, '[\\x09-\\x0D]', ' ', 'g'), ' ')) AS word FROM documents)
@@ -615,5 +615,17 @@ ORACLE_SQL = {
     "q_name_grams": """
       WITH w AS (SELECT string_split(upper(p_name), ' ') AS w FROM part)
       SELECT gram, count(*) AS n FROM (SELECT unnest(w) AS gram FROM w UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)) GROUP BY 1""",
+    "q_fuzzy_best": """
+      WITH RECURSIVE p AS (SELECT upper(p_name) AS name, p_partkey FROM part),
+      b AS (SELECT name AS close, min(p_partkey) AS pos FROM p GROUP BY 1),
+      t AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN substr(name, 1, length(name) // 2) || substr(name, length(name) // 2 + 2) WHEN 1 THEN name || right(name, 1) ELSE name END AS base FROM p),
+      c AS (SELECT base, close, pos FROM t JOIN b ON levenshtein(base, close) <= (length(base) + length(close)) // 10),
+      l AS (
+        SELECT base, close, pos, 0 AS i, list_transform(range(length(close)), lambda x: 0) AS r FROM c
+        UNION ALL
+        SELECT base, close, pos, i + 1, list_transform(range(1, length(close) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+          lambda k: greatest(r[k], CASE WHEN k > 1 THEN r[k - 1] ELSE 0 END + CASE WHEN substr(close, k, 1) = substr(base, i + 1, 1) THEN 1 ELSE 0 END)))) FROM l WHERE i < length(base)),
+      s AS (SELECT base, close, pos, 200.0::DOUBLE * r[length(close)] / (length(base) + length(close)) AS score FROM l WHERE i = length(base))
+      SELECT base, close, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY score DESC, pos) AS n FROM s WHERE score >= 90) WHERE n = 1""",
     "q_differs": "SELECT event_id % 7 AS m, (event_id % 7) IN (1, 5) AS differs, count(*) AS n FROM events GROUP BY 1, 2",
 }

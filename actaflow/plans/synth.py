@@ -14,7 +14,6 @@ from actaflow.operators.tables import spread
 PEOPLE = "ALFA BRAVO CHARLIE DELTA ECO FOXTROT GOLF HOTEL INDIA JULIETT KILO LIMA MIKE NOVEMBER OSCAR PAPA QUEBEC ROMEO SIERRA TANGO".split()
 LABELS = ("Adm. Unico", "Consejero", "Apoderado", "Auditor", "Adm. Solid.", "Secretario")
 PROVINCES = 5
-USERS = 150
 
 
 def _pick(values: tuple | list, i: Column) -> Column:
@@ -48,7 +47,7 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Cambio de domicilio social. CL EJEMPLO "), k.cast("string"), F.lit(" (TOLEDO). ")))
     )
     before = F.when(n % 13 == 0, "Página web de la sociedad. WWW EJEMPLO").when(n % 17 == 0, "Fe de erratas. Se corrige el texto. - ").otherwise("")
-    owner = F.when(n % 6 == 0, F.concat(F.lit("Declaración de unipersonalidad. Socio único: EMPRESA "), ((u * 7) % USERS).cast("string"), F.lit(" SL. "))).otherwise("")
+    owner = F.when(n % 6 == 0, F.concat(F.lit("Declaración de unipersonalidad. Socio único: EMPRESA "), ((u * 7) % F.lit(n_users(spark, sf_dir))).cast("string"), F.lit(" SL. "))).otherwise("")
     end = F.when(n % 97 == 0, "Extinción. ").when(n % 89 == 0, "Disolución. Voluntaria. ").otherwise("")
     inscribed = F.date_sub(F.col("day"), (n % 15).cast("int"))
     sheet = F.when(n % 11 == 0, "").otherwise(F.concat(F.lit(", H M "), u.cast("string")))
@@ -70,10 +69,20 @@ def _pick7(base: Column, n: Column) -> Column:
     return F.element_at(F.array(*forms), (F.pmod(n, F.lit(7)) + 1).cast("int"))
 
 
-def watched(spark: SparkSession) -> DataFrame:
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id of every user of the events table."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id")).distinct()
+
+
+def n_users(spark: SparkSession, sf_dir: str) -> int:
+    """One more than the largest user."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.coalesce(F.max("user_id"), F.lit(0)) + 1).first()[0]
+
+
+def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth user: company_id, group_id, name_key, name, incorporated, record columns."""
     u = F.col("id")
-    return spark.range(0, USERS, 10, 1).select(
+    return users(spark, sf_dir).filter(u % 10 == 0).select(
         u.alias("company_id"), (u % 3).alias("group_id"), (u == 0).alias("is_head"),
         F.concat(F.lit("EMPRESA "), u.cast("string"), F.lit(" SL")).alias("name_key"),
         F.concat(F.lit("EMPRESA "), u.cast("string"), F.lit(" SL")).alias("name"),
@@ -83,7 +92,7 @@ def watched(spark: SparkSession) -> DataFrame:
     )
 
 
-def sheets(spark: SparkSession) -> DataFrame:
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets known at the start: every thirtieth user."""
     u = F.col("id")
-    return spark.range(0, USERS, 30, 1).select(F.concat(F.lit("PROVINCE "), (u % PROVINCES).cast("string")).alias("province"), F.concat(F.lit("M "), u.cast("string")).alias("sheet"), u.alias("company_id"))
+    return users(spark, sf_dir).filter(u % 30 == 0).select(F.concat(F.lit("PROVINCE "), (u % PROVINCES).cast("string")).alias("province"), F.concat(F.lit("M "), u.cast("string")).alias("sheet"), u.alias("company_id"))

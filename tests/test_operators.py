@@ -73,7 +73,18 @@ def test_learning_does_not_depend_on_order(spark):
         assert [(r.name_key, r.company_id) for r in names.collect()] == [("ANTES SL", 2)]
 
 
-def test_fuzzy_candidates_lose_nothing(spark):
+def test_learning_follows_long_chains_of_renames(spark):
+    """Each name is only known through the one before, one pass later."""
+    w = watched_table(spark)
+    rows = [(f"d{i}", 1, "M", f"s{i}", "DOS SA" if i == 0 else f"NAME {i} SL", date(2018, 1, 1) + timedelta(days=i), False) for i in range(5)]
+    renames = spark.createDataFrame([(f"d{i}", 1, f"NAME {i + 1} SL") for i in range(5)], "doc_id string, num long, new_key string")
+    a = spark.createDataFrame(rows, "doc_id string, num long, province string, sheet string, firm_key string, fact_day date, ends_sheet boolean")
+    known, names = matching.learn(a, w, spark.createDataFrame([], "province string, sheet string, company_id long"), spark.createDataFrame([], "name_key string, company_id long"), renames)
+    assert known.count() == 5 and names.count() == 5 and {r.company_id for r in names.collect()} == {2}
+
+
+@pytest.mark.parametrize("cutoff", [90, 70])
+def test_fuzzy_candidates_lose_nothing(spark, cutoff):
     rng = random.Random(9)
     letters = "ABCDEFG "
     base = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 24))).strip() or "A" for _ in range(60)]
@@ -97,9 +108,9 @@ def test_fuzzy_candidates_lose_nothing(spark):
     expected = {}
     for t in names:
         best = max(((200 * lcs(t, b) / (len(t) + len(b)), -i, b) for i, b in enumerate(base)), default=None)
-        if best[0] >= 90:
+        if best[0] >= cutoff:
             expected[t] = (best[2], round(best[0], 6))
-    got = matching.similar_names(spark.createDataFrame([(n,) for n in names], "base string"), spark.createDataFrame([(b, i) for i, b in enumerate(base)], "base string, pos long"))
+    got = matching.similar_names(spark.createDataFrame([(n,) for n in names], "base string"), spark.createDataFrame([(b, i) for i, b in enumerate(base)], "base string, pos long"), cutoff)
     assert {r.base: (r.close, round(r.score, 6)) for r in got.collect()} == expected
 
 
