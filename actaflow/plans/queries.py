@@ -143,13 +143,13 @@ def q_blocked_site(spark, sf_dir):
     return discovery.at_watched_sites(seen, discovery.watched_sites(w)).select("num", "group_id", "label")
 
 
-def _tokens(spark: SparkSession) -> DataFrame:
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = synth.watched(spark, sf_dir)
     return w.select(F.concat(F.lit("EMPRESA "), F.col("company_id").cast("string")).alias("token"), "group_id")
 
 
 def q_token_signal(spark, sf_dir):
-    return discovery.token_signal(Gazette(spark, sf_dir).announcements, _tokens(spark)).select("num", "group_id", "evidence")
+    return discovery.token_signal(Gazette(spark, sf_dir).announcements, _tokens(spark, sf_dir)).select("num", "group_id", "evidence")
 
 
 def q_mentions(spark, sf_dir):
@@ -294,7 +294,7 @@ def _signals(g: Gazette) -> dict[str, DataFrame]:
     return {
         "mention": discovery.mentions(g.raw_acts, None, keys),
         "address": discovery.address_signal(discovery.at_watched_sites(discovery.registered_sites(g.raw_acts), sites)),
-        "token": discovery.token_signal(g.announcements, _tokens(g.spark)),
+        "token": discovery.token_signal(g.announcements, _tokens(g.spark, g.sf_dir)),
     }
 
 
@@ -320,7 +320,7 @@ def q_triage(spark, sf_dir):
     leads = found.groupBy("firm_key").agg(F.min_by(F.struct("group_id", "reason"), "num").alias("b"), F.count(F.lit(1)).alias("n"), F.max("day").alias("last_day"))
     leads = leads.select(F.regexp_extract("firm_key", "([0-9]+)", 1).cast("long").alias("lead_id"), "b.group_id", F.col("firm_key").alias("firm"), "b.reason", "n", "last_day", F.lit("open").alias("state"))
     precision = {s: 1 / i for i, s in enumerate(C.SIGNALS, 1)} | {"mention": 0.9}
-    scored = measure.triage(leads, _tokens(spark), F.to_date(F.lit("2024-03-31")), precision)
+    scored = measure.triage(leads, _tokens(spark, sf_dir), F.to_date(F.lit("2024-03-31")), precision)
     return scored.select("lead_id", "reason", "brand", F.round("score", 3).alias("score"), "tier")
 
 
