@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actaflow.functions import catalogue as C
-from actaflow.functions.text import has_form, name_key, possible_pairs, role_of, split_form, usable_words, words
+from actaflow.functions.text import has_form, name_key, plain, possible_pairs, role_of, split_form, usable_words, words
 from actaflow.operators.matching import similar_names
 from actaflow.operators.measure import band
 from actaflow.operators.tables import first_by, ranked
@@ -176,3 +176,64 @@ def street_words(streets: DataFrame, cities: DataFrame, least: int = 1000, share
 def samples(rows: DataFrame, bucket: str, order: list, most: int = 25) -> DataFrame:
     """The first rows of each bucket."""
     return ranked(rows, [bucket], order).filter(F.col("rank") <= most).drop("rank")
+
+
+def address_use(hits: DataFrame, known: DataFrame, related: DataFrame, noise_max: int = C.ADDRESS_NOISE_MAX) -> DataFrame:
+    """(label, unrelated, related, used): companies registered at each watched address, and
+    whether discovery uses it: not from ``noise_max`` unrelated ones on.  ``hits``: (label,
+    firm_key); ``known``: (label); ``related``: (firm_key)."""
+    tied = related.select("firm_key", F.lit(True).alias("_tied")).distinct()
+    n = hits.select("label", "firm_key").distinct().join(tied, "firm_key", "left").groupBy("label").agg(F.count_if(F.col("_tied").isNull()).alias("unrelated"), F.count("_tied").alias("related"))
+    j = known.select("label").distinct().join(n, "label", "left")
+    return j.select("label", F.coalesce("unrelated", F.lit(0)).alias("unrelated"), F.coalesce("related", F.lit(0)).alias("related"), (F.coalesce("unrelated", F.lit(0)) < noise_max).alias("used"))
+
+
+def was_company(holder: Column, vocabulary: tuple[str, ...]) -> Column:
+    """A simpler rule, to count what the one in use changes: a form at the end, or one of
+    ``vocabulary`` among the words."""
+    known = F.array(*map(F.lit, vocabulary)).cast("array<string>")
+    return has_form(holder) | F.arrays_overlap(words(plain(holder)), known)
+
+
+def holder_quirks(holdings: DataFrame, vocabulary: tuple[str, ...] = C.LEGAL_PERSON_WORDS, cut: int = C.HOLDER_CUT) -> DataFrame:
+    """One row of counts over (holder, holder_plain, label, is_company)."""
+    before = was_company(F.col("holder"), vocabulary)
+    return holdings.agg(
+        F.count(F.lit(1)).alias("holders"), F.count_distinct("holder_plain").alias("names"), F.count_if(F.col("is_company")).alias("companies"),
+        F.count_if(F.col("is_company") & ~before).alias("companies_now_only"), F.count_if(~F.col("is_company") & before).alias("companies_before_only"),
+        F.count_if(F.char_length("holder") >= cut).alias("at_the_cut"), F.count_if(F.col("holder").rlike(r"(?<!\p{L})\p{Ll}{3,}(?!\p{L})")).alias("with_lower_case"),
+        F.count_if(F.col("holder").rlike(r"\d")).alias("with_digits"), F.count_if(F.char_length("label") >= C.LABEL_MAX).alias("long_labels"),
+    )
+
+
+def record_quirks(acts: DataFrame) -> DataFrame:
+    """(act_type, acts, streets, without_city, renamed): what acts that state an address
+    give; renamed are those of a street that the council renamed."""
+    from actaflow.functions.streets import renamed_street
+    from actaflow.operators.facts import observations
+
+    of = F.struct(observations(F.col("act_type"), F.col("detail")).alias("o"), renamed_street(F.col("detail")).alias("renamed"))
+    a = acts.filter(F.col("act_type").isin("address_change", "incorporation", "other")).select("act_type", F.explode(F.array(of)).alias("r"))
+    states = lambda f: F.exists("r.o", lambda x: x["field"] == f)
+    return a.groupBy("act_type").agg(
+        F.count(F.lit(1)).alias("acts"), F.count_if(states("address")).alias("streets"), F.count_if(states("address") & ~states("city")).alias("without_city"),
+        F.count_if(F.col("r.renamed").isNotNull()).alias("renamed"),
+    )
+
+
+def generic_words(streets: DataFrame, least: int = 1000, names: int = 500) -> DataFrame:
+    """Words in ``least`` or more streets and ``names`` or more different street names (the
+    letters before the number) that are no street type or entrance word, from (street)."""
+    from actaflow.functions.lists import STREET_FILLER
+
+    name = F.trim(F.regexp_extract(plain(F.col("street")), r"^([^\d]*)", 1))
+    s = streets.select(F.explode(F.array(name)).alias("name")).select("name", F.explode(F.array_distinct(words(F.col("name")))).alias("word"))
+    per = s.groupBy("word", "name").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("names"))
+    return per.filter((F.col("n") >= least) & (F.col("names") >= names) & ~F.col("word").isin(*STREET_FILLER, *C.STREET_TYPES_IN_FULL))
+
+
+def role_labels(labels: DataFrame, least: int = 100) -> DataFrame:
+    """(label, role, n): labels by their letters, in use ``least`` times or more, with the
+    role read in them, from (label)."""
+    letters = F.trim(F.regexp_replace(F.lower("label"), r"[^\p{L}]+", " "))
+    return labels.groupBy(letters.alias("letters")).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("label")).filter(F.col("n") >= least).select(F.col("letters").alias("label"), role_of(F.col("label")).alias("role"), "n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actaflow.functions import catalogue as C
-from actaflow.functions.text import split_form
+from actaflow.functions.text import name_key, split_form
 from actaflow.operators.tables import cut_lineage, first_by
 
 
@@ -190,3 +190,13 @@ def upsert_notices(old: DataFrame, new: DataFrame) -> DataFrame:
     merged = {c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) for c in columns}
     state = F.when(merged["company_id"].isNotNull(), "watched").otherwise(F.coalesce(F.col("n.kept_as"), F.col("o.kept_as")))
     return joined.select("doc_id", "num", *[v.alias(c) for c, v in merged.items()], state.alias("kept_as"))
+
+
+def watched_lookup(names: DataFrame, watched: DataFrame, sheets: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``names`` (firm, province, sheet) with watched_id: the sheet's owner, else the company
+    of the same name, without the guard on young companies and without suggestions."""
+    asked = names.select("*", F.explode(F.array(name_key(F.col("firm")))).alias("_key"))
+    owner = sheets.select(F.col("province"), F.col("sheet"), F.col("company_id").alias("_owner"))
+    named = name_index(watched, aliases).select(F.col("name_key").alias("_key"), F.col("company_id").alias("_named"))
+    found = asked.join(owner, ["province", "sheet"], "left").join(named, "_key", "left")
+    return found.select(*names.columns, F.coalesce("_owner", "_named").alias("watched_id"))

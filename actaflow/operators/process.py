@@ -160,3 +160,34 @@ def group_keys(members: DataFrame) -> DataFrame:
     base = split_form(F.col("full"))["base"]
     k = m.select("group_id", "company_id", F.posexplode(F.filter(F.array(F.col("full"), F.when(F.char_length(base) >= C.BARE_MIN_CHARS, base)), lambda x: x.isNotNull() & (x != ""))).alias("rank", "key"))
     return first_by(k, ["group_id", "key"], ["rank", "company_id"]).select("group_id", "key", "company_id")
+
+
+def clear_derived(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What a rebuild starts from: the watchlist and what came with it, and the days on
+    which there was no gazette.  ``tables`` may hold values (source), sheets (how), aliases
+    (added_by) and days (status); derived tables among the others become empty."""
+    kept = {"values": "source = 'watchlist'", "sheets": "how = 'listed'", "aliases": "added_by = 'watchlist'", "days": "status not in ('published', 'failed')", "watched": "true"}
+    return {name: df.filter(kept.get(name, "false")) for name, df in tables.items()}
+
+
+def unread(documents: DataFrame, read: DataFrame) -> DataFrame:
+    """Documents that no earlier pass has read, by doc_id; one without an id is unread."""
+    return documents.join(read.select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)
+
+
+def group_labels(members: DataFrame) -> DataFrame:
+    """(group_id, group): the label of each group, one row a group."""
+    return members.filter("group_id is not null").groupBy("group_id").agg(F.min("group").alias("group"))
+
+
+def find_members(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """``names`` (group_id, name) with found, the company of the group that a name is: by its
+    full key, else by the key without its form.  ``keys`` as of ``group_keys``."""
+    from actaflow.functions.text import split_form
+
+    asked = names.select("*", F.explode(F.array(name_key(F.col("name")))).alias("_full"))
+    asked = asked.withColumn("_bare", split_form(F.col("_full"))["base"])
+    by = lambda c: keys.select(F.col("group_id").alias("_g"), F.col("key").alias(f"_k{c}"), F.col("company_id").alias(c))
+    for key, c in (("_full", "_by_full"), ("_bare", "_by_bare")):
+        asked = asked.join(by(c), (F.col("group_id") == F.col("_g")) & (F.col(key) == F.col(f"_k{c}")) & (F.col("_full") != ""), "left").drop("_g", f"_k{c}")
+    return asked.select(*names.columns, F.coalesce("_by_full", "_by_bare").alias("found"))

@@ -102,3 +102,23 @@ def tie_to_group(slots: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def belongs(tie: Column) -> Column:
     return tie.isin("owned_by", "absorbs", "run_by")
+
+
+def earlier_hands(facts: DataFrame) -> DataFrame:
+    """(company_id, codes): why a company was someone else's before the group's first sign,
+    as an array: each outside owner by day, then its incorporation, then the days to the
+    nearest outsider that left its body, if they are few.  Companies without a sign have
+    no row.  ``facts`` as for ``entry_facts``."""
+    rules = entry_facts(facts).filter("sign is not null").select("company_id", F.col("sign.day").alias("sign_day"), "handover")
+    before = facts.join(rules.select("company_id", "sign_day"), "company_id").filter(F.col("day") < F.col("sign_day"))
+    outside = (F.col("kind") == "owner") & ~F.col("by_group")
+    told = before.groupBy("company_id").agg(
+        F.array_sort(F.collect_list(F.when(outside, F.struct("day", "at")))).alias("owners"),
+        F.min(F.when(F.col("kind") == "incorporated", F.col("day"))).alias("founded"),
+    )
+    j = rules.join(told, "company_id", "left")
+    owners = F.transform(F.coalesce("owners", F.array()), lambda x: F.concat(F.lit("outside_owner:"), x["day"].cast("string")))
+    one = lambda test, code: F.when(test, F.array(code)).otherwise(F.array().cast("array<string>"))
+    founded = one(F.col("founded").isNotNull(), F.concat(F.lit("founded_before:"), F.col("founded").cast("string")))
+    left = one(F.coalesce(F.col("handover") <= C.HANDOVER_DAYS, F.lit(False)), F.concat(F.lit("handover:"), F.col("handover").cast("string"), F.lit("d")))
+    return j.select("company_id", F.concat(owners, founded, left).alias("codes"))

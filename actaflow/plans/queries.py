@@ -15,7 +15,8 @@ from actaflow.functions.text import name_grams, name_key, plain
 from actaflow.operators import corpus, discovery, facts, graph, matching, measure, officers, positions, process, record, timeline
 from actaflow.operators.acts import computed_once, explode_acts, with_acts, with_registry
 from actaflow.operators.tables import cut_lineage
-from actaflow.plans import synth
+from actaflow.plans import commands, synth
+from actaflow.sources.gazette import read_announcements, read_documents
 
 
 def _text(day: str | Column) -> Column:
@@ -397,6 +398,61 @@ def q_differs(spark, sf_dir):
     return rows.groupBy("m", differs(F.col("field"), F.col("held"), F.col("value")).alias("differs")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_read_documents(spark, sf_dir):
+    """Landed files of section A, written as XML and read back."""
+    read = read_announcements(read_documents(spark, f"{synth.landed(spark, sf_dir)}/A"))
+    return read.groupBy("doc_id", _text("day").alias("day"), "province").agg(F.count(F.lit(1)).alias("announcements"), F.count("sheet").alias("with_sheet"), F.sum(F.size("acts")).alias("acts"))
+
+
+def q_section_b(spark, sf_dir):
+    """Announcements of section B out of landed files."""
+    read = read_announcements(read_documents(spark, f"{synth.landed(spark, sf_dir)}/B"))
+    act = F.get("acts", F.lit(0))
+    return read.select("doc_id", "num", "firm", F.array_join("other_companies", "; ").alias("others"), _text("inscription_date").alias("inscribed"), act["act_type"].alias("act_type"), act["detail"].alias("detail"))
+
+
+def _rebuilt(spark, sf_dir):
+    g = Gazette(spark, sf_dir, keep=True)
+    a = g.full.withColumn("section", F.lit("A"))
+    return g, commands.rebuild(a, synth.watched(spark, sf_dir), synth.sheets(spark, sf_dir), _tokens(spark, sf_dir), cutoff=100.0)
+
+
+def q_rebuild(spark, sf_dir):
+    """Rows of the tables that a rebuild gives, announcements by where they are kept."""
+    _, out = _rebuilt(spark, sf_dir)
+    rows = out["tallies"].select(F.col("kept_as").alias("part"), "n")
+    for name in ("sheets", "values", "events", "leads"):
+        rows = rows.unionByName(out[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n"))
+    return rows
+
+
+def q_rebuild_history(spark, sf_dir):
+    """The values of the record now, from kept acts alone."""
+    g = Gazette(spark, sf_dir, keep=True)
+    notices = g.matched().select("doc_id", "num", "company_id", "fact_day")
+    out = commands.rebuild_history(g.acts, notices)
+    return out["record"].select("company_id", "field", "value", _text("day").alias("day"))
+
+
+def q_watched_lookup(spark, sf_dir):
+    g = Gazette(spark, sf_dir)
+    found = matching.watched_lookup(g.announcements.select("num", "firm", "province", "sheet"), synth.watched(spark, sf_dir), synth.sheets(spark, sf_dir))
+    return found.filter("watched_id is not null").select("num", "watched_id")
+
+
+def q_address_use(spark, sf_dir):
+    g = Gazette(spark, sf_dir, keep=True)
+    keyed = g.announcements.select("doc_id", "num", "firm_key")
+    w = synth.watched(spark, sf_dir)
+    sites = discovery.watched_sites(w.select(F.col("company_id").alias("pos"), "group_id", F.col("address").alias("street"), "city"))
+    hits = discovery.at_watched_sites(discovery.registered_sites(g.raw_acts), sites).join(keyed, ["doc_id", "num"])
+    return corpus.address_use(hits, sites.select(F.col("known.label").alias("label")), w.select(F.col("name_key").alias("firm_key")))
+
+
+def q_role_labels(spark, sf_dir):
+    return corpus.role_labels(Gazette(spark, sf_dir).events().select("label"), 10)
+
+
 QUERIES = {name: f for name, f in dict(globals()).items() if name.startswith("q_")}
 
 _EV = """
@@ -627,5 +683,32 @@ ORACLE_SQL = {
           lambda k: greatest(r[k], CASE WHEN k > 1 THEN r[k - 1] ELSE 0 END + CASE WHEN substr(close, k, 1) = substr(base, i + 1, 1) THEN 1 ELSE 0 END)))) FROM l WHERE i < length(base)),
       s AS (SELECT base, close, pos, 200.0::DOUBLE * r[length(close)] / (length(base) + length(close)) AS score FROM l WHERE i = length(base))
       SELECT base, close, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY score DESC, pos) AS n FROM s WHERE score >= 90) WHERE n = 1""",
+    "q_read_documents": _EV
+    + """SELECT e.doc_id, day, province, announcements, with_sheet, acts FROM
+      (SELECT doc_id, strftime(any_value(day), '%Y-%m-%d') AS day, any_value(province) AS province, count(*) AS announcements, count(sheet) AS with_sheet FROM ev GROUP BY 1) e JOIN (SELECT doc_id, count(*) AS acts FROM acts GROUP BY 1) a USING (doc_id)""",
+    "q_section_b": _EV
+    + """SELECT 'GZ-B-' || strftime(day, '%Y%m%d') || '-00' AS doc_id, num, firm_key AS firm, CASE WHEN num % 4 = 0 THEN 'OTRA ' || u || ' SA' ELSE '' END AS others, strftime(day, '%Y-%m-%d') AS inscribed,
+        'merger_project' AS act_type, CASE WHEN num % 4 = 0 THEN 'Listed with: OTRA ' || u || ' SA. ' ELSE '' END || 'Proyecto ' || t AS detail FROM ev""",
+    "q_rebuild": _EV
+    + """, fol AS (SELECT DISTINCT province, sheet FROM linked JOIN det USING (num) WHERE company_id IS NULL AND suggestion IS NULL AND reason = 'mention' AND sheet IS NOT NULL),
+      kept AS (SELECT CASE WHEN l.company_id IS NOT NULL THEN 'watched' WHEN l.suggestion IS NOT NULL THEN 'review' WHEN fol.sheet IS NOT NULL OR det.num IS NOT NULL THEN 'candidate' ELSE 'discard' END AS part
+        FROM linked l LEFT JOIN det USING (num) LEFT JOIN fol ON fol.sheet = l.sheet AND fol.province = l.province)
+      SELECT part, count(*) AS n FROM kept GROUP BY 1
+      UNION ALL SELECT 'sheets', count(*) FROM (SELECT 'M ' || i AS sheet FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 30 = 0) r(i) UNION SELECT sheet FROM linked WHERE via = 'name' AND sheet IS NOT NULL AND num % 97 <> 0)
+      UNION ALL SELECT 'values', count(*) FROM (SELECT DISTINCT o.doc_id, o.company_id, field, day, value FROM obs o JOIN linked l USING (num) WHERE l.company_id IS NOT NULL)
+      UNION ALL SELECT 'events', count(*) FROM pos JOIN linked ON event_id = num WHERE linked.company_id IS NOT NULL
+      UNION ALL SELECT 'leads', count(DISTINCT u) FROM det JOIN linked USING (num) WHERE company_id IS NULL AND suggestion IS NULL""",
+    "q_rebuild_history": _EV
+    + """, o AS (SELECT obs.* FROM obs JOIN linked l USING (num) WHERE l.company_id IS NOT NULL),
+      e AS (SELECT * FROM o WHERE field = 'status' AND value = 'extinct' AND EXISTS (SELECT 1 FROM ev JOIN linked l USING (num) WHERE l.company_id = o.company_id AND ev.fact_day > o.day)),
+      x AS (SELECT * FROM e UNION ALL SELECT * FROM o WHERE field = 'status' AND value = 'dissolved' AND EXISTS (SELECT 1 FROM e WHERE e.company_id = o.company_id AND e.day = o.day)),
+      r AS (SELECT *, row_number() OVER (PARTITION BY company_id, field ORDER BY day DESC, CASE WHEN field = 'status' THEN list_position(['active', 'insolvency', 'dissolved', 'extinct'], value) ELSE 0 END DESC, doc_id DESC, num DESC) AS rn
+        FROM o WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.company_id = o.company_id AND x.field = o.field AND x.day = o.day AND x.value = o.value))
+      SELECT company_id, field, value, strftime(day, '%Y-%m-%d') AS day FROM r WHERE rn = 1""",
+    "q_watched_lookup": _EV + "SELECT num, coalesce(own, named) AS watched_id FROM mat WHERE own IS NOT NULL OR named IS NOT NULL",
+    "q_address_use": _EV
+    + """SELECT 'EJEMPLO ' || portal || ' (MADRID)' AS label, coalesce(a.n, 0) AS unrelated, coalesce(a.r, 0) AS related, coalesce(a.n, 0) < 6 AS used FROM sites LEFT JOIN
+      (SELECT label, count(DISTINCT CASE WHEN u % 10 <> 0 THEN u END) AS n, count(DISTINCT CASE WHEN u % 10 = 0 THEN u END) AS r FROM addr GROUP BY 1) a ON label = 'EJEMPLO ' || portal || ' (MADRID)'""",
+    "q_role_labels": _EV + "SELECT replace(lower(label), '.', '') AS label, any_value(role) AS role, count(*) AS n FROM pos GROUP BY 1 HAVING count(*) >= 10",
     "q_differs": "SELECT event_id % 7 AS m, (event_id % 7) IN (1, 5) AS differs, count(*) AS n FROM events GROUP BY 1, 2",
 }
