@@ -133,12 +133,12 @@ def officers_against_owner(dated: DataFrame) -> DataFrame:
 
 def boundaries(bodies: DataFrame) -> DataFrame:
     """Counts of headings glued to a capital or after a spaced dash, over (body)."""
-    from actaflow.operators.acts import _VARIANTS
+    from actaflow.operators.acts import ANY_HEADING, without_accents
 
-    heading = "(?:" + "|".join(_VARIANTS) + r")(?=[.:](?:\s|$))"
-    glued = F.regexp_count("body", F.lit(rf"(?<=\p{{Lu}}){heading}"))
-    dash = F.regexp_count("body", F.lit(rf"(?<=\.\s{{0,20}}-\s{{0,20}}){heading}"))
-    b = bodies.select(glued.alias("g"), dash.alias("d"))
+    flat = bodies.select(F.explode(F.array(without_accents(F.col("body")))).alias("body"))
+    glued = F.regexp_count("body", F.lit(rf"(?<=\p{{Lu}}){ANY_HEADING}"))
+    dash = F.regexp_count("body", F.lit(rf"(?<=\.\s{{0,20}}-\s{{0,20}}){ANY_HEADING}"))
+    b = flat.select(glued.alias("g"), dash.alias("d"))
     return b.agg(F.count(F.lit(1)).alias("announcements"), F.sum("g").alias("glued_to_capital"), F.sum("d").alias("after_dot_space_dash"), F.count_if((F.col("g") > 0) | (F.col("d") > 0)).alias("announcements_affected"))
 
 
@@ -222,14 +222,14 @@ def record_quirks(acts: DataFrame) -> DataFrame:
 
 
 def generic_words(streets: DataFrame, least: int = 1000, names: int = 500) -> DataFrame:
-    """Words in ``least`` or more streets and ``names`` or more different street names (the
+    """Words of three letters or more in ``least`` or more streets and ``names`` or more different street names (the
     letters before the number) that are no street type or entrance word, from (street)."""
     from actaflow.functions.lists import STREET_FILLER
 
     name = F.trim(F.regexp_extract(plain(F.col("street")), r"^([^\d]*)", 1))
     s = streets.select(F.explode(F.array(name)).alias("name")).select("name", F.explode(F.array_distinct(words(F.col("name")))).alias("word"))
     per = s.groupBy("word", "name").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("names"))
-    return per.filter((F.col("n") >= least) & (F.col("names") >= names) & ~F.col("word").isin(*STREET_FILLER, *C.STREET_TYPES_IN_FULL))
+    return per.filter((F.char_length("word") >= 3) & (F.col("n") >= least) & (F.col("names") >= names) & ~F.col("word").isin(*STREET_FILLER, *C.STREET_TYPES_IN_FULL))
 
 
 def role_labels(labels: DataFrame, least: int = 100) -> DataFrame:

@@ -133,7 +133,9 @@ def formats(announcements: DataFrame, acts: DataFrame, holdings: DataFrame, leas
     where = acts.filter(F.col("act_type").isin("address_change", "incorporation")).select(F.explode(facts.observations(F.col("act_type"), F.col("detail"))).alias("o"))
     streets = cut_lineage(where.filter("o.field = 'address'").select(F.col("o.value").alias("street")))
     cities = where.filter("o.field = 'city'").select(F.col("o.value").alias("city"))
-    marked = holdings.select(F.col("holder_plain").alias("name"), corpus.carries_form(F.col("holder")).alias("marked"), F.explode(F.array_distinct(F.split("holder_plain", " "))).alias("word")).filter("word <> ''")
+    # a generator in the same projection would drop the names of the fields inside the test
+    marked = holdings.select(F.col("holder_plain").alias("name"), corpus.carries_form(F.col("holder")).alias("marked"))
+    marked = marked.select("name", "marked", F.explode(F.array_distinct(F.split("name", " "))).alias("word")).filter("word <> ''")
     lengths = lambda df, c: df.groupBy(F.char_length(c).alias("length")).agg(F.count(F.lit(1)).alias("n"))
     return {
         "boundaries": corpus.boundaries(announcements.select(F.col("raw_text").alias("body"))), "sheet_verdicts": corpus.sheet_verdicts(parts),
