@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actaflow.llm.graph import connected_components
-from actaflow.llm.store import checkpoint
+from actaflow.llm.store import checkpoint, settled
 from actaflow.llm.words import MULT, WORD_HASHES, distinct, fingerprint, mix, shingle_set
 
 SHINGLE = 5
@@ -235,7 +235,7 @@ def _star_links(sets: DataFrame, percent: int) -> DataFrame:
     almost similar ones find leaders of their own."""
     bands, links = checkpoint(_band_keys(sets)), None
     for _ in range(ROUNDS):
-        found = checkpoint(_round(bands, sets, percent))
+        found = settled(sets.sparkSession, lambda: _round(bands, sets, percent))
         links = found if links is None else checkpoint(links.unionByName(found))
         if found.isEmpty():
             break
@@ -349,13 +349,14 @@ def _components(rows: DataFrame, percent: int, bucket_tokens: int) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("fp").agg(F.coalesce(F.min("doc_id"), unnamed).alias("rep"), F.count(F.lit(1)).alias("n_same"))
     sets = rows.filter("tokens is not null").groupBy("fp").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     sets = checkpoint(sets.join(classes, "fp").select("rep", "n", "tokens"))
-    links = checkpoint(_star_links(sets, percent))
-    groups = checkpoint(connected_components(links))
+    spark = rows.sparkSession
+    links = settled(spark, lambda: _star_links(sets, percent))
+    groups = settled(spark, lambda: connected_components(links))
     grouped = sets.join(groups, sets["rep"] == groups["node"], "left").select("rep", "n", "tokens", F.coalesce("component", "rep").alias("g"))
     sizes = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("g_size"))
     grouped = checkpoint(grouped.join(sizes, "g"))
-    opened = checkpoint(_to_open(checkpoint(_asking(grouped, percent, bucket_tokens)), percent))
-    more = checkpoint(_open(opened, grouped, percent))
+    opened = settled(spark, lambda: _to_open(checkpoint(_asking(grouped, percent, bucket_tokens)), percent))
+    more = settled(spark, lambda: _open(opened, grouped, percent))
     found = groups if more.isEmpty() else connected_components(links.unionByName(more))
     return classes.join(found, classes["rep"] == found["node"], "left").select("fp", "n_same", F.coalesce("component", "rep").alias("component"))
 
@@ -383,9 +384,14 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     Rows with an empty set stay, whatever their ids."""
     key = F.unhex(F.sha2(F.col("text").cast("string"), 256))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
-    rows = checkpoint(_sets(keyed, shingle, percent, block_bytes, bucket_tokens))
-    of_row = rows.filter("n > 0").groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n_rows"))
-    of_row = checkpoint(of_row.join(_components(rows, percent, bucket_tokens), "fp").select("component", F.struct(F.coalesce("doc_id", F.lit(_UNNAMED)).alias("order"), "key").alias("at"), "doc_id", "key", "n_rows"))
+
+    def placed() -> DataFrame:
+        rows = checkpoint(_sets(keyed, shingle, percent, block_bytes, bucket_tokens))
+        of_row = rows.filter("n > 0").groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n_rows"))
+        at = F.struct(F.coalesce("doc_id", F.lit(_UNNAMED)).alias("order"), "key").alias("at")
+        return of_row.join(_components(rows, percent, bucket_tokens), "fp").select("component", at, "doc_id", "key", "n_rows")
+
+    of_row = settled(docs.sparkSession, placed)
     first = of_row.groupBy(F.col("component").alias("_component")).agg(F.min("at").alias("_first"))
     lost = of_row.join(first, F.col("component") == F.col("_component")).filter(F.col("at") != F.col("_first")).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.unhex(F.sha2(docs["text"].cast("string"), 256)) == F.col("_key"))
