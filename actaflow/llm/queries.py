@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from actaflow.llm.chat import CHAT_SQL, format_chats
 from actaflow.llm.decontam import decontaminate
+from actaflow.llm.fim import FIM_SQL, fill_in_middle, restore_texts
 from actaflow.llm.jaccard import JACCARD_SQL, jaccard_components
 from actaflow.llm.langid import identify_languages
 from actaflow.llm.lines import LINE_DEDUP_SQL, dedup_lines
@@ -64,6 +65,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = restore_texts(fill_in_middle(_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -75,6 +81,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc_archive": op9_warc_archive,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +92,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": LINE_DEDUP_SQL,
     "op8_substring_dedup": SUBSTRING_SQL,
     "op9_warc_archive": ARCHIVE_SQL,
+    "op11_fill_in_middle": FIM_SQL,
 }
