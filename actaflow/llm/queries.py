@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from actaflow.llm.chat import CHAT_SQL, format_chats
 from actaflow.llm.decontam import decontaminate
+from actaflow.llm.extract import EXTRACT_SQL, extract_text
 from actaflow.llm.fim import FIM_SQL, fill_in_middle, restore_texts
 from actaflow.llm.jaccard import JACCARD_SQL, jaccard_components
 from actaflow.llm.langid import identify_languages
@@ -70,6 +71,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op12_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -82,6 +87,7 @@ QUERIES = {
     "op9_warc_archive": op9_warc_archive,
     "op10_decontaminate": op10_decontaminate,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_extract_text": op12_extract_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,4 +99,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": SUBSTRING_SQL,
     "op9_warc_archive": ARCHIVE_SQL,
     "op11_fill_in_middle": FIM_SQL,
+    "op12_extract_text": EXTRACT_SQL,
 }
