@@ -13,6 +13,7 @@ from actaflow.llm.jaccard import JACCARD_SQL, jaccard_components
 from actaflow.llm.langid import identify_languages
 from actaflow.llm.lines import LINE_DEDUP_SQL, dedup_lines
 from actaflow.llm.mixing import mix_sources
+from actaflow.llm.negatives import NEGATIVES_SQL, hard_negatives
 from actaflow.llm.quality import QUALITY_SQL, quality_rules
 from actaflow.llm.substrings import SUBSTRING_SQL, substring_dedup
 from actaflow.llm.urls import RULES_SQL, URL_FILTER_SQL, url_filter
@@ -75,6 +76,10 @@ def op12_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), relabel="case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_url_filter": op2_url_filter,
@@ -88,6 +93,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_extract_text": op12_extract_text,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -100,4 +106,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_warc_archive": ARCHIVE_SQL,
     "op11_fill_in_middle": FIM_SQL,
     "op12_extract_text": EXTRACT_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
 }
