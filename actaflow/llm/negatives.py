@@ -38,8 +38,8 @@ SAMPLE, DEPTH = 4096, 6
 #: Rows of a block and of a leaf: of candidates, of anchors.
 BLOCK, ANCHOR_BLOCK = 2048, 256
 LEAF, ANCHOR_LEAF = 256, 32
-#: Candidate blocks that the first round opens for an anchor block.
-SEEDS = 2
+#: Candidates at least, in their blocks, that the first round opens for an anchor block.
+SEEDS = 4096
 #: Parts in which the bounds of a group of anchor blocks meet those of candidate blocks.
 SALTS = 8
 #: Components are held between -LARGEST and LARGEST.
@@ -258,7 +258,7 @@ def _may_meet(same: bool, a_low, a_high, c_low, c_high):
     return (a_low != a_high) | (c_low != c_high) | (a_low != c_low)
 
 
-_STATS = ("block", "dims", "label_low", "label_high", "need", "most", "bounds")
+_STATS = ("block", "n", "dims", "label_low", "label_high", "need", "most", "bounds")
 _GROUP_SCHEMA = "grp int, dims int, label_low int, label_high int, need double, most double, bounds binary"
 
 
@@ -286,13 +286,13 @@ def _merge_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def meeting_blocks(anchors: DataFrame, candidates: DataFrame, same: bool) -> DataFrame:
-    """(ablock, cblock, upper): the pairs of blocks whose interval touches what the anchors want.
+    """(ablock, cblock, rows, upper): the pairs of blocks whose interval touches what the anchors want.
 
     At most 64 * _GROUPS groups of anchor blocks, by place and label, are nodes that every
     candidate block is held against at once; only blocks of groups that aren't pruned meet."""
     group = (F.col("place") * _GROUPS + F.pmod("label_low", F.lit(_GROUPS))).cast("int")
     stats = anchors.filter("most >= need").select(group.alias("grp"), *_STATS)
-    tops = stats.drop("block").mapInArrow(_merge_in_task, _GROUP_SCHEMA).groupBy("grp").applyInArrow(_merged, _GROUP_SCHEMA).collect()
+    tops = stats.drop("block", "n").mapInArrow(_merge_in_task, _GROUP_SCHEMA).groupBy("grp").applyInArrow(_merged, _GROUP_SCHEMA).collect()
     groups = np.array([r.grp for r in tops], np.int32)
     nodes = _bounds_of([bytes(r.bounds) for r in tops], [r.dims for r in tops])
     low, high, need, most = (np.array([r[c] for r in tops]) for c in ("label_low", "label_high", "need", "most"))
@@ -319,14 +319,14 @@ def meeting_blocks(anchors: DataFrame, candidates: DataFrame, same: bool) -> Dat
             ok = (greatest >= np.array(d["need"])) & (least <= np.array(d["most"]))
             ok &= _may_meet(same, *(np.array(d[k]) for k in ("label_low", "label_high", "c_label_low", "c_label_high")))
             hit = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(d["block"], np.int64)[hit]), pa.array(np.array(d["c_block"], np.int64)[hit]), pa.array(greatest[hit])], names=["ablock", "cblock", "upper"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(d["block"], np.int64)[hit]), pa.array(np.array(d["c_block"], np.int64)[hit]), pa.array(np.array(d["c_n"], np.int64)[hit]), pa.array(greatest[hit])], names=["ablock", "cblock", "rows", "upper"])
 
     own = [c for c in _STATS if c not in ("need", "most")]
-    kinds = "block long, dims int, label_low int, label_high int, bounds binary, grp int"
+    kinds = "block long, n int, dims int, label_low int, label_high int, bounds binary, grp int"
     open_nodes = candidates.select(*own).mapInArrow(descend, kinds).select("grp", F.pmod("block", F.lit(SALTS)).alias("salt"), *[F.col(c).alias(f"c_{c}") for c in own])
     salted = stats.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     joined = salted.join(open_nodes, ["grp", "salt"])
-    return joined.select("block", "dims", "label_low", "label_high", "need", "most", "bounds", "c_block", "c_dims", "c_label_low", "c_label_high", "c_bounds").mapInArrow(pairs, "ablock long, cblock long, upper double")
+    return joined.select("block", "dims", "label_low", "label_high", "need", "most", "bounds", "c_block", "c_n", "c_dims", "c_label_low", "c_label_high", "c_bounds").mapInArrow(pairs, "ablock long, cblock long, rows long, upper double")
 
 
 # -- two blocks -----------------------------------------------------------------------
@@ -496,8 +496,9 @@ def _raised(anchors: DataFrame, found: DataFrame, k: int) -> DataFrame:
 def dual_tree(anchor_rows: DataFrame, candidates: DataFrame, planes: Planes, same: bool, k: int) -> DataFrame:
     """(anchor_id, key, score, found_id, nth): for each want of the anchors its k best finds."""
     anchors = cut_blocks(ordered(anchor_rows, planes), ANCHOR_BLOCK, ANCHOR_LEAF)
-    nearest = Window.partitionBy("ablock").orderBy(F.desc("upper"), "cblock")
-    opened = checkpoint(meeting_blocks(anchors, candidates, same).withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= SEEDS).select("ablock", "cblock"))
+    nearer = Window.partitionBy("ablock").orderBy(F.desc("upper"), "cblock").rowsBetween(Window.unboundedPreceding, -1)
+    opened = meeting_blocks(anchors, candidates, same).withColumn("before", F.coalesce(F.sum("rows").over(nearer), F.lit(0)))
+    opened = checkpoint(opened.filter(F.col("before") < SEEDS).select("ablock", "cblock"))
     seeds = checkpoint(_best(_search(opened, anchors, candidates, same, k), k))
     anchors = checkpoint(_raised(anchors, seeds, k))
     rest = meeting_blocks(anchors, candidates, same).join(opened, ["ablock", "cblock"], "left_anti")
