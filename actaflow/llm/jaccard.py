@@ -393,16 +393,16 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
     of_row = settled(docs.sparkSession, placed)
     first = of_row.groupBy(F.col("component").alias("_component")).agg(F.min("at").alias("_first"))
-    lost = of_row.join(first, F.col("component") == F.col("_component")).filter(F.col("at") != F.col("_first")).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
+    lost = (F.col("at") != F.col("_first")).alias("_lost")
+    verdicts = of_row.join(first, F.col("component") == F.col("_component")).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), lost, "n_rows")
+    verdicts = verdicts.filter("_lost or n_rows > 1").select("_doc", "_key", "_lost")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.unhex(F.sha2(docs["text"].cast("string"), 256)) == F.col("_key"))
-    kept = docs.join(lost, same, "left_anti")
-    again = of_row.filter("n_rows > 1").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
-    if again.isEmpty():
-        return kept
+    if verdicts.filter("not _lost").isEmpty():
+        return docs.join(verdicts, same, "left_anti")
     names = [f"_{i}" for i in range(len(docs.columns))]
-    repeated = kept.join(again, same, "left_semi").toDF(*names)
-    once = repeated.dropDuplicates([names[docs.columns.index("doc_id")], names[docs.columns.index("text")]]).toDF(*docs.columns)
-    return kept.join(again, same, "left_anti").unionByName(once)
+    judged = docs.join(verdicts, same, "left").select(*(docs[c].alias(n) for c, n in zip(docs.columns, names)), "_lost").filter("_lost is null or not _lost")
+    once = judged.filter("not _lost").dropDuplicates([names[docs.columns.index("doc_id")], names[docs.columns.index("text")]])
+    return judged.filter("_lost is null").unionByName(once).drop("_lost").toDF(*docs.columns)
 
 
 #: For tables in which a doc_id names one row.

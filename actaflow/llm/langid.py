@@ -97,7 +97,9 @@ def fit(langs: list[str], bits: np.ndarray) -> Model:
     y = np.array([number[x] for x in langs])
     each = max(1, min(LANDMARKS_PER_LANG, LANDMARKS // len(names)))
     nth = np.arange(len(y)) - np.searchsorted(y, y)  # rows of a language stand together
-    chosen = np.flatnonzero(nth < each)[:LANDMARKS]
+    chosen = np.flatnonzero(nth < each)
+    if len(chosen) > LANDMARKS:  # more languages than landmarks: any of them, not the first of the alphabet
+        chosen = np.sort(np.random.default_rng(LANDMARKS).permutation(chosen)[:LANDMARKS])
     dense = lambda rows: normalise(np.unpackbits(rows, axis=1, count=SLOTS).astype(np.float32))
     basis = dense(bits[chosen])
     values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
@@ -162,10 +164,11 @@ def classify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -
 
     A null text or one without a letter is ``und`` with score 0, as is every text if
     there is no model; ``nearest`` is its largest kernel with a landmark.  Only the text is looked at."""
-    found = docs.select("doc_id", *keep, F.col("text").alias("_text"), has_letter(F.col("text")).alias("_lettered"))
+    at = "text" if "text" in keep else "_text"  # a text that is kept is sent once
+    found = docs.select("doc_id", *keep, *([] if at == "text" else [F.col("text").alias(at)]), has_letter(F.col("text")).alias("_lettered"))
     if model is None:
         return found.select("doc_id", *keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("nearest"))
-    schema = found.drop("_text", "_lettered").schema.add("lang_pred", "string").add("score", "double").add("nearest", "double")
+    schema = found.select("doc_id", *keep).schema.add("lang_pred", "string").add("score", "double").add("nearest", "double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
@@ -174,7 +177,7 @@ def classify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -
                 part = batch.slice(i, _BATCH)
                 table = dict(zip(part.schema.names, part.columns))
                 lettered = np.array(table["_lettered"].to_pylist(), bool)
-                texts = [t.as_py() for t, ok in zip(table["_text"], lettered) if ok]
+                texts = [t.as_py() for t, ok in zip(table[at], lettered) if ok]
                 pred, sure, nearest = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows), np.zeros(part.num_rows)
                 if texts:
                     s, nearest[lettered] = score(presence(texts))
