@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from actaflow.functions import catalogue as C
 from actaflow.functions.places import differs
 from actaflow.functions.text import name_grams, name_key, plain
-from actaflow.operators import corpus, discovery, facts, graph, matching, measure, officers, positions, process, record, timeline
+from actaflow.operators import corpus, discovery, facts, graph, linking, matching, measure, officers, positions, process, record, timeline
 from actaflow.operators.acts import computed_once, explode_acts, with_acts, with_registry
 from actaflow.operators.tables import cut_lineage
 from actaflow.plans import commands, synth
@@ -137,6 +137,43 @@ def q_fixpoint_links(spark, sf_dir):
     return known
 
 
+def _link_facts(spark, sf_dir) -> DataFrame:
+    """Facts of the announcements with renames, all read from their texts."""
+    read = with_registry(synth.announcements(spark, sf_dir, renames=True))
+    read = computed_once(read, "firm_key", name_key(F.col("firm"))).withColumn("fact_day", F.coalesce("inscription_date", "day"))
+    a = with_acts(read).withColumn("ends_sheet", F.exists("acts", lambda a: a["act_type"].isin(*C.SHEET_ENDING_ACTS)))
+    names = F.transform(F.filter("acts", lambda a: (a["act_type"] == "name_change") & (a["detail"] != "")), lambda a: a["detail"])
+    a = cut_lineage(a.select("doc_id", "num", "province", "sheet", "firm_key", "fact_day", "ends_sheet", names.alias("names")))
+    renames = a.select("doc_id", "num", F.explode("names").alias("name")).select("doc_id", "num", name_key(F.col("name")).alias("new_key"))
+    return cut_lineage(linking.facts_of(a, renames))
+
+
+def _link_base(spark, sf_dir) -> linking.Base:
+    watched = synth.watched(spark, sf_dir).select("company_id", "name_key", "incorporated")
+    return linking.Base(cut_lineage(watched), cut_lineage(synth.sheets(spark, sf_dir)), spark.createDataFrame([], "name_key string, company_id long"))
+
+
+def q_incremental_links(spark, sf_dir):
+    """Documents come latest first, a part of them wrong at first and some that are
+    withdrawn again; what has been learned in the end, and the links that follow from it."""
+    facts, base = _link_facts(spark, sf_dir), _link_base(spark, sf_dir)
+    first, last = facts.agg(F.min("fact_day"), F.max("fact_day")).first()
+    middle = first + (last - first) / 2
+    late, early = facts.filter(F.col("fact_day") > F.lit(middle)), facts.filter(F.col("fact_day") <= F.lit(middle))
+    # doc_ids name a day, so both halves hold whole documents but for inscriptions over the border
+    split = cut_lineage(early.select("doc_id").distinct())
+    late = late.join(split, "doc_id", "left_anti").select(*facts.columns)
+    early = facts.join(split, "doc_id", "left_semi").select(*facts.columns)
+    wrong = late.withColumns({"sheet": F.concat(F.lit("M 9"), F.substring_index("sheet", " ", -1)), "new_keys": F.transform("new_keys", lambda x: F.concat(x, F.lit(" EN ERROR")))})
+    extra = early.withColumns({"doc_id": F.concat(F.lit("EXTRA-"), F.col("doc_id")), "new_keys": F.array(F.concat(F.lit("OTRA "), F.col("firm_key"))), "sheet": F.concat(F.lit("X "), F.col("num").cast("string"))})
+    state = linking.link_all(wrong.unionByName(extra), base)
+    state = linking.apply_changes(state, base, late.unionByName(early), extra.select("doc_id").distinct())
+    rows = state.sheets.select(F.lit("sheet").alias("kind"), F.concat_ws("|", "province", "sheet").alias("key"), "company_id")
+    rows = rows.unionByName(state.aliases.select(F.lit("alias").alias("kind"), F.col("name_key").alias("key"), "company_id"))
+    linked = state.links.filter("company_id is not null").groupBy("via", "company_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("n", F.lit(1).cast("long")).unionByName(linked.select(F.lit("links").alias("kind"), F.col("via").alias("key"), "company_id", "n"))
+
+
 def q_blocked_site(spark, sf_dir):
     g = Gazette(spark, sf_dir)
     seen = discovery.registered_sites(g.raw_acts)
@@ -557,6 +594,16 @@ ORACLE_SQL = {
     "q_fixpoint_links": _EV
     + """SELECT 'PROVINCE ' || (i % 5) AS province, 'M ' || i AS sheet, CAST(i AS BIGINT) AS company_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 30 = 0) r(i)
       UNION SELECT province, sheet, company_id FROM linked WHERE via = 'name' AND sheet IS NOT NULL AND num % 97 <> 0""",
+    "q_incremental_links": _EV.replace("WITH ev", "WITH RECURSIVE ev")
+    + """, own(c, u) AS (
+        SELECT company_id, company_id FROM wat
+        UNION SELECT c, own.u + 1 FROM own JOIN ev ON ev.u = own.u JOIN wat ON company_id = c
+        WHERE num % 31 = 0 AND own.u % 3 <> 2 AND (own.u + 1) % 10 <> 0 AND NOT coalesce(incorporated - fact_day > 93, false)),
+      m AS (SELECT own.c, ev.*, coalesce(incorporated - fact_day > 93, false) AS early FROM own JOIN ev ON ev.u = own.u JOIN wat ON company_id = c),
+      learned AS (SELECT DISTINCT c, province, sheet, u FROM m WHERE NOT early AND sheet IS NOT NULL AND num % 97 <> 0 AND u % 30 <> 0)
+      SELECT 'sheet' AS kind, province || '|' || sheet AS key, c AS company_id, CAST(1 AS BIGINT) AS n FROM learned
+      UNION ALL SELECT 'alias', 'EMPRESA ' || u || ' SL', c, 1 FROM own WHERE u <> c
+      UNION ALL SELECT 'links', CASE WHEN m.sheet IS NOT NULL AND (m.u % 30 = 0 OR l.c IS NOT NULL) THEN 'sheet' ELSE 'name' END, m.c, count(*) FROM m LEFT JOIN learned l ON l.sheet = m.sheet AND l.province = m.province WHERE NOT early GROUP BY 2, 3""",
     "q_blocked_site": _EV + "SELECT num, group_id, label FROM addr",
     "q_token_signal": _EV + "SELECT num, group_id, evidence FROM tok",
     "q_mentions": _EV + "SELECT num, group_id, evidence FROM ment",

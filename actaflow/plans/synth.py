@@ -25,8 +25,10 @@ def _money(cents: Column) -> Column:
     return F.concat(whole, F.lit(","), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"), F.lit(" Euros"))
 
 
-def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, num, province, day, firm, raw_text of each event."""
+def announcements(spark: SparkSession, sf_dir: str, renames: bool = False) -> DataFrame:
+    """doc_id, num, province, day, firm, raw_text of each event.
+
+    With ``renames``, of every 31st text the company (of two in three users) takes the name of the next user."""
     e = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "ts", "value", "props"))
     u, n = F.col("user_id"), F.col("event_id")
     e = e.withColumns(
@@ -49,6 +51,8 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.when(n % 13 == 0, "Página web de la sociedad. WWW EJEMPLO").when(n % 17 == 0, "Fe de erratas. Se corrige el texto. - ").otherwise("")
     owner = F.when(n % 6 == 0, F.concat(F.lit("Declaración de unipersonalidad. Socio único: EMPRESA "), ((u * 7) % F.lit(n_users(spark, sf_dir))).cast("string"), F.lit(" SL. "))).otherwise("")
     end = F.when(n % 97 == 0, "Extinción. ").when(n % 89 == 0, "Disolución. Voluntaria. ").otherwise("")
+    if renames:
+        end = F.concat(F.when((n % 31 == 0) & (u % 3 != 2), F.concat(F.lit("Cambio de denominación social. EMPRESA "), (u + 1).cast("string"), F.lit(" SL. "))).otherwise(""), end)
     inscribed = F.date_sub(F.col("day"), (n % 15).cast("int"))
     sheet = F.when(n % 11 == 0, "").otherwise(F.concat(F.lit(", H M "), u.cast("string")))
     tail = F.concat(F.lit("Datos registrales. S 8 "), sheet, F.lit(", I/A 3 ("), F.date_format(inscribed, "d.MM.yy"), F.lit(")."))
