@@ -16,7 +16,8 @@ from actaflow.operators import corpus, discovery, facts, graph, linking, matchin
 from actaflow.operators.acts import computed_once, explode_acts, with_acts, with_registry
 from actaflow.operators.tables import cut_lineage
 from actaflow.plans import commands, synth
-from actaflow.sources.gazette import read_announcements, read_documents
+from actaflow.sources.gazette import day_results, parse_documents, read_announcements, read_documents
+from actaflow.sources.landing import land
 
 
 def _text(day: str | Column) -> Column:
@@ -441,6 +442,16 @@ def q_read_documents(spark, sf_dir):
     return read.groupBy("doc_id", _text("day").alias("day"), "province").agg(F.count(F.lit(1)).alias("announcements"), F.count("sheet").alias("with_sheet"), F.sum(F.size("acts")).alias("acts"))
 
 
+def q_landing(spark, sf_dir):
+    """Days of a range out of a store of landed payloads, two empty days among them, and what
+    the payloads hold."""
+    first, last = synth.announcements(spark, sf_dir).agg(F.min("day"), F.date_add(F.max("day"), 2)).first()
+    rows = cut_lineage(land(spark, synth.fill_store(spark, sf_dir), synth.INDEX, first.isoformat(), last.isoformat(), offline=True, content=True))
+    held = read_announcements(parse_documents(rows)).groupBy("day").agg(F.count(F.lit(1)).alias("announcements"))
+    days = day_results(rows.select("day", "status", "error")).join(held, "day", "left")
+    return days.select(_text("day").alias("day"), "status", "n_documents", F.coalesce("announcements", F.lit(0)).alias("announcements"))
+
+
 def q_section_b(spark, sf_dir):
     """Announcements of section B out of landed files."""
     read = read_announcements(read_documents(spark, f"{synth.landed(spark, sf_dir)}/B"))
@@ -733,6 +744,9 @@ ORACLE_SQL = {
     "q_read_documents": _EV
     + """SELECT e.doc_id, day, province, announcements, with_sheet, acts FROM
       (SELECT doc_id, strftime(any_value(day), '%Y-%m-%d') AS day, any_value(province) AS province, count(*) AS announcements, count(sheet) AS with_sheet FROM ev GROUP BY 1) e JOIN (SELECT doc_id, count(*) AS acts FROM acts GROUP BY 1) a USING (doc_id)""",
+    "q_landing": _EV
+    + """SELECT strftime(day, '%Y-%m-%d') AS day, 'published' AS status, count(DISTINCT doc_id) AS n_documents, count(*) AS announcements FROM ev GROUP BY 1
+      UNION ALL SELECT strftime(d, '%Y-%m-%d'), 'not_cached', 0, 0 FROM (SELECT unnest(generate_series(min(day), max(day) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS d FROM ev) WHERE d NOT IN (SELECT day FROM ev)""",
     "q_section_b": _EV
     + """SELECT 'GZ-B-' || strftime(day, '%Y%m%d') || '-00' AS doc_id, num, firm_key AS firm, CASE WHEN num % 4 = 0 THEN 'OTRA ' || u || ' SA' ELSE '' END AS others, strftime(day, '%Y-%m-%d') AS inscribed,
         'merger_project' AS act_type, CASE WHEN num % 4 = 0 THEN 'Listed with: OTRA ' || u || ' SA. ' ELSE '' END || 'Proyecto ' || t AS detail FROM ev""",

@@ -116,6 +116,35 @@ def documents(announcements: DataFrame, heading: str | None = None) -> DataFrame
     return docs.select(about.alias("metadatos"), F.struct(F.flatten(F.transform("a", lambda x: x["p"])).alias("p")).alias("texto"))
 
 
+INDEX = "https://gazette.invalid/index/{day}"
+
+
+def fill_store(spark: SparkSession, sf_dir: str) -> str:
+    """The root of a landing store that holds the documents and daily indexes of the events, as
+    runs of ``sources.landing`` would leave it."""
+    root = shared_folder(spark, "store").replace("file:/", "file:///", 1).replace("file://///", "file:///")
+    a = announcements(spark, sf_dir).withColumn("header", F.concat(F.col("num").cast("string"), F.lit(" - "), F.col("firm"))).withColumnRenamed("raw_text", "body")
+    url = F.concat(F.lit("https://gazette.invalid/xml/"), F.col("metadatos.identificador"), F.lit(".xml"))
+    documents_ = documents(a).select(url.alias("url"), F.to_xml(F.struct("metadatos", "texto"), {"rowTag": "documento"}).alias("text"))
+    item = F.struct(F.col("doc_id").alias("identificador"), F.col("province").alias("titulo"), F.concat(F.lit("https://gazette.invalid/xml/"), "doc_id", F.lit(".xml")).alias("url_xml"))
+    items = a.groupBy("day").agg(F.collect_set(item).alias("item"))
+    paper = F.struct(F.struct(F.lit("A").alias("codigo"), "item").alias("seccion"))
+    body = F.to_json(F.struct(F.struct(F.struct(paper.alias("diario")).alias("sumario")).alias("data")))
+    indexes = items.select(F.regexp_replace(F.lit(INDEX), r"\{day\}", F.date_format("day", "yyyyMMdd")).alias("url"), body.alias("text"))
+
+    def put(batches):
+        from actaflow.sources.landing import Store
+
+        store = Store(root)
+        for batch in batches:
+            for url, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                store.put(url, text.as_py().encode())
+            yield batch.slice(0, 0).select(["url"])
+
+    documents_.unionByName(indexes).mapInArrow(put, "url string").count()
+    return root
+
+
 def landed(spark: SparkSession, sf_dir: str) -> str:
     """A folder of documents of both sections, written from the events: section B lists one
     company, and every fourth time another one with it, with the day of a deposit."""
