@@ -6,6 +6,7 @@ was rendered from, so that the two sides check each other.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,12 @@ from actaflow.functions.places import differs
 from actaflow.functions.text import name_grams, name_key, plain
 from actaflow.operators import corpus, discovery, facts, graph, linking, matching, measure, officers, positions, process, record, timeline
 from actaflow.operators.acts import computed_once, explode_acts, with_acts, with_registry
-from actaflow.operators.tables import cut_lineage
+from actaflow.operators.tables import cut_lineage, shared_folder
 from actaflow.plans import commands, synth
 from actaflow.sources.gazette import day_results, parse_documents, read_announcements, read_documents
 from actaflow.sources.landing import land
+from actaflow.streaming import ingest
+from actaflow.streaming import positions as seats
 
 
 def _text(day: str | Column) -> Column:
@@ -230,6 +233,23 @@ def q_positions(spark, sf_dir):
     return positions.positions_held(e).select("company_id", "event_id", "role", "holder")
 
 
+def q_stream_positions(spark, sf_dir):
+    """Positions held after a stream of all officer events, which come in files of no order
+    and are written in batches that a rerun doesn't double."""
+    folder = shared_folder(spark, "stream")
+    e = Gazette(spark, sf_dir).events().select("company_id", F.col("fact_day").alias("day"), F.col("num").alias("event_id"), "holder", "role", "label", "kind")
+    e.repartition(3, F.xxhash64("event_id")).write.parquet(f"{folder}/events")
+    before = spark.conf.get(seats.ROCKSDB[0])
+    spark.conf.set(*seats.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events")
+        ingest.run_available(seats.position_changes(stream), f"{folder}/changes", "update")
+    finally:
+        spark.conf.set(seats.ROCKSDB[0], before)
+    held = seats.held_now(ingest.read_batches(spark, f"{folder}/changes", seats.CHANGE))
+    return held.select("company_id", "event_id", "role", "holder")
+
+
 def q_powers_spread(spark, sf_dir):
     e = Gazette(spark, sf_dir).events().select("company_id", F.col("fact_day").alias("day"), "holder", "kind")
     members = synth.users(spark, sf_dir).select(F.col("id").alias("company_id"), (F.col("id") % 3).alias("group_id"))
@@ -452,6 +472,27 @@ def q_landing(spark, sf_dir):
     return days.select(_text("day").alias("day"), "status", "n_documents", F.coalesce("announcements", F.lit(0)).alias("announcements"))
 
 
+def q_ingest(spark, sf_dir):
+    """Landed documents taken in by a stream whose first run is killed after it wrote a batch
+    and before it marked it: days and announcements once each."""
+    landed, folder = synth.landed(spark, sf_dir, ("A",)), shared_folder(spark, "ingest")
+
+    def killed(batch: DataFrame, number: int) -> None:
+        for name, rows in ingest.tables_of_documents(batch).items():
+            rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/{name}/{number}")
+        raise InterruptedError("killed")
+
+    try:
+        ingest.ingest_documents(spark, f"{landed}/A", folder, killed)
+    except StreamingQueryException:
+        pass
+    ingest.ingest_documents(spark, f"{landed}/A", folder)
+    ingest.ingest_documents(spark, f"{landed}/A", folder)
+    out = ingest.ingested(spark, folder)
+    held = out["announcements"].groupBy("day").agg(F.count(F.lit(1)).alias("announcements"), F.count("sheet").alias("with_sheet"))
+    return out["days"].join(held, "day", "left").select(_text("day").alias("day"), "status", "n_documents", "announcements", "with_sheet")
+
+
 def q_section_b(spark, sf_dir):
     """Announcements of section B out of landed files."""
     read = read_announcements(read_documents(spark, f"{synth.landed(spark, sf_dir)}/B"))
@@ -581,6 +622,19 @@ sig AS (
 det AS (SELECT num, any_value(u) AS u, any_value(firm_key) AS firm_key, arg_min(reason, r) AS reason, arg_min(group_id, r) AS group_id FROM sig GROUP BY num)
 """
 
+_POSITIONS = (
+    _EV
+    + """, f AS (SELECT *, CASE WHEN kind = 'appointment' THEN 1 ELSE 0 END AS opens, CASE role WHEN 'auditor' THEN 'auditor' WHEN 'sole_director' THEN 'sole' END AS seat,
+        CASE role WHEN 'sole_director' THEN 'sole' WHEN 'joint_several_director' THEN 'joint_several' WHEN 'board_member' THEN 'board' WHEN 'secretary' THEN 'board' END AS form FROM pos),
+      last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, holder, role ORDER BY day DESC, event_id DESC) AS rn FROM f) WHERE rn = 1 AND opens = 1),
+      seats AS (SELECT company_id, seat, max(day) AS seat_day FROM f WHERE opens = 1 AND seat IS NOT NULL GROUP BY ALL),
+      days AS (SELECT DISTINCT company_id, day FROM f WHERE opens = 1 AND form IS NOT NULL),
+      out_of AS (SELECT d.company_id, g.form, max(d.day) AS left_day FROM days d, (VALUES ('board'), ('joint'), ('joint_several'), ('sole')) g(form)
+        WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.company_id = d.company_id AND f.day = d.day AND f.form = g.form AND f.opens = 1) GROUP BY ALL)
+      SELECT l.company_id, l.event_id, l.role, l.holder FROM last l LEFT JOIN seats s ON s.company_id = l.company_id AND s.seat = l.seat
+        LEFT JOIN out_of o ON o.company_id = l.company_id AND o.form = l.form WHERE coalesce(seat_day <= l.day, true) AND coalesce(left_day <= l.day, true)"""
+)
+
 ORACLE_SQL = {
     "q_acts_by_type": _EV + "SELECT act_type, scope, count(*) AS n FROM acts GROUP BY ALL",
     "q_inscription_lag": _EV + "SELECT num % 15 AS days, count(*) AS n FROM ev GROUP BY ALL",
@@ -629,16 +683,7 @@ ORACLE_SQL = {
     + """SELECT 'registry' AS why, company_id, field, held, value AS proposed FROM (
         SELECT n.company_id, n.field, n.value, CASE n.field WHEN 'address' THEN 'CALLE EJEMPLO ' || (n.company_id % 40) WHEN 'city' THEN 'MADRID' WHEN 'capital' THEN '100.00' WHEN 'status' THEN 'active' WHEN 'name' THEN 'EMPRESA ' || n.company_id || ' SL' END AS held
         FROM now n WHERE source = 'registry') WHERE CASE field WHEN 'address' THEN replace(value, 'CL ', 'CALLE ') ELSE value END IS DISTINCT FROM held""",
-    "q_positions": _EV
-    + """, f AS (SELECT *, CASE WHEN kind = 'appointment' THEN 1 ELSE 0 END AS opens, CASE role WHEN 'auditor' THEN 'auditor' WHEN 'sole_director' THEN 'sole' END AS seat,
-        CASE role WHEN 'sole_director' THEN 'sole' WHEN 'joint_several_director' THEN 'joint_several' WHEN 'board_member' THEN 'board' WHEN 'secretary' THEN 'board' END AS form FROM pos),
-      last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, holder, role ORDER BY day DESC, event_id DESC) AS rn FROM f) WHERE rn = 1 AND opens = 1),
-      seats AS (SELECT company_id, seat, max(day) AS seat_day FROM f WHERE opens = 1 AND seat IS NOT NULL GROUP BY ALL),
-      days AS (SELECT DISTINCT company_id, day FROM f WHERE opens = 1 AND form IS NOT NULL),
-      out_of AS (SELECT d.company_id, g.form, max(d.day) AS left_day FROM days d, (VALUES ('board'), ('joint'), ('joint_several'), ('sole')) g(form)
-        WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.company_id = d.company_id AND f.day = d.day AND f.form = g.form AND f.opens = 1) GROUP BY ALL)
-      SELECT l.company_id, l.event_id, l.role, l.holder FROM last l LEFT JOIN seats s ON s.company_id = l.company_id AND s.seat = l.seat
-        LEFT JOIN out_of o ON o.company_id = l.company_id AND o.form = l.form WHERE coalesce(seat_day <= l.day, true) AND coalesce(left_day <= l.day, true)""",
+    "q_positions": _POSITIONS,
     "q_powers_spread": _EV
     + "SELECT company_id % 3 AS group_id, holder AS holder_plain, strftime(day, '%Y-%m-%d') AS day, kind, count(DISTINCT company_id) AS companies FROM pos GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT company_id) >= 2",
     "q_shared_members": _EV
@@ -747,6 +792,7 @@ ORACLE_SQL = {
     "q_landing": _EV
     + """SELECT strftime(day, '%Y-%m-%d') AS day, 'published' AS status, count(DISTINCT doc_id) AS n_documents, count(*) AS announcements FROM ev GROUP BY 1
       UNION ALL SELECT strftime(d, '%Y-%m-%d'), 'not_cached', 0, 0 FROM (SELECT unnest(generate_series(min(day), max(day) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS d FROM ev) WHERE d NOT IN (SELECT day FROM ev)""",
+    "q_ingest": _EV + "SELECT strftime(day, '%Y-%m-%d') AS day, 'published' AS status, count(DISTINCT doc_id) AS n_documents, count(*) AS announcements, count(sheet) AS with_sheet FROM ev GROUP BY 1",
     "q_section_b": _EV
     + """SELECT 'GZ-B-' || strftime(day, '%Y%m%d') || '-00' AS doc_id, num, firm_key AS firm, CASE WHEN num % 4 = 0 THEN 'OTRA ' || u || ' SA' ELSE '' END AS others, strftime(day, '%Y-%m-%d') AS inscribed,
         'merger_project' AS act_type, CASE WHEN num % 4 = 0 THEN 'Listed with: OTRA ' || u || ' SA. ' ELSE '' END || 'Proyecto ' || t AS detail FROM ev""",
@@ -771,5 +817,6 @@ ORACLE_SQL = {
     + """SELECT 'EJEMPLO ' || portal || ' (MADRID)' AS label, coalesce(a.n, 0) AS unrelated, coalesce(a.r, 0) AS related, coalesce(a.n, 0) < 6 AS used FROM sites LEFT JOIN
       (SELECT label, count(DISTINCT CASE WHEN u % 10 <> 0 THEN u END) AS n, count(DISTINCT CASE WHEN u % 10 = 0 THEN u END) AS r FROM addr GROUP BY 1) a ON label = 'EJEMPLO ' || portal || ' (MADRID)'""",
     "q_role_labels": _EV + "SELECT replace(lower(label), '.', '') AS label, any_value(role) AS role, count(*) AS n FROM pos GROUP BY 1 HAVING count(*) >= 10",
+    "q_stream_positions": _POSITIONS,
     "q_differs": "SELECT event_id % 7 AS m, (event_id % 7) IN (1, 5) AS differs, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -145,7 +145,7 @@ def fill_store(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-def landed(spark: SparkSession, sf_dir: str) -> str:
+def landed(spark: SparkSession, sf_dir: str, sections: tuple[str, ...] = ("A", "B")) -> str:
     """A folder of documents of both sections, written from the events: section B lists one
     company, and every fourth time another one with it, with the day of a deposit."""
     folder = shared_folder(spark, "landed")
@@ -158,5 +158,6 @@ def landed(spark: SparkSession, sf_dir: str) -> str:
         F.concat(n.cast("string"), F.lit(" - "), listed).alias("header"), F.concat(F.lit("Proyecto "), F.col("event_type"), F.lit(".")).alias("body"),
     )
     for section, rows, heading in (("A", a, None), ("B", b, "Depósitos de proyectos de fusión.")):
-        documents(rows, heading).write.format("xml").option("rootTag", "documentos").option("rowTag", "documento").mode("append").save(f"{folder}/{section}")
+        if section in sections:
+            documents(rows, heading).write.format("xml").option("rootTag", "documentos").option("rowTag", "documento").mode("append").save(f"{folder}/{section}")
     return folder

@@ -96,12 +96,6 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     got = {(r.day.day, r.act_type): r.n for r in spark.table("tally").collect()}
     assert got and set(got.values()) == {2} and {t for _, t in got} == {"dissolution", "appointment"}
-    events = str(tmp_path / "ev")
-    spark.createDataFrame([(1, "P", "chair", "2026-01-02", 2, "removal"), (1, "P", "chair", "2026-01-01", 1, "appointment"), (2, "Q", "chair", "2026-01-01", 3, "appointment")], "company_id long, person string, role string, day string, event_id long, kind string").write.parquet(events)
-    s = spark.readStream.schema("company_id long, person string, role string, day string, event_id long, kind string").parquet(events)
-    q = streams.latest_positions(s).writeStream.outputMode("update").format("memory").queryName("held").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r.company_id, r.holds) for r in spark.table("held").collect()} == {(1, False), (2, True)}
 
 
 def test_entry_contract(spark, sf_dir):
