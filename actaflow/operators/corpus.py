@@ -9,7 +9,7 @@ from actaflow.functions import catalogue as C
 from actaflow.functions.text import has_form, name_key, plain, possible_pairs, role_of, split_form, usable_words, words
 from actaflow.operators.matching import similar_names
 from actaflow.operators.measure import band
-from actaflow.operators.tables import first_by, ranked
+from actaflow.operators.tables import first_by, ranked, running
 
 
 def registered_addresses(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,9 +47,9 @@ def name_lengths(announcements: DataFrame) -> DataFrame:
 
 def length_quantile(tally: DataFrame, q: float) -> int | None:
     """The value at index int(q (n - 1)) of the values in order, from (length, n)."""
-    run = tally.withColumn("_c", F.sum("n").over(Window.orderBy("length")))
-    total = run.agg(F.max("_c")).first()[0]
-    return None if not total else run.filter(F.col("_c") > int(q * (total - 1))).agg(F.min("length")).first()[0]
+    run = running(tally.select("length", "n"), "length", ["n"], totals=True)
+    at = F.floor(F.lit(q) * (F.col("n_all") - 1))
+    return run.filter((F.col("n_all") > 0) & (F.col("n_run") > at)).agg(F.min("length")).first()[0]
 
 
 def role_coverage(labels: DataFrame, top: int = 60) -> tuple[DataFrame, DataFrame]:

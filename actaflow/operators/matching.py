@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actaflow.functions import catalogue as C
@@ -119,7 +119,7 @@ def match(announcements: DataFrame, watched: DataFrame, sheets: DataFrame, alias
     found = found.withColumn("_open", F.col("company_id").isNull() & F.col("suggestion").isNull()).withColumn("_base", parts["base"]).withColumn("_form", parts["form"])
     index = name_index(watched, aliases)
     split = split_form(F.col("name_key"))
-    bases = index.withColumn("base", split["base"]).withColumn("form", split["form"]).withColumn("pos", F.row_number().over(Window.orderBy("company_id", "name_key")))
+    bases = index.withColumn("base", split["base"]).withColumn("form", split["form"]).withColumn("pos", F.struct("company_id", "name_key"))
     firsts = first_by(bases, ["base"], ["pos"]).select(F.col("base").alias("_close"), F.col("company_id").alias("_near"), F.col("form").alias("_near_form"))
     best = similar_names(found.filter("_open").select(F.col("_base").alias("base")), bases, cutoff).select(F.col("base").alias("_base"), F.col("close").alias("_close"), F.col("score").alias("_score"))
     out = found.join(best, "_base", "left").join(firsts, "_close", "left")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actaflow.functions import catalogue as C
 from actaflow.functions.text import name_grams
+from actaflow.operators.tables import numbered, running
 
 
 def act_tally(acts: DataFrame) -> DataFrame:
@@ -21,9 +22,8 @@ def lag_tally(announcements: DataFrame) -> DataFrame:
 def discrete_quantile(tally: DataFrame, value: str, weight: str, q: float) -> DataFrame:
     """The smallest value whose cumulated weight reaches q of the whole; ``tally`` has one
     row for each value."""
-    everything = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = tally.withColumn("_c", F.sum(weight).over(Window.orderBy(value))).withColumn("_n", F.sum(weight).over(everything))
-    return run.filter(F.col("_c") >= F.lit(q) * F.col("_n")).agg(F.min(value).alias("value"))
+    run = running(tally.select(value, weight), value, [weight], totals=True)
+    return run.filter(F.col(f"{weight}_run") >= F.lit(q) * F.col(f"{weight}_all")).agg(F.min(value).alias("value"))
 
 
 def document_counts(announcements: DataFrame, acts: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def sample_bucket(text: Column, buckets: int) -> Column:
 def cumulated_cuts(noise_by_key: DataFrame, kept: DataFrame) -> DataFrame:
     """At every noise threshold: keys kept, related and unrelated companies, cumulated."""
     per = noise_by_key.join(kept, "key", "left").groupBy("n").agg(F.count(F.lit(1)).alias("keys"), F.sum(F.coalesce("related", F.lit(0))).alias("related"))
-    w = Window.orderBy("n")
-    return per.select(F.col("n").alias("threshold"), F.sum("keys").over(w).alias("keys"), F.sum("related").over(w).alias("related"), F.sum(F.col("n") * F.col("keys")).over(w).alias("unrelated"))
+    run = running(per.withColumn("unrelated", F.col("n") * F.col("keys")), "n", ["keys", "related", "unrelated"])
+    return run.select(F.col("n").alias("threshold"), F.col("keys_run").alias("keys"), F.col("related_run").alias("related"), F.col("unrelated_run").alias("unrelated"))
 
 
 def evaluate(flagged: DataFrame, truth: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -118,12 +118,12 @@ def triage(leads: DataFrame, tokens: DataFrame, today: Column, precision: dict[s
     branded = grams.join(tokens, ["token", "group_id"]).select("lead_id", F.lit(True).alias("_b")).distinct()
     scored = leads.filter("state = 'open'").join(branded, "lead_id", "left").withColumn("brand", F.coalesce("_b", F.lit(False))).drop("_b")
     scored = scored.withColumn("score", lead_score(F.col("reason"), F.col("n"), F.col("last_day"), today, F.col("brand"), precision))
-    total = F.count(F.lit(1)).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = numbered(scored, [F.desc("score"), F.col("group_id"), F.col("firm"), F.col("lead_id")], "place", "_total")
+    total = F.col("_total")
     first = F.bround(total * C.TIER_SHARES[0], 0)
     second = first + F.bround(total * C.TIER_SHARES[1], 0)
-    placed = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "group_id", "firm", "lead_id")))
     tier = F.when(F.col("score") <= 0, "rest").when(F.col("place") <= first, "first").when(F.col("place") <= second, "next").otherwise("rest")
-    return placed.withColumn("tier", tier)
+    return placed.withColumn("tier", tier).drop("_total")
 
 
 def name_collisions(bare: DataFrame, people: DataFrame, buckets: int) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actaflow.functions import catalogue as C
 from actaflow.functions.places import differs
+from actaflow.operators.tables import numbered
 
 
 
@@ -84,8 +85,8 @@ def apply_log(log: DataFrame, found: DataFrame, at) -> DataFrame:
     back = found.filter("why = 'unbacked'").select("company_id", "field", F.lit(True).alias("_back"))
     old = log.join(back, ["company_id", "field"], "left").withColumn("state", F.when(F.col("_back") & (F.col("state") == "applied"), "reverted").otherwise(F.col("state"))).drop("_back")
     start = F.lit((log.agg(F.max("entry_id")).first()[0] or 0))
-    new = found.filter("why = 'registry'").select(
-        (start + F.row_number().over(Window.orderBy("company_id", "field"))).alias("entry_id"), "company_id", "field",
+    new = numbered(found.filter("why = 'registry'"), [F.col("company_id"), F.col("field")], "_nth").select(
+        (start + F.col("_nth")).alias("entry_id"), "company_id", "field",
         F.col("held").alias("replaced"), F.col("proposed").alias("written"), F.lit("applied").alias("state"), F.col("day").alias("fact_day"), "doc_id", "num",
     )
     return old.select(*new.columns).unionByName(new)

@@ -45,3 +45,54 @@ def spread(df: DataFrame) -> DataFrame:
     has enough of them is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def in_order(df: DataFrame, order: list) -> tuple[DataFrame, DataFrame]:
+    """``df`` dealt to ranges of ``order``, with the number of its range as ``_range``, kept;
+    and (_range, rows) of the ranges.  What a running value needs of the ranges before it is
+    one row for each of them, so no task sees all rows."""
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    return dealt, dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _carried(dealt: DataFrame, of_range: DataFrame, names: list[str]) -> DataFrame:
+    """``dealt`` with the sums of ``names`` over all ranges before its own (``_before_<name>``)
+    and over all of them (``_total_<name>``); there are as many rows as partitions."""
+    rows = sorted(of_range.select("_range", *names).collect())
+    before, out = [0] * len(names), []
+    totals = [sum(r[n] or 0 for r in rows) for n in names]
+    for r in rows:
+        out.append((r["_range"], *before, *totals))
+        before = [b + (r[n] or 0) for b, n in zip(before, names)]
+    kinds = {f.name: f.dataType.simpleString() for f in of_range.schema}
+    schema = ", ".join(["_range int", *(f"_before_{n} {kinds[n]}" for n in names), *(f"_total_{n} {kinds[n]}" for n in names)])
+    return dealt.join(F.broadcast(df_of(dealt, out, schema)), "_range")
+
+
+def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
+def numbered(df: DataFrame, order: list, name: str = "place", total: str | None = None) -> DataFrame:
+    """``df`` with its row number in ``order`` (which should tell all rows apart) and, if
+    asked for, the number of all rows."""
+    dealt, ranges = in_order(df, order)
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    out = _carried(dealt, ranges, ["rows"]).withColumn(name, (own + F.col("_before_rows")).cast("long"))
+    if total:
+        out = out.withColumn(total, F.col("_total_rows"))
+    return out.drop("_range", "_before_rows", "_total_rows")
+
+
+def running(df: DataFrame, order: str, values: list[str], totals: bool = False) -> DataFrame:
+    """``df`` with ``<value>_run``, the sum of each value up to and with its row in ``order`` (one
+    row for each), and with ``totals`` the sum over all rows as ``<value>_all``."""
+    dealt, _ = in_order(df, [order])
+    ranges = dealt.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
+    own = Window.partitionBy("_range").orderBy(order)
+    out = _carried(dealt, ranges, values)
+    for v in values:
+        out = out.withColumn(f"{v}_run", F.sum(v).over(own) + F.col(f"_before_{v}"))
+        if totals:
+            out = out.withColumn(f"{v}_all", F.col(f"_total_{v}"))
+    return out.select(*df.columns, *[c for v in values for c in ([f"{v}_run", f"{v}_all"] if totals else [f"{v}_run"])])

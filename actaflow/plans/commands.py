@@ -6,14 +6,14 @@ incremental run gives it the new documents and merges with ``upsert_notices`` an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actaflow.functions import catalogue as C
 from actaflow.functions.text import name_key
 from actaflow.operators import corpus, discovery, facts, graph, matching, measure, officers, positions, process, record, timeline
 from actaflow.operators.acts import explode_acts
-from actaflow.operators.tables import cut_lineage
+from actaflow.operators.tables import cut_lineage, numbered
 
 
 def rebuild(announcements: DataFrame, watched: DataFrame, sheets: DataFrame, tokens: DataFrame | None = None, noise: DataFrame | None = None, pairs: DataFrame | None = None, leads: DataFrame | None = None, guard_days: int = C.GUARD_DAYS, cutoff: float = C.FUZZY_CUTOFF) -> dict[str, DataFrame]:
@@ -171,6 +171,7 @@ def run_command(spark: SparkSession, documents: str, watchlist: str) -> dict[str
     from actaflow.sources.lists import read_watchlist
 
     entries = read_watchlist(spark, watchlist)
-    numbered = entries.withColumn("company_id", F.row_number().over(Window.orderBy("name_key")).cast("long")).withColumn("group_id", F.dense_rank().over(Window.orderBy("group")).cast("long"))
-    sheets = numbered.filter("sheet is not null and province is not null").select("province", "sheet", "company_id")
-    return rebuild(read_announcements(read_documents(spark, documents)), numbered, sheets)
+    groups = numbered(entries.select("group").distinct(), [F.col("group")], "group_id")
+    listed = cut_lineage(numbered(entries, [F.col("name_key")], "company_id").join(groups, "group"))
+    sheets = listed.filter("sheet is not null and province is not null").select("province", "sheet", "company_id")
+    return rebuild(read_announcements(read_documents(spark, documents)), listed, sheets)

@@ -206,7 +206,9 @@ def q_relations(spark, sf_dir):
 
 
 def q_closure(spark, sf_dir):
-    seeds = synth.watched(spark, sf_dir).select(F.col("name_key").alias("node"), "group_id")
+    # an owner's number is seven times its company's, so the lower half reaches into the upper
+    lower = synth.watched(spark, sf_dir).filter(F.col("company_id") * 2 < synth.n_users(spark, sf_dir))
+    seeds = lower.select(F.col("name_key").alias("node"), "group_id")
     return graph.closure(graph.directed_edges(Gazette(spark, sf_dir).relations()), seeds)
 
 
@@ -258,7 +260,8 @@ def q_powers_spread(spark, sf_dir):
 
 def q_shared_members(spark, sf_dir):
     e = Gazette(spark, sf_dir).events()
-    group = e.filter("company_id % 50 = 0").select("holder_plain", (F.col("company_id") % 3).alias("group_id")).distinct()
+    watched = synth.watched(spark, sf_dir).select("company_id")
+    group = e.join(watched, "company_id", "left_semi").select("holder_plain", (F.col("company_id") % 3).alias("group_id")).distinct()
     return graph.shared_members(e, group, 3)
 
 
@@ -402,7 +405,7 @@ def q_timeline_entry(spark, sf_dir):
 def q_upsert_notices(spark, sf_dir):
     m = Gazette(spark, sf_dir).matched().withColumn("kept_as", matching.kept_as(F.col("company_id"), F.col("suggestion"), F.lit(None)))
     old = m.filter("num % 3 <> 0").select("doc_id", "num", "company_id", "suggestion", "kept_as")
-    new = m.filter("num % 2 = 0").select("doc_id", "num", F.when(F.col("num") % 4 == 0, F.col("company_id")).alias("company_id"), F.lit(None).cast("long").alias("suggestion"), F.lit("discarded").alias("kept_as"))
+    new = m.filter("num % 2 = 0 or num % 3 = 0").select("doc_id", "num", F.when(F.col("num") % 4 == 0, F.col("company_id")).alias("company_id"), F.lit(None).cast("long").alias("suggestion"), F.lit("discarded").alias("kept_as"))
     return matching.upsert_notices(old, new).groupBy("kept_as").agg(F.count(F.lit(1)).alias("n"), F.count("company_id").alias("linked"), F.count("suggestion").alias("suggested"))
 
 
@@ -675,7 +678,7 @@ ORACLE_SQL = {
     "q_relations": _EV + "SELECT firm_key, 'owned_by' AS kind, other_key, count(*) AS n FROM rel GROUP BY ALL",
     "q_closure": _EV.replace("WITH ev", "WITH RECURSIVE ev")
     + """, e AS (SELECT DISTINCT other_key AS src, firm_key AS dst FROM rel),
-      walk(node, group_id, depth) AS (SELECT name_key, group_id, 0 FROM wat UNION SELECT dst, group_id, depth + 1 FROM walk JOIN e ON src = node WHERE depth < 40)
+      walk(node, group_id, depth) AS (SELECT name_key, group_id, 0 FROM wat WHERE company_id * 2 < (SELECT max(user_id) + 1 FROM events) UNION SELECT dst, group_id, depth + 1 FROM walk JOIN e ON src = node WHERE depth < 40)
       SELECT node, group_id, depth FROM (SELECT node, group_id, depth, row_number() OVER (PARTITION BY node ORDER BY depth, group_id) AS rn FROM walk) WHERE rn = 1 AND depth > 0""",
     "q_record_now": _EV + "SELECT company_id, field, source, value, strftime(day, '%Y-%m-%d') AS day FROM now",
     "q_outlived": _EV + "SELECT company_id, value, strftime(day, '%Y-%m-%d') AS day, num FROM outl",
@@ -687,7 +690,7 @@ ORACLE_SQL = {
     "q_powers_spread": _EV
     + "SELECT company_id % 3 AS group_id, holder AS holder_plain, strftime(day, '%Y-%m-%d') AS day, kind, count(DISTINCT company_id) AS companies FROM pos GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT company_id) >= 2",
     "q_shared_members": _EV
-    + """, g AS (SELECT DISTINCT holder, company_id % 3 AS group_id FROM pos WHERE company_id % 50 = 0),
+    + """, g AS (SELECT DISTINCT holder, company_id % 3 AS group_id FROM pos WHERE company_id % 10 = 0),
       c AS (SELECT company_id, group_id, count(*) AS shared FROM (SELECT DISTINCT company_id, holder FROM pos) p JOIN g USING (holder) GROUP BY 1, 2 HAVING count(*) >= 3)
       SELECT 'EMPRESA ' || company_id || ' SL' AS firm_key, group_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY shared DESC, group_id) AS rn FROM c) WHERE rn = 1""",
     "q_sheet_stability": _EV
@@ -758,7 +761,7 @@ ORACLE_SQL = {
         CAST(year(coalesce(entry, inc, founded)) AS INTEGER) AS year FROM d""",
     "q_upsert_notices": _EV
     + """, m AS (SELECT num, company_id, suggestion, CASE WHEN company_id IS NOT NULL THEN 'watched' WHEN suggestion IS NOT NULL THEN 'review' ELSE 'discarded' END AS kept FROM linked),
-      o AS (SELECT * FROM m WHERE num % 3 <> 0), n AS (SELECT num, CASE WHEN num % 4 = 0 THEN company_id END AS company_id FROM m WHERE num % 2 = 0),
+      o AS (SELECT * FROM m WHERE num % 3 <> 0), n AS (SELECT num, CASE WHEN num % 4 = 0 THEN company_id END AS company_id FROM m WHERE num % 2 = 0 OR num % 3 = 0),
       j AS (SELECT coalesce(n.company_id, o.company_id) AS company_id, o.suggestion, CASE WHEN coalesce(n.company_id, o.company_id) IS NOT NULL THEN 'watched' WHEN n.num IS NOT NULL THEN 'discarded' ELSE o.kept END AS kept_as FROM o FULL JOIN n USING (num))
       SELECT kept_as, count(*) AS n, count(company_id) AS linked, count(suggestion) AS suggested FROM j GROUP BY 1""",
     "q_relink": _EV + "SELECT num, CAST(substr(sheet, 3) AS BIGINT) AS company_id FROM linked WHERE company_id IS NULL AND CAST(substr(sheet, 3) AS BIGINT) % 7 = 0",
