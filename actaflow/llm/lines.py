@@ -25,15 +25,21 @@ MAX_BROADCAST = 200_000
 _BLANKS = " \t\x0b\x0c\r"
 
 
-def line_keys(line: Column) -> Column:
-    """Both hashes of a line."""
-    bare = F.btrim(line, F.lit(_BLANKS))
-    return F.struct(F.xxhash64(bare).alias("h"), F.xxhash64(bare, F.lit(1)).alias("h2"))
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANKS))
+
+
+def _text_keys(text: Column) -> list[Column]:
+    """Two hashes that tell texts apart, as rows may share a doc_id or have none."""
+    return [F.xxhash64(text).alias("t"), F.xxhash64(text, F.lit(1)).alias("t2")]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.select("doc_id", "source", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("line", F.btrim("line", F.lit(_BLANKS)))
-    return lines.filter("line <> ''").select("doc_id", "source", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    """(doc_id, source, t, t2, at, h, h2): every line with a character, its place in the
+    text, the keys of the text and those of the line."""
+    texts = docs.select("doc_id", "source", *_text_keys(F.col("text")), "text")
+    lines = texts.select("doc_id", "source", "t", "t2", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("line", _bare(F.col("line")))
+    return lines.filter("line <> ''").select("doc_id", "source", "t", "t2", "at", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -52,29 +58,40 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_broadcast: int
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """All columns of ``docs`` with the cleaned ``text``, and n_lines and n_removed
-    (named ``_n_lines`` and ``_n_removed``; columns of ``docs`` should not have these names).
+    (named ``_n_lines`` and ``_n_removed``; columns of ``docs`` with these names are replaced).
 
     Lines are split at ``\\n`` and compared without blanks at their ends; lines
     without a character never count.  A null text stays null with 0 lines.  Rows
     that share a doc_id are cleaned alike; a null doc_id is never the first.  An empty
     table gives no rows.
+
+    Every line is joined by itself; a text gets back the places of the lines that it
+    loses, so the work for a text is linear in its lines however many of them go, and
+    rows without a doc_id meet by their texts alone.
     """
+    docs = docs.drop("_n_lines", "_n_removed")
     plain = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     found = checkpoint(boilerplate(plain, min_sites, max_broadcast))
     small = F.broadcast if found.count() <= max_broadcast else lambda df: df
     hits = _lines(plain).join(small(found), ["h", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
-    gone = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("h", "h2")).alias("_gone"))
+    # the places of equal rows are the same
+    gone = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("t2").alias("_t2")).agg(F.collect_set("at").alias("_gone"))
     # columns get names of their own while the two tables are joined
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.toDF(*names.values())
     doc_id, text = F.col(names["doc_id"]), F.col(names["text"]).cast("string")
-    joined = rows.join(gone, doc_id.eqNullSafe(F.col("_doc")), "left")
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains("_gone", line_keys(x)) | (F.btrim(x, F.lit(_BLANKS)) == ""))
-    cleaned = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    n_removed = F.when(F.col("_gone").isNull() | text.isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
-    columns = [cleaned if c == "text" else F.col(n) for c, n in names.items()]
+    t, t2 = _text_keys(text)
+    joined = rows.join(gone, doc_id.eqNullSafe(F.col("_doc")) & (t == F.col("_t")) & (t2 == F.col("_t2")), "left")
+
+    def kept(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        return F.transform(stay, lambda i: F.get(lines, i))
+
+    # the lambda splits a text once for all of its lines
+    cleaned = F.get(F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(kept(lines), "\n")), F.lit(0))
+    n_lines = F.coalesce(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    n_removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
+    columns = [F.when(F.col("_gone").isNull(), text).otherwise(cleaned) if c == "text" else F.col(n) for c, n in names.items()]
     return joined.select(*columns, n_lines, n_removed).toDF(*docs.columns, "_n_lines", "_n_removed")
 
 
