@@ -10,9 +10,11 @@ the nearest one before.
 The parse goes from left to right.  At a position whose phrase an earlier document
 has it takes the longer of the two factors that those documents supply phrase by
 phrase, and goes on behind it; elsewhere it goes on by a word.  Factors are disjoint
-and of a window's length at least.  At the boundaries of factors the windows that
-begin in one and end behind it are checked as well: each of their positions has been
-looked up, too.  The duplicate spans are the factors and those windows together.
+and of a window's length at least; inside of one nothing is looked up.  A window that
+begins in a factor and ends behind it can have a source of its own: those, fewer than
+a window's words at each factor's end, are looked up one by one.  The duplicate spans
+are the factors and the windows found at their boundaries.  No other window is left:
+where the parse went on by a word it had looked and found nothing.
 
 What moves: the texts once, by block (both passes read the same exchange), and
 eight bytes for each distinct phrase of a block.  A phrase that a third of all
@@ -164,11 +166,28 @@ def factors(found: np.ndarray, first: np.ndarray, near: np.ndarray, window: int)
     return out
 
 
-def duplicate_spans(found: np.ndarray, window: int) -> list[dict]:
-    """(start, words) of the stretches that factors and the windows at their boundaries cover."""
-    at = np.flatnonzero(found)
-    cuts = np.flatnonzero(np.diff(at) > window) + 1
-    return [{"start": int(a[0]), "words": int(a[-1] - a[0]) + window} for a in np.split(at, cuts)] if len(at) else []
+def boundary_windows(parsed: list[dict], found: np.ndarray, window: int) -> np.ndarray:
+    """Starts of the windows that begin inside a factor, end behind it and stand in an
+    earlier document."""
+    last = np.array([f["start"] + f["words"] - window for f in parsed], np.int64)  # a factor's own last window
+    at = (last[:, None] + np.arange(1, window)).ravel()
+    at = at[at < len(found)]
+    return at[found[at]]
+
+
+def duplicate_spans(parsed: list[dict], found: np.ndarray, window: int) -> list[dict]:
+    """(start, words) of the stretches that factors and the windows at their boundaries
+    cover; stretches that touch or overlap are one."""
+    if not parsed:
+        return []
+    more = boundary_windows(parsed, found, window)
+    start = np.concatenate([np.array([f["start"] for f in parsed], np.int64), more])
+    end = np.concatenate([np.array([f["start"] + f["words"] for f in parsed], np.int64), more + window])
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    cuts = np.flatnonzero(start[1:] > reach[:-1]) + 1
+    first, last = np.append(0, cuts), np.append(cuts, len(start)) - 1
+    return [{"start": int(a), "words": int(b - a)} for a, b in zip(start[first], reach[last])]
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, bucket_phrases: int = BUCKET_PHRASES) -> DataFrame:
@@ -176,7 +195,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
 
     A word goes if a window that covers it also starts in a document with a
     smaller doc_id; ``factors`` are those of the greedy parse, ``spans`` the stretches
-    that go.  Null and empty texts have no words; texts shorter than a window lose
+    that they and the windows at their boundaries make, which go.  Null and empty texts have no words; texts shorter than a window lose
     none.  Rows that share a doc_id are not earlier than each other; a null doc_id
     counts as later than any other.  Other columns are not read.
     """
@@ -195,7 +214,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
         out = []
         for n, (doc_id, words) in enumerate(block.docs):
             a, b = block.starts[n], block.starts[n + 1]
-            parsed, spans = factors(found[a:b], first[a:b], near[a:b], window), duplicate_spans(found[a:b], window)
+            parsed = factors(found[a:b], first[a:b], near[a:b], window)
+            spans = duplicate_spans(parsed, found[a:b], window)
             kept, at = [], 0
             for s in spans:
                 kept += words[at : s["start"]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -149,6 +150,26 @@ def test_line_dedup_of_odd_tables(spark):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_is_linear_in_a_text(spark):
+    """A dozen texts of 200,000 lines, all but one of which go; the square of that would not end."""
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.concat(F.lit("note "), i)), "\n")
+    ids = spark.range(13, numPartitions=4).withColumn("source", F.concat(F.lit("s"), F.col("id")))
+    docs = ids.select(F.when(F.col("id") < 12, F.col("id")).alias("doc_id"), "source", F.concat(body, F.lit("\nmine "), "source").alias("text"))
+    start = time.monotonic()
+    got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert time.monotonic() - start < 120
+    assert got[0]._n_removed == 0 and all(got[i].text == f"mine s{i}" for i in range(1, 12)) and got[None].text == "mine s12"
+    assert {r._n_lines for r in got.values()} == {200_001}
+
+
+def test_line_dedup_of_rows_without_an_id(spark):
+    """Rows without an id lose lines by their own texts; columns named like the counts are replaced."""
+    rows = [(i if i < 10 else None, f"all sites\nline {i % 700}\nall sites", f"s{i % 20}", -1) for i in range(3000)] + [(None, None, "s1", -1), (None, "", "s1", -1)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string, _n_removed long"))
+    assert got.columns == ["doc_id", "text", "source", "_n_lines", "_n_removed"]
+    assert Counter((r.doc_id == 0, r._n_lines, r._n_removed, r.text is None) for r in got.collect()) == {(True, 3, 0, False): 1, (False, 3, 2, False): 2999, (False, 0, 0, True): 1, (False, 1, 0, False): 1}
+
+
 def test_jaccard_of_many_rows_without_an_id(spark):
     """Rows without an id are dealt by their texts and linked like any other."""
     rng = random.Random(9)

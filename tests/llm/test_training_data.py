@@ -161,6 +161,38 @@ def test_substring_factors_take_the_longer_source(spark, block_bytes):
     }
 
 
+def test_substring_spans_come_from_the_parse(spark, monkeypatch):
+    """Without factors nothing goes; without the windows at their boundaries, less does."""
+    w = [f"w{i}" for i in range(80)]
+    # the third text ends the first's passage in the middle of the second's
+    docs = [(1, " ".join(w[:40])), (2, " ".join(w[30:])), (3, " ".join(w))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    row = {r.doc_id: r for r in substrings.substring_dedup(table).collect()}[3]
+    assert [tuple(f) for f in row.factors] == [(0, 40, 1), (40, 40, 2)] and [tuple(s) for s in row.spans] == [(0, 80)]
+    gap = spark.createDataFrame([(1, " ".join(w[:40])), (2, " ".join(w[30:45])), (3, " ".join(w[:60]))], "doc_id long, text string")
+    row = {r.doc_id: r for r in substrings.substring_dedup(gap).collect()}[3]
+    assert [tuple(f) for f in row.factors] == [(0, 40, 1)] and [tuple(s) for s in row.spans] == [(0, 45)]
+    found = np.zeros(48, bool)
+    found[:28], found[30:33] = True, True
+    parsed = substrings.factors(found, np.ones(48, np.int64), np.ones(48, np.int64), 13)
+    assert substrings.boundary_windows(parsed, found, 13).tolist() == [30, 31, 32]
+    assert substrings.duplicate_spans(parsed, found, 13) == [{"start": 0, "words": 45}]
+    assert substrings.duplicate_spans([], found, 13) == []
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_substring_spans_cover_what_windows_cover(seed):
+    """Any pattern of found windows and sources: the parse misses none of them."""
+    rng = np.random.default_rng(seed)
+    n, window = int(rng.integers(1, 200)), int(rng.integers(2, 14))
+    found = np.repeat(rng.random(n) < 0.5, rng.integers(1, 12, n))[:n]
+    sources = [np.repeat(rng.integers(1, 4, n), rng.integers(1, 9, n))[:n] for _ in range(2)]
+    covered = {k + i for k in np.flatnonzero(found) for i in range(window)}
+    spans = substrings.duplicate_spans(substrings.factors(found, *sources, window), found, window)
+    assert {k for s in spans for k in range(s["start"], s["start"] + s["words"])} == covered
+    assert all(a["start"] + a["words"] < b["start"] for a, b in zip(spans, spans[1:]))
+
+
 def test_substring_edge_cases(spark):
     got = substrings.substring_dedup(spark.createDataFrame(ODD, DOC)).collect()
     assert len(got) == len(ODD) and all(r.n_removed == 0 for r in got)
