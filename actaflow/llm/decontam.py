@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions.
 
-Numbers, units after numbers and capitalised words inside a sentence become typed
-placeholders; everything else is lower-cased and loses its punctuation.  In a second,
-wide form every capitalised word is a placeholder, at the start of a sentence, too,
-and a run of them is one, so that names of any length stand anywhere.  Windows of
+Numbers in figures and in (English) words, units after numbers and capitalised words
+inside a sentence become typed placeholders; everything else is lower-cased and loses
+its punctuation.  In a second, wide form every capitalised word is a placeholder, at
+the start of a sentence, too, and a run of them is one, so that names of any length
+stand anywhere, and any word right after a number is a unit.  Windows of
 ``window`` words are hashed and joined with the windows of the benchmark (an item
 shorter than a window is one window), either form with either.  Two windows with
 the same template match as they are if their fillers are equal, and as a
@@ -15,9 +16,9 @@ placeholder are looked up in their plain form, too.
 
 A document is contaminated by an item if a plain window matches, or if at one
 place consistent windows make up at least half of the item's and their fillers
-agree as a whole.  An item of fewer than MIN_TEMPLATE_WORDS words has no template;
-it matches where it stands word by word, and an item of one word only a text that
-has no other.
+agree as a whole.  A window with fewer than MIN_LITERALS words outside its slots has
+no template; it matches where it stands word by word, and an item of one word only
+a text that has no other.
 
 The verdict is one on a text, so texts are told apart by their digest and not by
 doc_id; items of the same words are one item while windows are joined.
@@ -35,8 +36,9 @@ WINDOW = 10
 TEMPLATE_PERCENT = 50
 #: Share of a template window's words that have to be literal, or slots filled alike, in percent.
 LITERAL_PERCENT = 50
-#: Shorter items match word by word alone.
-MIN_TEMPLATE_WORDS = 5
+#: Words outside of slots that a template needs; others match word by word alone.  A window
+#: of numbers alone says nothing, and every table of numbers would meet it.
+MIN_LITERALS = 2
 #: Benchmark windows that may be broadcast (about 200 bytes each); beyond, the join shuffles.
 MAX_BROADCAST = 200_000
 #: Bits of the filter of benchmark windows, at most (2 MB); a fuller one lets more through.
@@ -54,8 +56,25 @@ SPELLINGS = {
 }
 _NUMBER = r"\p{N}(?:[\p{N}.,]*\p{N})?"
 _MARK = "\x01"
+_ONES = "one two three four five six seven eight nine".split()
+_TEENS = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+_SCALES = "hundred thousand million billion dozen".split()
+#: Of one word and with an ending of their own; "second" is a unit.
+_ORDINALS = "first third fifth eighth ninth twelfth half quarter zero".split()
+#: Number words, the longest first, as a pattern takes the first that fits.
+NUMBER_WORDS = sorted(
+    [*_ONES, *_TEENS, *_TENS, *_SCALES, *_ORDINALS, *(f"{w}th" for w in ("four", "six", "seven", *_TEENS, *_SCALES[:4]) if w != "twelve"), *(f"{w[:-1]}ieth" for w in _TENS)],
+    key=lambda w: (-len(w), w),
+)
+_NUMBER_WORD = rf"(?<![\p{{L}}\p{{N}}\x01])((?i:{'|'.join(NUMBER_WORDS)}))(?![\p{{L}}\p{{N}}])"
+_SCALE = "|".join(_SCALES)
+#: What parts two words of one number: tens and ones, a scale from what it counts and from what follows it.
+_IN_NUMBER = rf"(?:(?<=\x01n\p{{L}}{{3,5}}(?i:ty))[ -]\x01n(?=(?i:{'|'.join(_ONES)}|fourth|fifth|sixth|seventh|eighth|ninth|first|third)(?!\p{{L}}))|(?<=\x01n\p{{L}}{{3,9}})[ -]\x01n(?=(?i:{_SCALE}))|(?<=(?i:{_SCALE}))(?: and)?[ -]\x01n)"
 #: What parts two words of one name; no line break, as a heading is no part of a name.
-_IN_NAME = r"(?:[ \t-]\x01p(?<=\x01p\p{L}{1,40}[ \t-]\x01p)|\. \x01p(?<=\x01p(?:\p{Lu}|Mrs?|Ms|Dr|Prof|St)\. \x01p))"
+_IN_NAME = r"((?:\x01p|\G(?!^))(?:\p{L}++(?=[ \t-]\x01p)|(?:\p{Lu}|Mrs?|Ms|Dr|Prof|St)(?=\. \x01p)))(?:\. |[ \t-])\x01p"
+#: A number and the word right after it.
+_AFTER_NUMBER = r"(\x01n[\p{L}\p{N}\x02.,]*+[ -]++)(\p{L}++)"
 
 
 def with_forms(rows: DataFrame) -> DataFrame:
@@ -79,7 +98,8 @@ def _numbered(text: Column) -> Column:
     unit = "|".join(UNITS)
     with_numbers = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}\x01])({_NUMBER})\s*(?i:({unit}))(?![\p{{L}}\p{{N}}])", " \x01n$1 \x01u$2 ")
     with_numbers = F.regexp_replace(with_numbers, rf"(?<![\p{{L}}\p{{N}}\x01.,])({_NUMBER})(?![\p{{L}}\p{{N}}])", " \x01n$1 ")
-    return F.when(text.rlike(r"\p{N}"), with_numbers).otherwise(text)
+    with_words = F.regexp_replace(F.regexp_replace(F.when(text.rlike(r"\p{N}"), with_numbers).otherwise(text), _NUMBER_WORD, "\x01n$1"), _IN_NUMBER, "\x02")
+    return F.regexp_replace(with_words, rf"(\x01n\p{{L}}[\p{{L}}\x02]*+)[ -](?i:({unit}))(?![\p{{L}}\p{{N}}])", "$1 \x01u$2")
 
 
 def _named(text: Column) -> Column:
@@ -87,7 +107,8 @@ def _named(text: Column) -> Column:
 
 
 def _widely_named(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(\p{Lu}(?<![\p{L}\p{N}\x01]\p{Lu})\p{L}*)(?![\p{L}\p{N}])", "\x01p$1"), _IN_NAME, "\x02")
+    named = F.regexp_replace(F.regexp_replace(text, r"(\p{Lu}(?<![\p{L}\p{N}\x01]\p{Lu})\p{L}*)(?![\p{L}\p{N}])", "\x01p$1"), _IN_NAME, "$1\x02")
+    return F.regexp_replace(named, _AFTER_NUMBER, "$1\x01u$2")
 
 
 def _words(named: Column) -> Column:
@@ -117,7 +138,12 @@ def _one_spelling(fillers: Column) -> Column:
     one = {u: u.removesuffix("s") for u in UNITS}
     one = {f"{_MARK}u{u}": f"{_MARK}u{SPELLINGS.get(u, SPELLINGS.get(v, v)).removesuffix('s')}" for u, v in one.items()}
     spelled = F.create_map(*[F.lit(x) for pair in one.items() for x in pair])
-    return F.transform(fillers, lambda x: F.coalesce(F.try_element_at(spelled, x), x))
+    return F.transform(fillers, lambda x: F.coalesce(F.try_element_at(spelled, x), F.regexp_replace(x, r"^(\x01u.+)s$", "$1")))
+
+
+def _literals(words: Column) -> Column:
+    """How many words fill no slot."""
+    return F.size(F.filter(words, lambda w: ~w.startswith(_MARK)))
 
 
 def _consistent(filled: Column) -> Column:
@@ -150,15 +176,17 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     forms = with_forms(benchmark.select("item_id", F.col("text").cast("string").alias("text")))
     items = forms.groupBy("narrow", "wide").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_same"))
     items = with_words(items.withColumn("item", F.sha2(F.concat_ws(" ", "narrow", F.array(F.lit("|")), "wide"), 256)))
-    items = items.withColumn("size", F.least(F.lit(window), F.size("words"))).filter((F.col("wide") == 0) | (F.size("words") >= MIN_TEMPLATE_WORDS))
+    items = items.withColumn("size", F.least(F.lit(window), F.size("words")))
     starts = F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)
     # an array is hashed like its elements side by side
     hashes = lambda form: F.transform(starts, lambda i: F.xxhash64(F.slice(form, i, F.col("size"))))
     both = F.arrays_zip(hashes(_hashed(_typed(F.col("words")))).alias("t"), hashes(_hashed(_plain(F.col("words")))).alias("p"))
     rows = items.select("item", "item_id", "n_same", F.col("wide").alias("item_wide"), "size", "words", F.posexplode(both).alias("at", "h2"))
     rows = rows.withColumn("i", F.col("at") + 1).withColumn("n_windows", F.size("words") - F.col("size") + 1)
-    keys = F.when(F.col("item_wide") == 1, F.array("h2.t")).when(F.col("size") < MIN_TEMPLATE_WORDS, F.array("h2.p")).otherwise(F.array_distinct(F.array("h2.t", "h2.p")))
-    return rows.select("item", "item_id", "n_same", "item_wide", "size", "n_windows", "i", F.slice("words", F.col("i"), F.col("size")).alias("item_words"), F.explode(keys).alias("h"))
+    rows = rows.withColumn("item_words", F.slice("words", F.col("i"), F.col("size"))).withColumn("literals", _literals(F.col("item_words")))
+    templates = F.when(F.col("literals") >= MIN_LITERALS, F.array("h2.t")).otherwise(F.array().cast("array<bigint>"))
+    keys = F.when(F.col("item_wide") == 1, templates).otherwise(F.array_distinct(F.concat(templates, F.array("h2.p"))))
+    return rows.select("item", "item_id", "n_same", "item_wide", "size", "n_windows", "i", "item_words", F.explode(keys).alias("h"))
 
 
 def _bitmap(keys: DataFrame, n: int, max_bits: int) -> tuple[str, int]:
@@ -246,7 +274,7 @@ def matches(
     same = F.array_join(_typed(F.col("doc_words")), " ") == F.array_join(_typed(F.col("item_words")), " ")
     filled = F.arrays_zip(b.alias("item"), a.alias("doc"))
     literal = F.col("size") - F.size(F.filter(filled, lambda x: x["item"] != x["doc"]))
-    template = same & (F.col("size") >= MIN_TEMPLATE_WORDS) & _consistent(filled) & (100 * literal >= LITERAL_PERCENT * F.col("size"))
+    template = same & (_literals(F.col("item_words")) >= MIN_LITERALS) & _consistent(filled) & (100 * literal >= LITERAL_PERCENT * F.col("size"))
     # a name that begins or ends an item may run on into the text around it
     name_at = lambda at: F.element_at("item_words", at).startswith(_MARK + "p")
     first, last = ((F.col("i") == 1) & name_at(1)).cast("int"), ((F.col("i") == F.col("n_windows")) & name_at(-1)).cast("int")

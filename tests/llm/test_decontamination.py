@@ -16,7 +16,29 @@ _UNIT = regex.compile(rf"(?<![\p{{L}}\p{{N}}\x01])({_NUM}){_B}*((?i:{'|'.join(de
 _NUMBER = regex.compile(rf"(?<![\p{{L}}\p{{N}}\x01.,])({_NUM})(?![\p{{L}}\p{{N}}])")
 _INNER_NAME = regex.compile(rf"(?<=[\p{{Ll}}\p{{N}},;]{_B})(\p{{Lu}}\p{{L}}*)(?![\p{{L}}\p{{N}}])")
 _ANY_NAME = regex.compile(r"(?<![\p{L}\p{N}\x01])(\p{Lu}\p{L}*)(?![\p{L}\p{N}])")
-_JOINED = regex.compile(r"[ \t-]\x01p(?<=\x01p\p{L}{1,40}[ \t-]\x01p)|\. \x01p(?<=\x01p(?:\p{Lu}|Mrs?|Ms|Dr|Prof|St)\. \x01p)")
+_JOINED = regex.compile(r"[ \t-]\x01p(?<=\x01p\p{L}+[ \t-]\x01p)|\. \x01p(?<=\x01p(?:\p{Lu}|Mrs?|Ms|Dr|Prof|St)\. \x01p)")
+_WORD = regex.compile(r"\p{L}+")
+_ONES = set("one two three four five six seven eight nine".split())
+_SCALES = set("hundred thousand million billion dozen".split())
+
+
+def number_words(text):
+    """Marks numbers in words; those of several words are one."""
+    out, at, before, before_end = [], 0, None, -1
+    for m in _WORD.finditer(text):
+        word, start = m[0].lower(), m.start()
+        edge = text[start - 1 : start] + text[m.end() : m.end() + 1]
+        if word not in decontam.NUMBER_WORDS or regex.search(r"[\p{N}\x01]", edge):
+            continue
+        between = text[before_end:start] if before else None
+        counts = between in (" ", "-") and (before.endswith("ty") and (word in _ONES or word in "first third fourth fifth sixth seventh eighth ninth".split()) or any(word.startswith(s) for s in _SCALES))
+        follows = before and any(before.endswith(s) for s in _SCALES) and between in (" ", "-", " and ", " and-")
+        out.append(("\x02" if counts or follows else text[at:start] + "\x01n") + m[0])
+        at, before, before_end = m.end(), word, m.end()
+    text = "".join(out) + text[at:]
+    return regex.sub(rf"(\x01n\p{{L}}[\p{{L}}\x02]*+)[ -]((?i:{'|'.join(decontam.UNITS)}))(?![\p{{L}}\p{{N}}])", "\\1 \x01u\\2", text)
+
+
 _APART = regex.compile(r"(?:[^\p{L}\p{N}\x01\x02.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+")
 
 
@@ -24,8 +46,9 @@ def forms_of(text):
     """The narrow form and, where it differs, the wide one."""
     if text is None:
         return []
-    text = _NUMBER.sub("\x20\x01n\\1 ", _UNIT.sub(" \x01n\\1 \x01u\\2 ", text))
-    named = _INNER_NAME.sub("\x01p\\1", text), _JOINED.sub("\x02", _ANY_NAME.sub("\x01p\\1", text))
+    text = number_words(_NUMBER.sub("\x20\x01n\\1 ", _UNIT.sub(" \x01n\\1 \x01u\\2 ", text)))
+    wide = _JOINED.sub("\x02", _ANY_NAME.sub("\x01p\\1", text))
+    named = _INNER_NAME.sub("\x01p\\1", text), regex.sub(r"(\x01n[\p{L}\p{N}\x02.,]*+[ -]++)(\p{L}++)", "\\1\x01u\\2", wide)
     forms = [[w for w in _APART.split(x.lower()) if w] for x in named]
     return [] if not forms[0] else forms[:1] if forms[0] == forms[1] else forms
 
@@ -41,8 +64,8 @@ def plain(words):
 def spelled(filler):
     if not filler.startswith("\x01u"):
         return filler
-    one = filler[2:].removesuffix("s")
-    return "\x01u" + decontam.SPELLINGS.get(filler[2:], decontam.SPELLINGS.get(one, one)).removesuffix("s")
+    one = filler[2:].removesuffix("s") or "s"
+    return "\x01u" + (decontam.SPELLINGS.get(filler[2:], decontam.SPELLINGS.get(one, one)).removesuffix("s") or "s")
 
 
 def consistent(pairs):
@@ -51,6 +74,10 @@ def consistent(pairs):
     return len({a for a, _ in pairs}) == len(pairs) and len({b for _, b in names}) == len(names)
 
 
+def literals(words):
+    return sum(w[0] != "\x01" for w in words)
+
+
 def brute(docs, items, window=10):
     """(doc_id, contaminated, n_items, item_id) of every row."""
     index, forms = defaultdict(list), {}
@@ -58,11 +85,9 @@ def brute(docs, items, window=10):
         forms[at] = forms_of(text)
         for wide, words in enumerate(forms[at]):
             size = min(window, len(words))
-            if wide and len(words) < 5:
-                continue
             for i in range(len(words) - size + 1):
                 w = words[i : i + size]
-                keys = ({typed(w)} if size >= 5 else set()) | (set() if wide else {plain(w)})
+                keys = ({typed(w)} if literals(w) >= 2 else set()) | (set() if wide else {plain(w)})
                 for key in keys:
                     index[key].append((at, wide, len(words) - size + 1, i, w))
     sizes = {len(k) for k in index}
@@ -78,7 +103,7 @@ def brute(docs, items, window=10):
                             same = plain(d) == plain(w)
                             pairs = list(zip(map(spelled, (x for x in w if x[0] == "\x01")), map(spelled, (x for x in d if x[0] == "\x01"))))
                             literal = size - sum(a != b for a, b in pairs)
-                            fits = typed(d) == typed(w) and size >= 5 and consistent(pairs) and 2 * literal >= size
+                            fits = typed(d) == typed(w) and literals(w) >= 2 and consistent(pairs) and 2 * literal >= size
                             if (size == 1 and len(words) > 1) or not (same or fits):
                                 continue
                             k = (at, wide, item_wide, j - i)
@@ -118,6 +143,7 @@ def rows(spark, sf_dir):
         "Tom bought 3 kg of apples and 12 pears while Anna sold 3 boxes of the other kind to Tom before 4 pm",
         "What is 17 plus 25 times 3 minus 4",
         "A farm has 16 ducks. Janet eats three for breakfast and sells the rest at 2 dollars to Maria Baker.",
+        "Add 17 to 25", "A jar holds twenty five beans and three hundred and six peas; Sam takes out one and a dozen more. How many of one kind are in two jars?",
         "Capital of France quickly", "Who wrote Don Quixote?", "Quixote", "17 plus 25", "...", None, "Capital of France quickly",
     ]
     items += [(1000 + k, t) for k, t in enumerate(made)]
@@ -153,6 +179,24 @@ def test_short_numeric_and_four_word_items(spark):
     items = [(1, "What is 17 plus 25 times 3 minus 4"), (2, "Capital of France quickly"), (3, "Quixote")]
     docs = [(1, "so, what is 18 plus 26 times 5 minus 6?"), (2, "name the capital of france, quickly!"), (3, "Quixote"), (4, "Quixote rides"), (5, "capital of spain quickly")]
     assert [r[3] for r in judged(spark, docs, items)] == [1, 2, 3, None, None]
+    sums = [(1, "Add 17 to 25"), (2, "17 25 30 41"), (3, "Who wrote Quixote?")]
+    docs = [(1, "then add 18 to 26, please"), (2, "1 2 3 4 5 6 7 8"), (3, "and who wrote Hamlet then"), (4, "Add Tom to 25"), (5, "18 17 25 30 41")]
+    assert [(r[0], r[3]) for r in judged(spark, docs, sums)] == [(1, 1), (2, None), (3, 3), (4, None), (5, 2)]
+
+
+def test_numbers_in_words_any_unit_and_long_names(spark):
+    said = "Sam has {} apples and buys {} more then eats {} of them and gives {} to Tom so how many are left"
+    field = "A field is {} {} wide and {} {} long and {} {} deep so how many 2 {} plots fit"
+    name = "the letter that came from {} in the last week was lost"
+    items = [(1, said.format("three", "five", "two", "four")), (2, field.format(12, "furlongs", 9, "chains", 30, "rods", "acre")), (3, name.format("Anna Baker"))]
+    docs = [
+        (1, said.format("seven", "nine", "one", "six")), (2, said.format("twenty-five", "three hundred and twelve", "Forty", "two dozen")), (3, said.format("many", "some", "a few", "none")),
+        (4, field.format(14, "leagues", 8, "links", 20, "ells", "hectare")), (5, field.format("fourteen", "leagues", "eight", "links", "twenty two", "ells", "hectare")),
+        (6, name.format("Maximilian" + "a" * 60 + " Alexander Smith")), (7, name.format("nobody at all")), (8, said.format("3", "5 thousand", "2", "4")),
+    ]
+    got = judged(spark, docs, items)
+    assert {r[0]: r[3] for r in got} == {1: 1, 2: 1, 3: None, 4: 2, 5: 2, 6: 3, 7: None, 8: 1}
+    assert got == brute(docs, items)
 
 
 def test_equal_items_and_copies_don_t_multiply(spark):
