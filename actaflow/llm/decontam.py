@@ -67,22 +67,23 @@ NUMBER_WORDS = sorted(
     [*_ONES, *_TEENS, *_TENS, *_SCALES, *_ORDINALS, *(f"{w}th" for w in ("four", "six", "seven", *_TEENS, *_SCALES[:4]) if w != "twelve"), *(f"{w[:-1]}ieth" for w in _TENS)],
     key=lambda w: (-len(w), w),
 )
-_NUMBER_WORD = rf"(?<![\p{{L}}\p{{N}}\x01])((?i:{'|'.join(NUMBER_WORDS)}))(?![\p{{L}}\p{{N}}])"
-_SCALE = "|".join(_SCALES)
+_ANY, _SCALE = "|".join(NUMBER_WORDS), "|".join(_SCALES)
+_AFTER_TENS = "|".join([*_ONES, *"first third fourth fifth sixth seventh eighth ninth".split()])
+#: Where a text may have a number of several words.
+_COMPOUND = rf"[hH]undred|[tT]housand|[mM]illion|[bB]illion|[dD]ozen|[tT][yY][ -](?i:{_AFTER_TENS})"
 #: What parts two words of one number: tens and ones, a scale from what it counts and from what follows it.
-_IN_NUMBER = rf"(?:(?<=\x01n\p{{L}}{{3,5}}(?i:ty))[ -]\x01n(?=(?i:{'|'.join(_ONES)}|fourth|fifth|sixth|seventh|eighth|ninth|first|third)(?!\p{{L}}))|(?<=\x01n\p{{L}}{{3,9}})[ -]\x01n(?=(?i:{_SCALE}))|(?<=(?i:{_SCALE}))(?: and)?[ -]\x01n)"
+_IN_NUMBER = (
+    rf"(?i)(?:[ -](?<=(?<!\p{{L}})(?:{'|'.join(_TENS)})[ -])(?=(?:{_AFTER_TENS})(?!\p{{L}}))|[ -](?<=(?<!\p{{L}})(?:{_ANY})[ -])(?=(?:{_SCALE})(?!\p{{L}}))"
+    rf"|(?: and)?[ -](?<=(?<!\p{{L}})(?:{_SCALE})(?: and)?[ -])(?=(?:{_ANY})(?!\p{{L}})))"
+)
 #: What parts two words of one name; no line break, as a heading is no part of a name.
 _IN_NAME = r"((?:\x01p|\G(?!^))(?:\p{L}++(?=[ \t-]\x01p)|(?:\p{Lu}|Mrs?|Ms|Dr|Prof|St)(?=\. \x01p)))(?:\. |[ \t-])\x01p"
-#: A number and the word right after it.
-_AFTER_NUMBER = r"(\x01n[\p{L}\p{N}\x02.,]*+[ -]++)(\p{L}++)"
-
-
 def with_forms(rows: DataFrame) -> DataFrame:
     """``rows`` with narrow and wide in place of text: its words in either form; those
     that fill a slot are behind a mark and their type.  Texts without words go."""
     others = [c for c in rows.columns if c != "text"]
     rows = rows.select(*others, F.explode(F.array(_numbered(F.col("text")))).alias("text"))
-    forms = F.struct(_words(_named(F.col("text"))).alias("narrow"), _words(_widely_named(F.col("text"))).alias("wide"))
+    forms = F.struct(_words(_named(F.col("text"))).alias("narrow"), _bound(_words(_widely_named(F.col("text"))), _with_units).alias("wide"))
     return rows.select(*others, F.explode(F.array(forms)).alias("_w")).filter(F.size("_w.narrow") > 0).select(*others, "_w.*")
 
 
@@ -98,8 +99,8 @@ def _numbered(text: Column) -> Column:
     unit = "|".join(UNITS)
     with_numbers = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}\x01])({_NUMBER})\s*(?i:({unit}))(?![\p{{L}}\p{{N}}])", " \x01n$1 \x01u$2 ")
     with_numbers = F.regexp_replace(with_numbers, rf"(?<![\p{{L}}\p{{N}}\x01.,])({_NUMBER})(?![\p{{L}}\p{{N}}])", " \x01n$1 ")
-    with_words = F.regexp_replace(F.regexp_replace(F.when(text.rlike(r"\p{N}"), with_numbers).otherwise(text), _NUMBER_WORD, "\x01n$1"), _IN_NUMBER, "\x02")
-    return F.regexp_replace(with_words, rf"(\x01n\p{{L}}[\p{{L}}\x02]*+)[ -](?i:({unit}))(?![\p{{L}}\p{{N}}])", "$1 \x01u$2")
+    with_numbers = F.when(text.rlike(r"\p{N}"), with_numbers).otherwise(text)
+    return F.when(text.rlike(_COMPOUND), F.regexp_replace(with_numbers, _IN_NUMBER, "\x02")).otherwise(with_numbers)
 
 
 def _named(text: Column) -> Column:
@@ -107,12 +108,29 @@ def _named(text: Column) -> Column:
 
 
 def _widely_named(text: Column) -> Column:
-    named = F.regexp_replace(F.regexp_replace(text, r"(\p{Lu}(?<![\p{L}\p{N}\x01]\p{Lu})\p{L}*)(?![\p{L}\p{N}])", "\x01p$1"), _IN_NAME, "$1\x02")
-    return F.regexp_replace(named, _AFTER_NUMBER, "$1\x01u$2")
+    return F.regexp_replace(F.regexp_replace(text, r"(\p{Lu}(?<![\p{L}\p{N}\x01]\p{Lu})\p{L}*)(?![\p{L}\p{N}])", "\x01p$1"), _IN_NAME, "$1\x02")
+
+
+def _bound(value: Column, make) -> Column:
+    """make(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
 def _words(named: Column) -> Column:
-    return F.get(F.transform(F.array(F.lower(named)), _split), F.lit(0))
+    return F.transform(_bound(F.lower(named), _split), _number_word)
+
+
+def _number_word(w: Column) -> Column:
+    """The word behind a mark if it is a number, at the start of a sentence, too."""
+    single = w.isin([x for n in NUMBER_WORDS for x in (n, _MARK + "p" + n)])
+    return F.when(single | (w.contains("\x02") & ~w.startswith(_MARK)), F.concat(F.lit(_MARK + "n"), F.replace(w, F.lit(_MARK + "p"), F.lit("")))).otherwise(w)
+
+
+def _with_units(words: Column) -> Column:
+    """The words; any one right after a number is a unit."""
+    number = _MARK + "n"
+    after = F.transform(words, lambda w, i: F.when((i > 0) & F.get(words, i - 1).startswith(number) & ~w.startswith(_MARK), F.concat(F.lit(_MARK + "u"), w)).otherwise(w))
+    return F.when(F.exists(words, lambda w: w.startswith(number)), after).otherwise(words)
 
 
 def _split(lower: Column) -> Column:

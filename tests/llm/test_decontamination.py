@@ -22,21 +22,24 @@ _ONES = set("one two three four five six seven eight nine".split())
 _SCALES = set("hundred thousand million billion dozen".split())
 
 
-def number_words(text):
-    """Marks numbers in words; those of several words are one."""
-    out, at, before, before_end = [], 0, None, -1
+def one_number(text):
+    """Numbers of several words as one."""
+    out, at, before, end = [], 0, None, -1
     for m in _WORD.finditer(text):
         word, start = m[0].lower(), m.start()
-        edge = text[start - 1 : start] + text[m.end() : m.end() + 1]
-        if word not in decontam.NUMBER_WORDS or regex.search(r"[\p{N}\x01]", edge):
-            continue
-        between = text[before_end:start] if before else None
-        counts = between in (" ", "-") and (before.endswith("ty") and (word in _ONES or word in "first third fourth fifth sixth seventh eighth ninth".split()) or any(word.startswith(s) for s in _SCALES))
-        follows = before and any(before.endswith(s) for s in _SCALES) and between in (" ", "-", " and ", " and-")
-        out.append(("\x02" if counts or follows else text[at:start] + "\x01n") + m[0])
-        at, before, before_end = m.end(), word, m.end()
-    text = "".join(out) + text[at:]
-    return regex.sub(rf"(\x01n\p{{L}}[\p{{L}}\x02]*+)[ -]((?i:{'|'.join(decontam.UNITS)}))(?![\p{{L}}\p{{N}}])", "\\1 \x01u\\2", text)
+        if word in decontam.NUMBER_WORDS:
+            between = text[end:start] if before else None
+            tens = before and before.endswith("ty") and (word in _ONES or word in "first third fourth fifth sixth seventh eighth ninth".split())
+            if between in (" ", "-") and (tens or word in _SCALES) or (before in _SCALES and between in (" ", "-", " and ", " and-")):
+                out.append(text[at:end] + "\x02")
+                at = start
+            before, end = word, m.end()
+    return "".join(out) + text[at:]
+
+
+def number_word(w):
+    bare = w.removeprefix("\x01p")
+    return "\x01n" + bare if bare in decontam.NUMBER_WORDS or ("\x02" in w and w[0] != "\x01") else w
 
 
 _APART = regex.compile(r"(?:[^\p{L}\p{N}\x01\x02.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+")
@@ -46,10 +49,11 @@ def forms_of(text):
     """The narrow form and, where it differs, the wide one."""
     if text is None:
         return []
-    text = number_words(_NUMBER.sub("\x20\x01n\\1 ", _UNIT.sub(" \x01n\\1 \x01u\\2 ", text)))
-    wide = _JOINED.sub("\x02", _ANY_NAME.sub("\x01p\\1", text))
-    named = _INNER_NAME.sub("\x01p\\1", text), regex.sub(r"(\x01n[\p{L}\p{N}\x02.,]*+[ -]++)(\p{L}++)", "\\1\x01u\\2", wide)
-    forms = [[w for w in _APART.split(x.lower()) if w] for x in named]
+    text = one_number(_NUMBER.sub("\x20\x01n\\1 ", _UNIT.sub(" \x01n\\1 \x01u\\2 ", text)))
+    named = _INNER_NAME.sub("\x01p\\1", text), _JOINED.sub("\x02", _ANY_NAME.sub("\x01p\\1", text))
+    forms = [[number_word(w) for w in _APART.split(x.lower()) if w] for x in named]
+    wide = forms[1]
+    forms[1] = ["\x01u" + w if i and wide[i - 1].startswith("\x01n") and w[0] != "\x01" else w for i, w in enumerate(wide)]
     return [] if not forms[0] else forms[:1] if forms[0] == forms[1] else forms
 
 
