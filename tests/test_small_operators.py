@@ -8,8 +8,8 @@ import json
 from pyspark.sql import functions as F
 
 from actaflow.operators import corpus, discovery, positions, process, record, tables
-from actaflow.plans import queries
-from actaflow.sources import lists
+from actaflow.plans import queries, synth
+from actaflow.sources import gazette, lists
 
 EVENT = "company_id long, day date, event_id long, holder string, role string, label string, kind string"
 
@@ -81,3 +81,13 @@ def test_tasks_follow_the_rows_of_a_scan(spark):
     assert tables.spread(spark.range(0, 1000, 1, 2), 100).rdd.getNumPartitions() == 10
     assert tables.spread(spark.range(0, 1000, 1, 12), 100).rdd.getNumPartitions() == 12
     assert tables.spread(spark.range(0, 10, 1, 2), 100).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_document_in_parts_is_read_whole(spark, tmp_path):
+    rows = [("GZ-A-20240101-00", i, "MADRID", datetime.date(2024, 1, 1), f"{i} - UNO {i} SL", "Nombramientos. Auditor: PERSONA ALFA.") for i in range(10)]
+    a = spark.createDataFrame(rows, "doc_id string, num long, province string, day date, header string, body string")
+    parts = synth.documents(a, most=3)
+    assert parts.count() > 1 and max(len(r.texto.p) for r in parts.collect()) < 20
+    parts.write.format("xml").option("rootTag", "documentos").option("rowTag", "documento").save(str(tmp_path / "A"))
+    read = gazette.read_announcements(gazette.read_documents(spark, str(tmp_path / "A")))
+    assert sorted((r.num, r.firm, len(r.acts)) for r in read.collect()) == [(i, f"UNO {i} SL", 1) for i in range(10)]
