@@ -10,10 +10,12 @@ from actaflow.operators.tables import cut_lineage
 
 def directed_edges(relations: DataFrame) -> DataFrame:
     """(src, dst): reached from src.  An owner or director leads to the subject, the subject
-    to what it transfers to; absorbed and co-listed companies lead both ways."""
-    backward = relations.filter(F.col("kind").isin("owned_by", "directed_by", "absorbs", "co_listed")).select(F.col("other_key").alias("src"), F.col("firm_key").alias("dst"))
-    forward = relations.filter(F.col("kind").isin("transfers_to", "absorbs", "co_listed")).select(F.col("firm_key").alias("src"), F.col("other_key").alias("dst"))
-    return backward.unionByName(forward).filter("src <> dst").distinct()
+    to what it transfers to; absorbed and co-listed companies lead both ways.  Both ways come
+    of one reading of the relations."""
+    edge = lambda src, dst: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    backward = F.when(F.col("kind").isin("owned_by", "directed_by", "absorbs", "co_listed"), edge("other_key", "firm_key"))
+    forward = F.when(F.col("kind").isin("transfers_to", "absorbs", "co_listed"), edge("firm_key", "other_key"))
+    return relations.select(F.explode(F.array(backward, forward)).alias("e")).select("e.*").filter("src <> dst").distinct()
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
