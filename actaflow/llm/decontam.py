@@ -26,6 +26,8 @@ doc_id; items of the same words are one item while windows are joined.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,10 @@ MIN_LITERALS = 2
 MAX_BROADCAST = 200_000
 #: Bits of the filter of benchmark windows, at most (2 MB); a fuller one lets more through.
 MAX_FILTER_BITS = 1 << 24
-#: Different words of the benchmark that are looked for before windows are hashed; of more, none are.
-MAX_VOCABULARY = 20_000
+#: Different openings of benchmark windows that are looked for before windows are hashed; of more, none are.
+MAX_VOCABULARY = 1_000_000
+#: Words of a window that are its opening.
+OPENING = 3
 UNITS = (
     "mm cm km kg mg kilogram kilometer kilometre ounce gallon lb oz mph kmh ml meters metres meter metre miles mile feet foot inches inch kilometers kilometres "
     "grams gram kilograms pounds pound ounces liters litres liter litre gallons seconds second minutes minute hours hour "
@@ -104,11 +108,11 @@ def _numbered(text: Column) -> Column:
 
 
 def _named(text: Column) -> Column:
-    return F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll}\p{N},;]\s\p{Lu})\p{L}*)(?![\p{L}\p{N}])", "\x01p$1")
+    return F.regexp_replace(text, r"\p{Lu}(?<=[\p{Ll}\p{N},;]\s\p{Lu})\p{L}*+(?!\p{N})", "\x01p$0")
 
 
 def _widely_named(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(\p{Lu}(?<![\p{L}\p{N}\x01]\p{Lu})\p{L}*)(?![\p{L}\p{N}])", "\x01p$1"), _IN_NAME, "$1\x02")
+    return F.regexp_replace(F.regexp_replace(text, r"\p{Lu}(?<![\p{L}\p{N}\x01]\p{Lu})\p{L}*+(?!\p{N})", "\x01p$0"), _IN_NAME, "$1\x02")
 
 
 def _bound(value: Column, make) -> Column:
@@ -176,19 +180,9 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def window_hashes(hashed: Column, size: int) -> Column:
-    """The hash of every window: of the hashes of its words, side by side."""
-
-    def of(h: Column) -> Column:
-        n = F.greatest(F.size(h) - (size - 1), F.lit(0))
-        return F.transform(F.arrays_zip(*[F.slice(h, k + 1, n) for k in range(size)]), lambda w: F.xxhash64(w))
-
-    return F.get(F.transform(F.array(hashed), of), F.lit(0))
-
-
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(size, h, item, item_id, n_same, item_wide, i, n_windows, item_words): the windows of
-    every item, under their template and, in the narrow form, their plain form.
+    """(size, h, opening, item, item_id, n_same, item_wide, i, n_windows, item_words): the windows
+    of every item, under their template and, in the narrow form, their plain form.
 
     Items of the same words are one ``item``, with the smallest item_id and their number."""
     forms = with_forms(benchmark.select("item_id", F.col("text").cast("string").alias("text")))
@@ -198,52 +192,66 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     starts = F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)
     # an array is hashed like its elements side by side
     hashes = lambda form: F.transform(starts, lambda i: F.xxhash64(F.slice(form, i, F.col("size"))))
-    both = F.arrays_zip(hashes(_hashed(_typed(F.col("words")))).alias("t"), hashes(_hashed(_plain(F.col("words")))).alias("p"))
+    typed, plain = _hashed(_typed(F.col("words"))), _hashed(_plain(F.col("words")))
+    openings = lambda form: F.transform(starts, lambda i: F.xxhash64(F.slice(form, i, F.least(F.lit(OPENING), F.col("size")))))
+    both = F.arrays_zip(hashes(typed).alias("t"), hashes(plain).alias("p"), openings(typed).alias("to"), openings(plain).alias("po"))
     rows = items.select("item", "item_id", "n_same", F.col("wide").alias("item_wide"), "size", "words", F.posexplode(both).alias("at", "h2"))
     rows = rows.withColumn("i", F.col("at") + 1).withColumn("n_windows", F.size("words") - F.col("size") + 1)
     rows = rows.withColumn("item_words", F.slice("words", F.col("i"), F.col("size"))).withColumn("literals", _literals(F.col("item_words")))
-    templates = F.when(F.col("literals") >= MIN_LITERALS, F.array("h2.t")).otherwise(F.array().cast("array<bigint>"))
-    keys = F.when(F.col("item_wide") == 1, templates).otherwise(F.array_distinct(F.concat(templates, F.array("h2.p"))))
-    return rows.select("item", "item_id", "n_same", "item_wide", "size", "n_windows", "i", "item_words", F.explode(keys).alias("h"))
+    key = lambda name: F.struct(F.col(f"h2.{name}").alias("h"), F.col(f"h2.{name}o").alias("opening"))
+    templates = F.when(F.col("literals") >= MIN_LITERALS, F.array(key("t"))).otherwise(F.array().cast("array<struct<h:bigint,opening:bigint>>"))
+    keys = F.when(F.col("item_wide") == 1, templates).otherwise(F.array_distinct(F.concat(templates, F.array(key("p")))))
+    return rows.select("item", "item_id", "n_same", "item_wide", "size", "n_windows", "i", "item_words", F.explode(keys).alias("_k")).select("*", "_k.h", "_k.opening").drop("_k")
 
 
 def _bitmap(keys: DataFrame, n: int, max_bits: int) -> tuple[str, int]:
-    """A filter of one bit for each key: its words as a decimal list, and its bits."""
-    bits = 64 * max(1, min(n, max_bits // 64))
-    p = F.pmod(F.col("h"), F.lit(bits))
-    rows = keys.groupBy(F.shiftright(p, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}L) % 64 as int))")).alias("v")).collect()
-    words = [0] * (bits // 64)
+    """A filter of one bit for each key: its 64-bit words as a decimal list, and how many bits
+    of a key tell its word."""
+    power = max(0, (min(n, max_bits // 64) or 1).bit_length() - 1)
+    rows = keys.toDF("h").groupBy(_word_of(F.col("h"), power).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("v")).collect()
+    words = [0] * (1 << power)
     for r in rows:
-        words[r["w"]] = r["v"]
-    return ",".join(map(str, words)), bits
+        words[r["w"] - 1] = r["v"]
+    return ",".join(map(str, words)), power
+
+
+def _word_of(key: Column, power: int) -> Column:
+    """The place, from 1, of the word of the filter that has the key's bit: its first bits tell."""
+    return (F.shiftrightunsigned(key, 64 - power) + 1).cast("int") if power else F.lit(1)
 
 
-def _candidates(hashes: Column, bitmap: tuple[str, int], size: int) -> Column:
-    """struct(size, at, h) of the window hashes that the filter holds."""
+def _held(bitmap: tuple[str, int], key: Column) -> Column:
+    """Whether the filter may hold the key, which stands twice in the expression."""
     filled = F.split(F.lit(bitmap[0]), ",").cast("array<bigint>")
+    return F.getbit(F.element_at(filled, _word_of(key, bitmap[1])), key.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    def held(i: Column) -> Column:
-        p = F.pmod(F.element_at(hashes, i), F.lit(bitmap[1]))
-        return F.getbit(F.element_at(filled, (F.shiftright(p, 6) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
 
-    every = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(every, held), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.element_at(hashes, i).alias("h")))
+def _candidates(rows: DataFrame, filters: list[tuple[int, tuple[str, int], tuple[str, int] | None]]) -> DataFrame:
+    """(others, size, at, h): the windows of each array of ``hashed`` words that a filter holds,
+    of (size, filter of windows, filter of their openings or None).  Only those whose first
+    words open a window of the benchmark are hashed as a whole.
 
+    Positions are rows that live inside one generated loop: what does not pass is not written."""
+    others = [c for c in rows.columns if c != "hashed"]
+    n, at = F.size("hashed"), F.col("_place") + 1
 
-def _may_hold(hashed: str, vocabulary: list[int], size: int) -> Column:
-    """Whether ``size`` words of the benchmark stand side by side in a column of hashes."""
-    held = ", ".join(f"{v}L" for v in vocabulary)
-    flags = F.expr(f"array_join(transform({hashed}, h -> if(h in ({held}), '1', '0')), '')")
-    return F.coalesce(flags.contains("1" * size), F.lit(False))
+    def opens(size: int, openings: tuple[str, int] | None) -> Column:
+        # of one word: texts that have no other
+        fits = n == 1 if size == 1 else at + (size - 1) <= n
+        first = F.xxhash64(F.col("_first"), *[F.get("hashed", F.col("_place") + k) for k in range(1, min(size, OPENING))])
+        return fits & _held(openings, first) if openings else fits
 
+    def of_size(conditions: list[Column]) -> Column:
+        chosen = F.lit(False)
+        for (size, _, _), condition in zip(filters, conditions):
+            chosen = F.when(F.col("size") == size, condition).otherwise(chosen)
+        return chosen
 
-def _may_hold_a_window(words: Column, sizes: list[int], vocabulary: list[int]) -> Column:
-    """Whether a text can hold a window of any of the sizes; one of one word only if it has no other."""
-    may = (F.size(words) == 1) if 1 in sizes else F.lit(False)
-    longer = [k for k in sizes if k > 1]
-    for form in ("forms.typed", "forms.plain") if longer else ():
-        may = may | _may_hold(form, vocabulary, longer[0])
-    return may
+    opened = [opens(size, openings) for size, _, openings in filters]
+    placed = rows.select("*", F.posexplode("hashed").alias("_place", "_first")).filter(functools.reduce(Column.__or__, opened))
+    placed = placed.select("*", F.explode(F.array(*[F.lit(size) for size, _, _ in filters])).alias("size")).filter(of_size(opened))
+    whole = placed.select(*others, "size", at.alias("at"), F.xxhash64(F.slice("hashed", at, F.col("size"))).alias("h"))
+    return whole.filter(of_size([_held(bitmap, F.col("h")) for _, bitmap, _ in filters]))
 
 
 def text_key(text: Column) -> Column:
@@ -256,11 +264,11 @@ def matches(
     """(text_key, item_id, n_same, plain, templates): contaminated texts, the items that they
     hold (items of the same words once, under the smallest id) and the windows of each.
 
-    Only texts with enough words of the benchmark side by side can hold a window of it;
-    their windows are hashed and looked up in a bitmap of the benchmark's hashes
-    where they stand; only those that it holds become rows and are joined by hash.
-    Expressions that several others use are exploded from an array of one, so that they
-    are computed once.  The limits choose between plans that give the same rows."""
+    Words are hashed, and only where the first ones of a window open one of the benchmark's
+    is the window hashed and looked up in a bitmap of the benchmark's hashes, all where it
+    stands; only those that it holds become rows and are joined by hash.
+    Expressions that several others use are bound or exploded from an array of one, so that
+    they are computed once.  The limits choose between plans that give the same rows."""
     items = checkpoint(benchmark_windows(benchmark, window))
     n = items.count()
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
@@ -269,24 +277,19 @@ def matches(
         return none.withColumn("item_id", F.col("item_id").cast(benchmark.schema["item_id"].dataType))
     words = with_words(with_forms(docs.select(text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))))
     slotted = F.exists("words", lambda w: w.startswith(_MARK))
-    typed, plain = F.when(slotted, _typed(F.col("words"))).otherwise(F.col("words")), F.when(slotted & (F.col("wide") == 0), _plain(F.col("words")))
-    forms = F.struct(_hashed(typed).alias("typed"), _hashed(plain).alias("plain"))
+    part = lambda begin, n: F.transform("words", lambda w: F.xxhash64(F.when(w.startswith(_MARK), F.substring(w, begin, n)).otherwise(w)))
+    forms = F.struct(F.when(slotted, part(1, 2)).otherwise(_hashed(F.col("words"))).alias("typed"), F.when(slotted & (F.col("wide") == 0), part(3, 1 << 30)).alias("plain"))
     words = words.select("text_key", "wide", "words", F.explode(F.array(forms)).alias("forms"))
-    of_items = items.select(F.explode(F.concat(_typed(F.col("item_words")), _plain(F.col("item_words")))).alias("w")).select(F.xxhash64("w").alias("v")).distinct()
-    vocabulary = [r["v"] for r in of_items.limit(max_vocabulary + 1).collect()]
-    if len(vocabulary) <= max_vocabulary:
-        words = words.filter(_may_hold_a_window(F.col("words"), sizes, vocabulary))
-    # of one word: texts that have no other
-    form_of = lambda name, size: F.when(F.size("words") == 1, F.col(f"forms.{name}")) if size == 1 else F.col(f"forms.{name}")
-    hashes = [window_hashes(form_of(name, size), size).alias(f"{name}{size}") for size in sizes for name in ("typed", "plain")]
-    placed = words.select("text_key", "wide", "words", F.explode(F.array(F.struct(*hashes))).alias("hashes"))
-    none = found = F.array().cast("array<struct<size:int,at:int,h:bigint>>")
+    filters = []
     for size in sizes:
-        bitmap = _bitmap(items.filter(F.col("size") == size).select("h"), n, max_filter_bits)
-        found = F.concat(found, *(F.when(F.col(f"hashes.{name}{size}").isNotNull(), _candidates(F.col(f"hashes.{name}{size}"), bitmap, size)).otherwise(none) for name in ("typed", "plain")))
-    keyed = placed.select("text_key", "wide", "words", F.explode(F.array_distinct(found)).alias("w"))
-    keyed = keyed.select("text_key", "wide", F.size("words").alias("n_words"), F.col("w.size").alias("size"), F.col("w.at").alias("at"), F.slice("words", F.col("w.at"), F.col("w.size")).alias("doc_words"), F.col("w.h").alias("h"))
-    hits = keyed.join(F.broadcast(items) if n <= max_broadcast else items, ["size", "h"])
+        own = items.filter(F.col("size") == size)
+        openings = own.select("opening").distinct()
+        n_openings = openings.count()
+        filters.append((size, _bitmap(own.select("h"), n, max_filter_bits), _bitmap(openings, n_openings, max_filter_bits) if n_openings <= max_vocabulary else None))
+    keyed = _candidates(words.select("text_key", "wide", "words", F.explode(F.array("forms.typed", "forms.plain")).alias("hashed")), filters)
+    keyed = keyed.select("text_key", "wide", F.size("words").alias("n_words"), "size", "at", F.slice("words", F.col("at"), F.col("size")).alias("doc_words"), "h")
+    known = items.drop("opening")
+    hits = keyed.join(F.broadcast(known) if n <= max_broadcast else known, ["size", "h"])
     a, b = _one_spelling(_fillers(F.col("doc_words"))), _one_spelling(_fillers(F.col("item_words")))
     plain = F.array_join(_plain(F.col("doc_words")), " ") == F.array_join(_plain(F.col("item_words")), " ")
     same = F.array_join(_typed(F.col("doc_words")), " ") == F.array_join(_typed(F.col("item_words")), " ")
