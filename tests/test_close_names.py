@@ -1,4 +1,4 @@
-"""Close names, by what is left of them."""
+"""Close names: by what is left of them, and in a rebuild."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from actaflow.operators import matching
+from actaflow.plans import queries
 
 
 def test_names_that_share_their_words_are_not_compared_with_each_other(spark):
@@ -30,3 +31,8 @@ def test_all_close_pairs_of_short_names_are_found(spark, cutoff):
     expected = {r.base: (r.close, round(r.score, 6)) for r in best.select("base", "b.*").collect()}
     got = matching.similar_names(spark.createDataFrame([(a,) for a in asked], "base string"), spark.createDataFrame([(b, i) for i, b in enumerate(watched)], "base string, pos long"), cutoff)
     assert {r.base: (r.close, round(r.score, 6)) for r in got.collect()} == expected != {}
+
+
+def test_the_registered_rebuild_proposes_close_names(spark, sf_dir):
+    _, out = queries._rebuilt(spark, sf_dir)
+    assert out["notices"].filter("reason like 'similar name%' and kept_as = 'review'").count() > 0
